@@ -47,15 +47,6 @@ def words_of(paragraph: Column) -> Column:
     return F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def grams_of(words: str) -> Column:
-    """One to three words, at most NEAR words away from a licence word."""
-    anchors = F.array(*[F.lit(a) for a in ANCHORS])
-    near = F.transform(F.col(words), lambda w, i: F.exists(F.slice(F.col(words), F.greatest(i - NEAR + 1, F.lit(1)), F.lit(2 * NEAR + 1)), lambda x: F.array_contains(anchors, x)))
-    kept = F.transform(F.col(words), lambda w, i: F.when(F.get(near, i), w))
-    parts = F.flatten(F.array(*[windows_of(kept, n) for n in (1, 2, 3)]))
-    return F.array_distinct(F.filter(parts, lambda g: g.isNotNull()))
-
-
 def windows_of(kept: Column, n: int) -> Column:
     """Each n words in a row as one string, or null where one of them is out of reach."""
 
@@ -69,7 +60,14 @@ def windows_of(kept: Column, n: int) -> Column:
 
 
 def with_grams(df: DataFrame) -> DataFrame:
-    return df.withColumn("words", words_of(F.col("paragraph"))).withColumn("grams", grams_of("words"))
+    """Add words, and grams: one to three words, each at most NEAR words away from a licence word."""
+    anchors = F.array(*[F.lit(a) for a in ANCHORS])
+    df = df.withColumn("words", words_of(F.col("paragraph")))
+    df = df.withColumn("_anchor", F.transform("words", lambda w: F.array_contains(anchors, w)))
+    near = lambda i: F.exists(F.slice("_anchor", F.greatest(i - NEAR + 1, F.lit(1)), F.lit(2 * NEAR + 1)), lambda x: x)
+    df = df.withColumn("_kept", F.transform("words", lambda w, i: F.when(near(i), w)))
+    parts = F.flatten(F.array(*[windows_of(F.col("_kept"), n) for n in (1, 2, 3)]))
+    return df.withColumn("grams", F.array_distinct(F.filter(parts, lambda g: g.isNotNull()))).drop("_anchor", "_kept")
 
 
 def training(spark: SparkSession) -> DataFrame:

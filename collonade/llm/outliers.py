@@ -26,7 +26,7 @@ from collonade.llm.common import checkpoint, join_sized, keep
 from collonade.llm.statistics import with_statistics
 
 #: Share of rows that a fit rests on, concentration steps, fewest rows for a fit of their own.
-SHARE, STEPS, FEWEST = 0.75, 6, 60
+SHARE, STEPS, FEWEST = 0.75, 4, 60
 #: The chi-square quantile at 0.99999 for as many degrees of freedom as there are statistics below.
 CUTOFF = 30.856
 #: Standard deviations below which no statistic's estimate falls, so that a statistic that is zero for most rows doesn't reject every other.

@@ -88,14 +88,19 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the score of each text, 0 to 1, with the model's cut at CUT."""
+    """Add the score of each text, 0 to 1, with the model's cut at CUT.
+
+    Keep the result before filtering on the score: a filter that is pushed below
+    the statistics repeats them all within one expression.
+    """
     if model is None:
         return docs.withColumn(name, F.lit(0.5))
     worth: Column = F.lit(model["base"])
     for f, w in zip(FEATURES, model["weights"], strict=True):
         worth = worth + F.col(f) * w
     exponent = worth * model["slope"] + float(np.log(CUT / (1 - CUT)))
-    scored = features(docs, text).withColumn(name, 1 / (1 + F.exp(-F.least(F.greatest(exponent, F.lit(-30.0)), F.lit(30.0)))))
+    value = 1 / (1 + F.exp(-F.least(F.greatest(exponent, F.lit(-30.0)), F.lit(30.0))))
+    scored = features(docs, text).withColumn(name, value)
     return scored.select(*[f"`{c}`" for c in docs.columns], name)
 
 
