@@ -34,6 +34,8 @@ from collonade.llm.common import join_sized, keep
 
 #: Pages of a host that a node must occur in to be judged, the importance below which it is removed, and how fast the weight of deeper nodes falls.
 FEWEST, LOW, DECAY = 8, 0.35, 0.9
+#: Levels of a tree; what lies deeper counts as part of its ancestor on the last level.
+DEPTH = 48
 # Elements of HTML by their kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template xmp".split())
@@ -57,7 +59,7 @@ def hashed(s: str) -> int:
 
 def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
     """Events of a page: ("open", path of labels, whether its names tell no content, tag), ("text", path, ., text), ("break", ., ., tag)."""
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, bool]] = []
     raw = ""
     for m in TOKEN.finditer(page):
         closing, tag, attributes, text = m[1], m[2], m[3], m[4]
@@ -67,7 +69,7 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
                 stack.pop()
             continue
         if text is not None:
-            yield "text", tuple(s[1] for s in stack), bool(stack) and stack[-1][2], text
+            yield "text", tuple(s[1] for s in stack[:DEPTH]), bool(stack) and stack[-1][2], text
             continue
         if tag is None:
             continue
@@ -90,14 +92,15 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
         found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)} if attributes else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".lower()
         label = tag + ("." + DIGITS.sub("0", " ".join(sorted(names.split()))) if names.strip() else "")
-        inside = any(s[0] in CONTENT for s in stack)
+        inside = bool(stack) and stack[-1][3]
         bare = tag in NO_CONTENT or tag == "header" and not inside or found.get("role", "").lower() in NO_CONTENT_ROLES or tag not in ("html", "body") and not NO_CONTENT_NAMES.isdisjoint(NAMES.findall(names)) or "hidden" in found or found.get("aria-hidden") == "true"
         bare = bare or bool(stack) and stack[-1][2]
         if tag not in INLINE or tag == "br":
             yield "break", (), False, tag
-        yield "open", (*[s[1] for s in stack], label), bare, tag
+        if len(stack) < DEPTH:
+            yield "open", (*[s[1] for s in stack], label), bare, tag
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append((tag, label, bare))
+            stack.append((tag, label, bare, inside or tag in CONTENT))
             if tag in RAW:
                 raw = tag
 

@@ -1,0 +1,56 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from collonade.llm import pii
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TEXTS = ["x@y.z a..b@c..d e@f.g.h. a@b.c_d@e.f", "999.1.1.1 1.2.3.4.5.6.7.8 001.02.3.255 0256.1.1.1 10.0.0.1.", "4111 1111 1111 1111 and 4111-1111-1111-1112 4111  1111", "+1 (988) 555-2485, +12345 +4917012345678901234 +1 2+3 4", "é😀 a@b.co 😀 +1 212 555 0100 x" * 40, "1" * 30000, "9 " * 20000, "a" * 50000, "a.b@" + "c." * 3000 + "d", "1.2.3.4 " * 3000]
+
+
+def fits(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        return True
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "phone":
+        return 10 <= len(d) <= 15
+    doubled = sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+    return 14 <= len(d) <= 19 and doubled % 10 == 0
+
+
+def brute(text):
+    found = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(KINDS.items()) for m in re.finditer(p, text or "") if fits(k, m[0])]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+
+
+def test_base_spans(spark, odd, nothing):
+    df = odd.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string"))
+    got = pii.digests(pii.find(df)).collect()
+    texts = {}
+    for r in df.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    assert len(got) == df.count()
+    for r in got:
+        want = brute(texts[r.doc_id][0])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in KINDS]
+        assert [s for s in r.spans.split(",") if s and not s.startswith("id:")] == want
+    assert pii.find(nothing).count() == 0
+
+
+def test_contexts_of_seeds_find_others(spark):
+    rows = [(i, f"some words before contact user{i}@mail.example and more after") for i in range(12)]
+    rows += [(100, "old form contact XK-99213-Q and more"), (101, "chapter 99213 begins"), (102, None)]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert got[100] == "id:17:27" and got[101] == "" and got[102] == ""
+    assert all(re.fullmatch(r"email:\d+:\d+", got[i]) for i in range(12))
+
+
+def test_mask(spark):
+    df = spark.createDataFrame([(1, "😀 a@b.co, 10.0.0.1!"), (2, None), (3, "plain")], "doc_id bigint, text string")
+    found = pii.find(df)
+    got = {r.doc_id: r.t for r in found.select("_doc.doc_id", pii.masked(F.col("_doc.text"), F.col("spans")).alias("t")).collect()}
+    assert got == {1: "😀 [EMAIL], [IP]!", 2: None, 3: "plain"}
