@@ -37,7 +37,7 @@ TEMPLATES = {
 }
 # Paragraphs with licence words that state no licence.
 ORDINARY = ["the driver lost his license after the accident", "she studied at mit for a year", "the apache tribe lived in the region", "human rights are discussed in the second chapter", "a permission was needed to enter the building", "the public was invited to the free concert", "copyright law is a difficult subject", "the city council voted to license new taxis", "creative writing is taught at the school", "the commons is a park near the river", "they reserved a table for four", "all rights and duties are listed in the contract", "version 3 of the plan was released in may", "public opinion and the domain of politics", "the license plate was stolen", "your rights as a tenant", "the general public may use the library", "he redistributed the seats among the groups", "under the terms of the agreement both sides withdrew", "free software is popular"]
-ANCHORS = "license licensed licenses licence licensing copyright gpl lgpl agpl gnu mit apache bsd mpl mozilla creative commons cc cc0 rights reserved redistribute redistribution permission public domain software unencumbered".split()
+ANCHORS = "license licensed licenses licence licensing copyright gpl lgpl agpl gnu apache bsd mpl mozilla creative commons cc cc0 rights reserved redistribute redistribution permission domain software unencumbered".split()
 UNKNOWN = "unknown"
 BUCKETS, NEAR = 1 << 12, 3
 LEAST_CONTAINED, PRECISION = 0.6, 0.99

@@ -65,9 +65,11 @@ def test_prefix_sums(spark):
 
 
 def test_licences(spark, odd, nothing):
-    texts = [("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("All rights reserved.", "reserved"), ("the driver lost his license in the storm", "unknown"), ("wir fahren mit dem zug nach hause", "unknown")]
+    texts = [("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("All rights reserved.", "reserved"), ("the driver lost his license in the storm", "unknown")]
     df = spark.createDataFrame([(i, "first line\n" + t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    df = df.union(spark.createDataFrame([(50, "wir fahren mit dem zug nach hause"), (51, None)], df.schema))
     got = {r.doc_id: r for r in licences.scan(df).collect()}
+    assert len(got) == len(texts)
     assert [got[i].family for i in range(len(texts))] == [f for _, f in texts]
     assert all(got[i].line == 1 and got[i].confirmed == (f != "unknown") for i, (_, f) in enumerate(texts))
     assert licences.scan(odd).count() == 0 and licences.scan(nothing).count() == 0
