@@ -103,3 +103,43 @@ def url_slug(path: Column, pattern: str) -> Column:
     """The part of a path where the pattern has {slug}, or null."""
     before, after = pattern.split("{slug}")
     return F.nullif(F.regexp_extract(path, f"^{before}([^/]+){after}$", 1), F.lit(""))
+
+
+def escape_like(value: str) -> str:
+    """A literal for LIKE patterns with backslash as escape."""
+    return value.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def locale_of(path: Column, codes: list[str]) -> Column:
+    """The path's first segment, in lower case, if it is one of the locale codes."""
+    first = F.lower(F.split_part(F.ltrim(path, F.lit("/")), F.lit("/"), F.lit(1)))
+    return F.when(first.isin(*[c.lower() for c in codes]), first)
+
+
+def hmac_sha256(message: Column, key: str) -> Column:
+    """The message's signature in lower-case hexadecimal."""
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in raw).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def rich_text(html: Column) -> Column:
+    """Blocks of HTML (headings, paragraphs, quotes, list items) as a JSON document; marks within blocks are dropped."""
+    block = F.lit(r"(?is)<(h[1-6]|p|div|blockquote|li)\b[^>]*>((?:(?!</?(?:h[1-6]|p|div|blockquote|li)\b).)*)")
+    tags, bodies = F.regexp_extract_all(html, block, F.lit(1)), F.regexp_extract_all(html, block, F.lit(2))
+    kind = lambda t: F.when(F.lower(t).rlike("^h[1-6]$"), "heading").when(F.lower(t) == "blockquote", "blockquote").when(F.lower(t) == "li", "listItem").otherwise("paragraph")
+    level = lambda t: F.when(F.lower(t).rlike("^h[1-6]$"), F.substr(t, F.lit(2)).cast("int"))
+    blocks = F.zip_with(tags, F.transform(bodies, plain_text), lambda t, b: F.struct(kind(t).alias("type"), level(t).alias("level"), F.array(F.struct(F.lit("text").alias("type"), b.alias("text"))).alias("content")))
+    kept = F.filter(blocks, lambda b: b["content"][0]["text"] != "")
+    whole = F.array(F.struct(F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), F.array(F.struct(F.lit("text").alias("type"), plain_text(html).alias("text"))).alias("content")))
+    return F.to_json(F.struct(F.lit("doc").alias("type"), F.when(F.size(kept) > 0, kept).otherwise(whole).alias("content")))
+
+
+def rich_text_plain(doc: Column) -> Column:
+    """The texts of a JSON document in order, joined by single spaces."""
+    found = F.regexp_extract_all(doc, F.lit(r'"text":("(?:[^"\\]|\\.)*")'), F.lit(1))
+    texts = F.transform(found, lambda t: F.from_json(F.concat(F.lit('{"t":'), t, F.lit("}")), "t string")["t"])
+    return F.trim(F.regexp_replace(F.array_join(texts, " "), r"\s+", " "))

@@ -102,3 +102,21 @@ def test_stream(spark, tmp_path, data):
     q = out.writeStream.format("memory").queryName("forms").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("forms").agg(F.sum("submission_count")).first()[0] == 1000
+
+
+def test_signature(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("é",), ("",)], "v string")
+    for key in ("k", "long" * 40):
+        got = column(df.select(text.hmac_sha256(F.col("v"), key).alias("x")), "x")
+        assert got == [hmac.new(key.encode(), v.encode(), hashlib.sha256).hexdigest() for v in ("é", "")]
+
+
+def test_rich_text(spark):
+    df = spark.createDataFrame([("<h2>A &amp; \"b\"</h2><ul><li>one<li>two</ul><p>x <b>y</b></p>",), ("bare",)], "v string")
+    docs = column(df.select(text.rich_text(F.col("v")).alias("x")), "x")
+    assert '"type":"heading","level":2' in docs[0]
+    plain = column(df.select(text.rich_text_plain(text.rich_text(F.col("v"))).alias("x")), "x")
+    assert plain == ['A & "b" one two x y', "bare"]

@@ -1,5 +1,6 @@
 import pytest
 
+from collonade.plans import more  # noqa: F401
 from collonade.plans.queries import ORACLES, QUERIES
 from oracle import connection, differences
 
