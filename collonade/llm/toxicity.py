@@ -124,7 +124,9 @@ class Channel:
         repeats = REPEATED.search(low) is not None
         for chunk in set(low.split()):
             if not chunk.isalpha():
-                chunk = EDGES.sub("", chunk)
+                whole, chunk = chunk, EDGES.sub("", chunk)
+                if chunk and (k := whole.index(chunk)) and whole[k - 1] in "$@€£!|" and len(chunk) < 40:
+                    found.add(self.restore(whole[k - 1] + chunk))  # a disguised first letter
                 if not chunk.isalpha():
                     parts = WORD.findall(chunk)
                     found.update(parts)
