@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collonade.llm.common import checkpoint, keep
+from collonade.llm.common import checkpoint, join_sized, keep
 
 SEED, RADIUS, SHARD = 42, 3, 4096
 
@@ -167,8 +167,9 @@ def group(docs: DataFrame, words: int, radius: int = RADIUS, key: str = "doc_id"
     linked = reached.join(first, reached["node"] == first["fp"]).select("node", "root", "first_key")
     least = linked.groupBy("root").agg(F.min("first_key").alias("component_id"))
     of = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = first.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_key").alias("component_id"))
-    return own.join(classes, "fp").select(key, "fp", "component_id")
+    classes = keep(first.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_key").alias("component_id")), "classes")
+    # Of thousands of copies all rows have one fingerprint: a kept table leaves the join plain, so that it can be broadcast or split.
+    return join_sized(own, classes, "fp").select(key, "fp", "component_id")
 
 
 def digests(grouped: DataFrame, key: str = "doc_id") -> DataFrame:
