@@ -178,10 +178,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     given = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     chosen = given.orderBy(F.xxhash64("_k"), "_k").limit(limit)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_k")
-    # Near copies count once as a rule: of texts whose lowest shingle hash is the same, one is learned from.
+    # Near copies count once as a rule: of texts whose lowest shingle hash is the same, the least is learned from.
     words = rows.withColumn("_w", F.split(F.coalesce("_text", F.lit("")), WHITE))
     shingles = F.transform(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
-    sample = keep(words.withColumn("_near", F.array_min(shingles)).dropDuplicates(["_y", "_near"]).select("_y", "_text"), "labelled")
+    sample = keep(words.withColumn("_near", F.array_min(shingles)).groupBy("_y", "_near").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text")).select("_y", "_text"), "labelled")
 
     def counted(only: set[str] | None):
         """Document frequencies: of all features in texts labelled 1, or of the given ones in the others."""
