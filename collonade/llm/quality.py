@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collonade.llm.common import held_out
+from collonade.llm.common import held_out, keep
 from collonade.llm.statistics import with_statistics
 
 #: Most labelled documents that a fit uses, preference pairs for each of its documents, and the score at the cut.
@@ -105,6 +105,6 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", name: str = "
 
 
 def digests(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """What op5 returns."""
-    scored = score(docs.select(key, F.col(text).alias("_text")), model, "_text")
+    """What op5 returns; kept, so that it can be filtered."""
+    scored = keep(score(docs.select(key, F.col(text).alias("_text")), model, "_text").select(key, "score"), "quality-scores")
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
