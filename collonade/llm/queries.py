@@ -39,7 +39,7 @@ def op5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digests(simhash.group(table(spark, sf_dir, "documents"), QUERY_SHINGLE))
+    return simhash.digests(simhash.group(table(spark, sf_dir, "documents"), QUERY_SHINGLE, similar=None))
 
 
 def op7_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

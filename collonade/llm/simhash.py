@@ -11,6 +11,12 @@ one and a query to those after it, so the trees stay bounded and no pair is lost
 Within a tree only links that join two parts so far apart are returned, so a
 group of n copies costs n - 1 links and not n * n.
 
+group() asks for more unless it is given no similarity: it links texts by the exact
+Jaccard similarity of their sets of shingles, whatever the distance of their
+fingerprints.  Candidates share one of the first shingles of each in one order
+(prefix filter: two sets of n and m that are so similar must), rarest first as far
+as a sample can tell, and each is confirmed on the whole sets, so no pair is lost.
+
 Defined results: a text without words has fingerprint zero and links like any
 other; null keys count, but a group of null keys only has a null component.
 """
@@ -29,17 +35,33 @@ from pyspark.sql import functions as F
 from collonade.llm.common import checkpoint, join_sized, keep
 
 SEED, RADIUS, SHARD = 42, 3, 4096
+#: The similarity from which texts are linked.
+SIMILAR = 0.8
+# These only set the cost. One text in SAMPLED is counted for the order of shingles, of which HEAVY are told apart. A shingle's
+# texts that aren't linked yet are all compared if that is at most LIGHT pairs for each, or after rounds with CENTRES of them: ROUNDS, or
+# as many as link anything.
+SAMPLED, HEAVY, LIGHT, ROUNDS, CENTRES = 64, 100_000, 128, 6, 4
 
 
-def fingerprint(raw: bytes, words: int) -> int:
-    """The 64-bit fingerprint of a text in UTF-8, as a signed integer."""
+def shingles(raw: bytes, words: int) -> list[int]:
+    """The hashes of a text's shingles, in their order."""
     parts = raw.lower().split()  # of bytes: A-Z only, and the six white space bytes only
     if not parts:
-        return 0
+        return []
     joined, ends = b" ".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     of = xxhash.xxh64_intdigest
-    hashes = [of(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(parts)) - 1 :].tolist(), strict=False)]
+    return [of(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(parts)) - 1 :].tolist(), strict=False)]
+
+
+def fingerprint(raw: bytes, words: int) -> int:
+    """The 64-bit fingerprint of a text in UTF-8, as a signed integer."""
+    return folded(shingles(raw, words))
+
+
+def folded(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[i : i + (1 << 16)], ">u8")
@@ -158,18 +180,117 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def group(docs: DataFrame, words: int, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component_id): the smallest key within reach of each row over links of fingerprints."""
-    own = keep(fingerprints(docs, words, key, text), "fingerprints")
-    first = keep(own.groupBy("fp").agg(F.min(key).alias("first_key")), "distinct-fingerprints")
-    roots = components(links(first.select("fp"), radius))
+def as_set(hashes: list[int]) -> tuple[np.ndarray, int]:
+    """The different hashes, and a name of the set."""
+    own = np.unique(np.array(hashes, np.uint64))
+    h = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+    return own.view(np.int64), h - (h >> 63 << 64)
+
+
+def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """(sid, shingles): name and members of each row's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [as_set(shingles(raw or b"", words)) for raw in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sid for _, sid in got], pa.int64()), pa.array([own for own, _ in got], pa.list_(pa.int64()))], names=["sid", "shingles"])
+
+    return docs.select(text).mapInArrow(run, "sid bigint, shingles array<bigint>")
+
+
+def heavy(docs: DataFrame, words: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sampled texts share, sorted, and how many do."""
+    sample = shingle_sets(docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0), words, text).groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 3")
+    rows = sorted((r["s"], r["count"]) for r in counts.orderBy(F.desc("count"), "s").limit(HEAVY).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def with_prefixes(docs: DataFrame, words: int, similar: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp, sid, n, prefix) of each row: its set's name, size and first shingles, of which similar sets share one."""
+    known, often = heavy(docs, words, text)
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        counts = np.zeros(len(own), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            counts = np.where(known[at] == own, often[at], 0)
+        return own[np.lexsort((own, counts))][: len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingles(raw or b"", words) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps, sets = [folded(h) for h in hashes], [as_set(h) for h in hashes]
+            columns = [pa.array(fps, pa.int64()), pa.array([sid for _, sid in sets], pa.int64()), pa.array([len(own) for own, _ in sets], pa.int64()), pa.array([prefix(own) for own, _ in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "fp", "sid", "n", "prefix"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint, sid bigint, n bigint, prefix array<bigint>")
+
+
+def similar_links(docs: DataFrame, prefixes: DataFrame, words: int, similar: float = SIMILAR, text: str = "text") -> DataFrame:
+    """(node, root) over the links between sets (sid, n, prefix) whose Jaccard similarity is at least ``similar``.
+
+    Of the texts that share a shingle only those are compared that no link joins yet.
+    In a large group each is first compared with a few, round by round, which joins
+    most of them; what is left of a shingle's pairs is compared in full.
+    """
+    spark = docs.sparkSession
+    dealt = keep(prefixes.select("sid", "n", F.posexplode("prefix").alias("pos", "s")), "prefixes")
+    shared = dealt.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    met = keep(dealt.join(shared, "s"), "shared-shingles")
+    wanted = keep(met.select("sid").distinct(), "shared-sets")
+    sets = keep(join_sized(shingle_sets(docs, words, text), wanted, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    edges = roots = spark.createDataFrame([], "a bigint, b bigint")
+    roots = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # The most that two sets can share, if a shingle at these places is the first of it.
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    possible = (most * (1 + similar) >= (F.col("x.n") + F.col("y.n")) * similar - 1e-6) & (F.col("x.comp") != F.col("y.comp"))
+    member = F.struct("sid", "n", "pos", "comp")
+    linked, last = 0, False
+    for k in range(ROUNDS + 1):
+        named = met.join(roots, met["sid"] == roots["node"], "left").select("s", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
+        parts = named.groupBy("s", "comp").agg(F.count("*").alias("c"))
+        buckets = parts.groupBy("s").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", F.struct("c", "comp")).alias("top")).where("parts > 1")
+        light = (F.col("c") * F.col("c") - F.col("squares") <= 2 * LIGHT * F.col("c")) | F.lit(last or k == ROUNDS)
+        buckets = keep(buckets.select("s", "top", light.alias("light")), f"open-shingles-{k}")
+        if buckets.isEmpty():
+            break
+        now = keep(named.join(buckets, "s"), f"open-places-{k}")
+        rest = now.where("comp <> top").select("s", member.alias("x"))
+        whole = now.where("light").select("s", "top", member.alias("y"))
+        pairs = rest.join(whole, "s").where(possible & ((F.col("y.comp") == F.col("top")) | (F.col("x.sid") < F.col("y.sid"))))
+        pairs = pairs.select("x", "y")
+        order = lambda i: F.struct(F.col("comp") != F.col("top"), F.xxhash64("sid", F.lit(k), F.lit(i)), "sid", "n", "pos", "comp")
+        centres = now.where("not light").groupBy("s").agg(*[F.min(order(i)).alias(f"c{i}") for i in range(CENTRES)])
+        centres = centres.select("s", F.explode(F.array(*[F.struct(*[F.col(f"c{i}")[f].alias(f) for f in ("sid", "n", "pos", "comp")]) for i in range(CENTRES)])).alias("y"))
+        pairs = pairs.union(rest.join(centres, "s").where(possible).select("x", "y"))
+        pairs = keep(pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), f"pairs-{k}")
+        held = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("q")), "b")
+        common = F.size(F.array_intersect("p", "q"))
+        edges = keep(edges.union(held.where(common >= similar * (F.size("p") + F.size("q") - common) - 1e-9).select("a", "b")), f"links-{k}")
+        before, linked = linked, edges.count()
+        last = linked == before
+        roots = roots if last else components(edges)
+        # The pairs of light buckets are all settled.
+        met = keep(now.where("not light").select("sid", "n", "pos", "s"), f"left-shingles-{k}")
+    return roots
+
+
+def group(docs: DataFrame, words: int, radius: int = RADIUS, key: str = "doc_id", text: str = "text", similar: float | None = SIMILAR) -> DataFrame:
+    """(key, fp, component_id): the smallest key within reach of each row over links of similar sets of shingles, or without ``similar`` of fingerprints."""
+    by = "fp" if similar is None else "sid"
+    own = keep(fingerprints(docs, words, key, text) if similar is None else with_prefixes(docs, words, similar, key, text), "fingerprints")
+    more = [] if similar is None else [F.first(c).alias(c) for c in ("n", "prefix")]
+    first = keep(own.groupBy(by).agg(F.min(key).alias("first_key"), *more), "distinct-fingerprints")
+    roots = components(links(first.select("fp"), radius)) if similar is None else similar_links(docs, first, words, similar, text)
     reached = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root")).distinct()
-    linked = reached.join(first, reached["node"] == first["fp"]).select("node", "root", "first_key")
+    linked = reached.join(first, reached["node"] == first[by]).select("node", "root", "first_key")
     least = linked.groupBy("root").agg(F.min("first_key").alias("component_id"))
-    of = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = keep(first.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_key").alias("component_id")), "classes")
+    of = linked.join(least, "root").select(F.col("node").alias(by), "component_id")
+    classes = keep(first.join(of, by, "left").select(by, F.coalesce("component_id", "first_key").alias("component_id")), "classes")
     # Of thousands of copies all rows have one fingerprint: a kept table leaves the join plain, so that it can be broadcast or split.
-    return join_sized(own, classes, "fp").select(key, "fp", "component_id")
+    return join_sized(own.select(*dict.fromkeys([key, "fp", by])), classes, by).select(key, "fp", "component_id")
 
 
 def digests(grouped: DataFrame, key: str = "doc_id") -> DataFrame:

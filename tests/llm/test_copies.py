@@ -73,3 +73,41 @@ def test_tree_follows_edges_within_the_radius():
         if x not in inside:
             tree.join(x, True)
             inside.append(x)
+
+
+def test_query_links_by_bits_alone(odd):
+    rows = odd.where("doc_id is not null").collect()
+    got = {r.doc_id: r.component_id for r in simhash.group(odd, 3, similar=None).collect()}
+    want = groups([r.doc_id for r in rows], brute_components([brute_fingerprint(r.text) for r in rows]))
+    assert groups([r.doc_id for r in rows], [got[r.doc_id] for r in rows]) == want
+
+
+@pytest.mark.parametrize("light, sampled", [(16, 64), (0, 1)])
+def test_similar_texts_are_linked_whatever_their_bits(spark, monkeypatch, light, sampled):
+    monkeypatch.setattr(simhash, "LIGHT", light)  # with 0 all goes by rounds
+    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    rng, texts = random.Random(9), ["", "two words", "Two  WORDS", "two words more"]
+    for n in (30, 120, 120, 300):
+        plain = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        for edits in [0, 0, *[rng.randrange(1, 2 + n // 20) for _ in range(14)]]:
+            own = list(plain)
+            for i in rng.sample(range(n), edits):
+                own[i] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(own))
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    fps = [brute_fingerprint(t, 5) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                old, new = parent[i], parent[j]
+                parent = [new if p == old else p for p in parent]
+    assert any(alike(sets[i], sets[j]) and (fps[i] ^ fps[j]).bit_count() > 3 for i in range(len(texts)) for j in range(i))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.group(df, 5).collect()}
+    assert groups(range(len(texts)), [got[i] for i in range(len(texts))]) == groups(range(len(texts)), parent)
+    assert all(got[i] == min(j for j in got if got[j] == got[i]) for i in got)
