@@ -3,11 +3,12 @@
 A document's worth is a linear function of its text statistics.  In a preference
 pair one document is labelled better than the other; the weights maximise the
 likelihood that the better one wins, a logistic loss on the difference of the two
-feature vectors.  The worth is then cut at a quantile of the training documents,
-the share that is labelled 0, and mapped so that this cut is a score of 0.3.
+feature vectors.  The worth of all scored documents is then cut at a quantile, the
+share of the training labels that is 0, and mapped so that this cut is a score of 0.3.
 
 Only the fit looks at labels, of at most ``limit`` documents (those of the lowest
-hash of their id, so the same at every run); statistics and scores cover all rows.
+hash of their id, so the same at every run); statistics, scores, the share and the
+quantile cover all rows.
 
 Defined results: a null text scores as the empty text; with no label of either
 kind to learn from, every score is 0.5; labels on repeated ids count once.
@@ -24,6 +25,8 @@ from collonade.llm.statistics import with_statistics
 
 #: Most labelled documents that a fit uses, preference pairs for each of its documents, and the score at the cut.
 LIMIT, PAIRS, CUT = 20_000, 20, 0.3
+#: Ranks that approx_percentile tells apart.
+ACCURACY = 1_000_000
 FEATURES = ["f_words", "f_length", "f_symbols", "f_marks", "f_upper", "f_digits", "f_repeats", "f_lines", "f_fresh", "f_short", "f_mixed"]
 
 
@@ -67,7 +70,7 @@ def rank(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 1e-3, rou
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = LIMIT) -> dict | None:
-    """Weights, shift and slope of the score, from labelled rows that are not held out."""
+    """Weights and the share of label 0, from labelled rows that are not held out."""
     given = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     chosen = given.orderBy(F.xxhash64("_k"), "_k").limit(limit)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_k")
@@ -79,32 +82,30 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     mean, spread = x.mean(0), x.std(0) + 1e-3
     w = rank((x - mean) / spread, y)
     worth = (x - mean) / spread @ w
-    # The cut: the quantile of worth at the share of label 0, between the neighbours' mean worths.
-    cut = float(np.quantile(worth, float((y == 0).mean())))
-    middle = (np.median(worth[y == 1]) + np.median(worth[y == 0])) / 2
-    cut = min(cut, middle) if np.mean(worth[y == 1] < cut) > 0.02 else cut
-    slope = 4.0 / max(1e-3, float(np.median(worth[y == 1]) - cut))
-    return {"weights": (w / spread).tolist(), "base": float(-(mean / spread) @ w - cut), "slope": slope}
+    share = given.agg(F.avg((F.col("_y") == 0).cast("double"))).first()[0]
+    return {"weights": (w / spread).tolist(), "base": float(-(mean / spread) @ w), "share": share, "good": float(np.median(worth[y == 1]))}
 
 
-def score(docs: DataFrame, model: dict | None, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the score of each text, 0 to 1, with the model's cut at CUT.
+def score(docs: DataFrame, model: dict | None, text: str = "text", name: str = "score", carry: list[str] | None = None) -> DataFrame:
+    """Add the score of each text, 0 to 1, with CUT at the quantile of all docs; of their columns only the carried ones, if given.
 
-    Keep the result before filtering on the score: a filter that is pushed below
-    the statistics repeats them all within one expression.
+    The worths are kept, since the quantile needs all of them; so the result can be filtered.
     """
+    carry = [f"`{c}`" for c in (docs.columns if carry is None else carry)]
     if model is None:
-        return docs.withColumn(name, F.lit(0.5))
+        return docs.select(*carry, F.lit(0.5).alias(name))
     worth: Column = F.lit(model["base"])
     for f, w in zip(FEATURES, model["weights"], strict=True):
         worth = worth + F.col(f) * w
-    exponent = worth * model["slope"] + float(np.log(CUT / (1 - CUT)))
+    scored = keep(features(docs, text).withColumn(name, worth).select(*carry, name), "quality-worths")
+    cut = scored.agg(F.percentile_approx(name, model["share"], ACCURACY)).first()[0] or 0.0
+    exponent = (F.col(name) - cut) * (4.0 / max(1e-3, model["good"] - cut)) + float(np.log(CUT / (1 - CUT)))
+    # At the cut itself rounding must not put the score below CUT.
     value = 1 / (1 + F.exp(-F.least(F.greatest(exponent, F.lit(-30.0)), F.lit(30.0))))
-    scored = features(docs, text).withColumn(name, value)
-    return scored.select(*[f"`{c}`" for c in docs.columns], name)
+    return scored.withColumn(name, F.when(F.col(name) >= cut, F.greatest(value, F.lit(CUT))).otherwise(value))
 
 
 def digests(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """What op5 returns; kept, so that it can be filtered."""
-    scored = keep(score(docs.select(key, F.col(text).alias("_text")), model, "_text").select(key, "score"), "quality-scores")
+    """What op5 returns."""
+    scored = score(docs.select(key, F.col(text).alias("_text")), model, "_text", carry=[key])
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -50,3 +50,19 @@ def test_preference_weights_rank():
     y = (x @ [2.0, -1.0, 0.0] + rng.normal(0, 0.3, 400) > 0).astype(int)
     w = quality.rank(x, y)
     assert w[0] > 0 > w[1] and abs(w[2]) < 0.3 * w[0]
+
+
+def test_cut_is_the_quantile_of_all_documents(spark):
+    import random
+
+    rng = random.Random(6)
+    names = [f"word{i}" for i in range(400)]
+    # Labels that the statistics tell only in part, and unlabelled documents that are worse than the labelled ones.
+    poor = lambda share: " ".join("## $$" if rng.random() < share else rng.choice(names) for _ in range(60))
+    rows = [(i, poor(rng.uniform(0.0, 0.2)), int(i % 5 > 0)) for i in range(400)]
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, poor(rng.uniform(0.1, 0.9))) for i in range(600)], "doc_id bigint, text string")
+    got = quality.digests(docs, quality.learn(docs, marks)).collect()
+    share = sum(y == 0 for i, _, y in rows if not held(i)) / sum(not held(i) for i, _, _ in rows)
+    assert len(got) == 1000
+    assert abs(sum(r.predicted == 0 for r in got) / 1000 - share) <= 0.005
