@@ -47,6 +47,8 @@ NO_CONTENT_NAMES = set("ad ads adv advert adverts advertisement advertising adse
 CONTENT = {"article", "main"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)""", re.S)
+#: What ends an element whose content holds no tags.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 NAMES = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
@@ -60,14 +62,10 @@ def hashed(s: str) -> int:
 def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
     """Events of a page: ("open", path of labels, whether its names tell no content, tag), ("text", path, ., text), ("break", ., ., tag)."""
     stack: list[tuple[str, str, bool, bool]] = []
-    raw = ""
-    for m in TOKEN.finditer(page):
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
         closing, tag, attributes, text = m[1], m[2], m[3], m[4]
-        if raw:
-            if closing and tag.lower() == raw:
-                raw = ""
-                stack.pop()
-            continue
         if text is not None:
             yield "text", tuple(s[1] for s in stack[:DEPTH]), bool(stack) and stack[-1][2], text
             continue
@@ -100,9 +98,11 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
         if len(stack) < DEPTH:
             yield "open", (*[s[1] for s in stack], label), bare, tag
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append((tag, label, bare, inside or tag in CONTENT))
             if tag in RAW:
-                raw = tag
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                stack.append((tag, label, bare, inside or tag in CONTENT))
 
 
 def outline(page: str) -> Counter:

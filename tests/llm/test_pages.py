@@ -42,3 +42,10 @@ def test_very_long_and_broken(spark):
     df = pages(spark, (1, "u", "<article>" + "<div><p>x y" * 2000, ""), (2, "u", "<a title='never closed><p>text", ""), (3, "u", "< b <3 &#x41; &bogus;", ""))
     got = {r.page_id: r.text for r in style_tree.extract(df).collect()}
     assert got[1] == " ".join(["x y"] * 2000) and len(got) == 3
+
+
+def test_scripts_hold_no_tags(spark):
+    raw = ["<script>for(var i=0;i<n;i++){f(i)}</script>", "<SCRIPT async>if(a<b){x='</p>'}</Script >", "<style>a<b{c:'\"'}</style>", "<title>1<a</title>", "<script>x='</scripts>'<y</script\n>"]
+    df = pages(spark, *[(i, "u", f"<body>{r}<article><p>Told {i}</p></article></body>", "") for i, r in enumerate(raw)], (9, "u", "<article><p>Before</p><script>i<n", ""))
+    got = {r.page_id: r.text for r in style_tree.extract(df).collect()}
+    assert got == {i: f"Told {i}" for i in range(len(raw))} | {9: "Before"}
