@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that ends a word: space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -46,13 +47,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """Join with a kept right side: broadcast up to max_rows rows, else by a shuffle that AQE may split.
+def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", salt: Column | None = None, salts: int = 1, max_bytes: int = 32 << 20) -> DataFrame:
+    """Join with a kept right side: broadcast if its columns are at most max_bytes in memory, else by a shuffle.
 
-    right must be a kept or checkpointed table, as its rows are counted first.
+    right must be a kept or checkpointed table, as its rows and its longest row are looked at first.  With a salt
+    (an int below salts for each row of left) the shuffle deals the rows of one key to salts tasks.
     """
-    small = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+    size = F.lit(0)
+    for f in right.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            size = size + F.coalesce(F.size(c), F.lit(0)) * 40
+        elif isinstance(f.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        size = size + 24
+    if (right.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= max_bytes:
+        return left.join(F.broadcast(right), on, how)
+    if salt is None:
+        return left.join(right, on, how)
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(spread, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
 
 
 def held_out(doc_id: Column) -> Column:

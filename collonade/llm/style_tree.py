@@ -1,21 +1,35 @@
 """HTML extraction by site style trees.
 
 The pages of a host are laid over each other: elements with the same path of tags
-and classes are one node, which remembers in how many pages it occurs, how its
-children are laid out (presentation) and which texts it holds (content).  A node
-whose presentation never varies and whose texts recur from page to page carries
-little information: its importance is an entropy, zero if every page has the same
-and one if every page has its own.  Branches of low importance are removed from
-each page, as are those whose tag, role or class names say that they are no
-content; what stays of the article is the page's text.
-
-Spark merges the trees: pages give (host, path, feature) counts, pre-aggregated
-in each batch, and the importances are grouped aggregates over them, so that a
-host with a third of all pages costs no more than others.
+and classes are one node, which remembers in how many pages it occurs, how it is
+laid out (its children in runs, and how much text of its own it has) and which
+texts it holds.  Two entropies say what a node tells:
+
+* presentation: the entropy of its layouts, zero if all pages show the same;
+* content: one less the mean entropy of its texts over the pages, zero if every
+  page has the same texts and one if each has its own.
+
+A node with texts weighs its content by the largest presentation entropy on its
+line, from the root through it to what lies below, as a share of the most that a
+node of the host has.  A branch is as important as its most important node, and
+branches of low importance are removed from each page: menus, headers, footers
+and adverts repeat their texts or keep their shape, articles do neither.
+
+Entropies need pages: a node in under ``fewest`` pages is judged by its tag, role
+and class names alone, and on hosts where that holds for all nodes an article or
+main element, if there is one, is the text.  Scripts, forms, hidden parts and
+reader comments go by their names on every host, since comments vary as articles
+do; but no class name removes what holds over half of a page's words.
+
+Spark merges the trees: pages give (host, node, feature) counts, pre-aggregated in
+each batch, and the importances are grouped aggregates over them.  Each page is
+joined with the verdicts on its own nodes only, salted, so that a host with a third
+of all pages costs no more than others.
 
 Defined results: a null or empty page has an empty text; a null url is a host of
-its own; repeated pages count as often as they occur; only the columns asked for
-are carried, so other names can't clash.
+its own; repeated pages count as often as they occur; pages of any length are read
+whole; of ties in importance all stay; an empty table gives no rows; only the
+columns asked for are carried, so other names can't clash.
 """
 
 from __future__ import annotations
@@ -32,175 +46,249 @@ from pyspark.sql import functions as F
 
 from collonade.llm.common import join_sized, keep
 
-#: Pages of a host that a node must occur in to be judged, the importance below which it is removed, and how fast the weight of deeper nodes falls.
-FEWEST, LOW, DECAY = 8, 0.35, 0.9
+#: Pages that a node must occur in to be judged by the tree, and the importance below which a branch is removed.
+FEWEST, LOW = 12, 0.65
+#: What every presentation entropy has added, in nats, so that a host whose pages all have one shape is judged by content.
+FLOOR = 0.1
 #: Levels of a tree; what lies deeper counts as part of its ancestor on the last level.
-DEPTH = 48
+DEPTH = 256
+#: Parts that the pages of a host are dealt to, where the verdicts are too many to be broadcast.
+SALTS = 16
 # Elements of HTML by their kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template xmp".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {"p": set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
-NO_CONTENT = set("head nav footer aside form script style noscript iframe template button select option textarea input svg canvas dialog menu object title".split())
-NO_CONTENT_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-NO_CONTENT_NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot comment comments disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright legal disclaimer".split())
+NEVER_TEXT = set("head form script style noscript iframe template button select option textarea input svg canvas object title".split())
+COMMENT_NAMES = set("comment comments disqus replies respond".split())
+FRAME_TAGS = set("nav header footer aside dialog menu".split())
+FRAME_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+FRAME_NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright legal disclaimer".split())
 CONTENT = {"article", "main"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)""", re.S)
 #: What ends an element whose content holds no tags.
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+BARE_ATTRIBUTE = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.I)
 NAMES = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 
 
-def hashed(s: str) -> int:
-    h = xxhash.xxh64_intdigest(s)
+def hashed(s: str, seed: int = 0) -> int:
+    h = xxhash.xxh64_intdigest(s, seed & 0xFFFFFFFFFFFFFFFF)
     return h - (h >> 63 << 64)
 
 
-def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
-    """Events of a page: ("open", path of labels, whether its names tell no content, tag), ("text", path, ., text), ("break", ., ., tag)."""
-    stack: list[tuple[str, str, bool, bool]] = []
-    at = 0
+class Element:
+    """An open element: its node, the nodes from the root to it, and what its names and those above say."""
+
+    __slots__ = ("above", "article", "chain", "label", "named", "never", "node", "tag")
+
+    def __init__(self, tag: str, attributes: str, above: Element | None, count: int):
+        found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)} if attributes else {}
+        names = f"{found.get('class', '')} {found.get('id', '')}".lower()
+        parts = set(NAMES.findall(names))
+        self.tag, self.label = tag, tag + ("." + DIGITS.sub("0", " ".join(sorted(names.split()))) if names.strip() else "")
+        self.above = above
+        chain = above.chain if above else ()
+        self.node = hashed(self.label, above.node if above else 0) if len(chain) < DEPTH else chain[-1]
+        self.chain = (*chain, self.node) if len(chain) < DEPTH else chain
+        self.never = (above and above.never) or tag in NEVER_TEXT or found.get("aria-hidden") == "true" or (bool(attributes) and BARE_ATTRIBUTE.search(attributes) is not None)
+        inside = bool(above) and above.article
+        frame = tag in FRAME_TAGS and not (tag == "header" and inside) or found.get("role", "").lower() in FRAME_ROLES or not FRAME_NAMES.isdisjoint(parts)
+        comment = not COMMENT_NAMES.isdisjoint(parts)
+        self.named = above.named if above else ()
+        if (frame or comment) and tag not in ("html", "body"):
+            self.named = (*self.named, (count, comment, self.node))
+        self.article = inside or tag in CONTENT
+
+
+def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
+    """Events of a page in its order: ("open", element, ""), ("text", element it is in, text), ("break", None, tag)."""
+    stack: list[Element] = []
+    opened: Counter = Counter()
+    at = count = 0
+
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
     while m := TOKEN.search(page, at):
         at = m.end()
         closing, tag, attributes, text = m[1], m[2], m[3], m[4]
         if text is not None:
-            yield "text", tuple(s[1] for s in stack[:DEPTH]), bool(stack) and stack[-1][2], text
+            yield "text", stack[-1] if stack else None, text
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if closing:
-            if any(s[0] == tag for s in stack):
-                while stack:
-                    name = stack.pop()[0]
-                    if name not in INLINE:
-                        yield "break", (), False, name
-                    if name == tag:
-                        break
+            while opened[tag]:
+                name = stack[-1].tag
+                cut(len(stack) - 1)
+                if name not in INLINE:
+                    yield "break", None, name
+                if name == tag:
+                    break
             continue
-        for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-            if tag in CLOSED_BY.get(stack[k][0], ()):
-                del stack[k:]
+        for k in range(len(stack) - 1, -1, -1):  # elements whose end tag may be left out
+            if tag in CLOSED_BY.get(stack[k].tag, ()):
+                cut(k)
                 break
-            if stack[k][0] not in INLINE and stack[k][0] not in CLOSED_BY:
+            if stack[k].tag not in INLINE and stack[k].tag not in CLOSED_BY:
                 break
-        found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)} if attributes else {}
-        names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-        label = tag + ("." + DIGITS.sub("0", " ".join(sorted(names.split()))) if names.strip() else "")
-        inside = bool(stack) and stack[-1][3]
-        bare = tag in NO_CONTENT or tag == "header" and not inside or found.get("role", "").lower() in NO_CONTENT_ROLES or tag not in ("html", "body") and not NO_CONTENT_NAMES.isdisjoint(NAMES.findall(names)) or "hidden" in found or found.get("aria-hidden") == "true"
-        bare = bare or bool(stack) and stack[-1][2]
         if tag not in INLINE or tag == "br":
-            yield "break", (), False, tag
-        if len(stack) < DEPTH:
-            yield "open", (*[s[1] for s in stack], label), bare, tag
+            yield "break", None, tag
+        count += 1
+        element = Element(tag, attributes, stack[-1] if stack else None, count)
+        yield "open", element, ""
         if tag not in VOID and not attributes.rstrip().endswith("/"):
             if tag in RAW:
                 end = RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             else:
-                stack.append((tag, label, bare, inside or tag in CONTENT))
+                stack.append(element)
+                opened[tag] += 1
 
 
-def outline(page: str) -> Counter:
-    """What a page adds to its host's tree: (path, feature) with 0 for the node itself, its layout's hash, and its texts' hashes."""
-    children: dict[str, list[str]] = {}
-    texts: dict[str, set[str]] = {}
-    for kind, path, _, what in walk(page):
-        if kind == "open":
-            above, own = "/".join(path[:-1]), "/".join(path)
-            row = children.setdefault(above, [])
-            if not row or row[-1] != path[-1]:  # a run of like children is one
-                row.append(path[-1])
-            children.setdefault(own, [])
-        elif kind == "text" and path and (text := " ".join(what.split())):
-            texts.setdefault("/".join(path), set()).add(text)
+def outline(page: str) -> tuple[Counter, dict[int, tuple[int, ...]]]:
+    """What a page adds to its host's tree: (node, kind, feature) with 0 for the node itself, 1 for a layout's hash and 2 for a text's; and the nodes from the root to each."""
+    chains: dict[int, tuple[int, ...]] = {}
+    shapes: dict[int, tuple[Element, list[list], list[int]]] = {}  # of each element: runs of like children, words of its own
     out: Counter = Counter()
-    for path, row in children.items():
-        out[path, "n", 0] = 1
-        out[path, "layout", hashed(" ".join(row))] = 1
-        for text in texts.get(path, ()):
-            out[path, "text", hashed(text)] = 1
-    return out
-
-
-def text_of(page: str, removed: set[str]) -> str:
-    """The article's blocks, each with its white space made single, joined by single spaces."""
-    blocks: list[tuple[bool, list[str]]] = [(False, [])]
-    for kind, path, bare, what in walk(page):
+    for kind, e, what in walk(page):
+        if e is None or e.never:
+            continue
+        if kind == "open":
+            chains[e.node] = e.chain
+            shapes[id(e)] = (e, [], [0])
+            if e.above is not None and id(e.above) in shapes:
+                runs = shapes[id(e.above)][1]
+                if runs and runs[-1][0] == e.label:
+                    runs[-1][1] += 1
+                else:
+                    runs.append([e.label, 1])
+        elif text := " ".join(what.split()):
+            if id(e) in shapes:
+                shapes[id(e)][2][0] += text.count(" ") + 1
+            out[e.node, 2, hashed(text)] = 1
+    for node in chains:
+        out[node, 0, 0] = 1
+    for e, runs, words in shapes.values():
+        # Words count by powers of four, so that small differences are none.
+        out[e.node, 1, hashed(" ".join(f"{label}*{n}" for label, n in runs) + f"#{(words[0].bit_length() + 1) // 2}")] += 1
+    return out, chains
+
+
+def text_of(page: str, low: set[int], judged: set[int]) -> str:
+    """The blocks of the page that stay, each with its white space made single, joined by single spaces."""
+    blocks: list[list[tuple[Element, str]]] = [[]]
+    words: Counter = Counter()
+    whole = 0
+    for kind, e, what in walk(page):
         if kind == "break":
             if what == "br":
-                blocks[-1][1].append(" ")
-            elif blocks[-1][1]:
-                blocks.append((False, []))
-        elif kind == "text" and not bare and path:
-            if removed and any("/".join(path[:k]) in removed for k in range(1, len(path) + 1)):
-                continue
-            blocks[-1] = (blocks[-1][0] or any(p.partition(".")[0] in CONTENT for p in path), blocks[-1][1])
-            blocks[-1][1].append(entities.unescape(what))
-    whole = any(inside for inside, parts in blocks if "".join(parts).strip())
-    texts = [" ".join("".join(parts).split()) for inside, parts in blocks if inside or not whole]
-    return " ".join(t for t in texts if t)
-
-
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of each node of each host's tree."""
+                if blocks[-1]:
+                    blocks[-1].append((blocks[-1][-1][0], " "))
+            elif blocks[-1]:
+                blocks.append([])
+        elif kind == "text" and e is not None and not e.never:
+            blocks[-1].append((e, entities.unescape(what)))
+            n = len(what.split())
+            whole += n
+            for at, _, _ in e.named:
+                words[at] += n
+    kept: dict[int, bool] = {}
+
+    def stays(e: Element) -> bool:
+        if id(e) not in kept:
+            kept[id(e)] = low.isdisjoint(e.chain) and not any((always or node not in judged) and 2 * words[at] <= whole for at, always, node in e.named)
+        return kept[id(e)]
+
+    texts = [("".join(t for e, t in block if stays(e)), any(e.article for e, _ in block if stays(e))) for block in blocks]
+    texts = [(" ".join(t.split()), inside) for t, inside in texts]
+    narrow = not judged and any(inside and t for t, inside in texts)
+    return " ".join(t for t, inside in texts if t and (inside or not narrow))
+
+
+def host_of(url: str):
+    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
+
+
+def counts(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, feature, n, chain) over all pages (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
+            chains: dict[tuple[str, int], tuple[int, ...]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, n in outline(page or "").items():
+                features, own = outline(page or "")
+                for k, n in features.items():
                     total[host, *k] += n
+                for node, chain in own.items():
+                    chains[host, node] = chain
             columns = list(zip(*total, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], pa.array(list(total.values()), pa.int64())], names=["host", "path", "kind", "feature", "n"])
-
-    counts = pages.select(host_of(url).alias("host"), html).mapInArrow(run, "host string, path string, kind string, feature bigint, n bigint")
-    counts = keep(counts.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n")), "style-counts")
-    # With m pages: layouts by the entropy of their shares to base m; a text in k pages by 1 - log_m(k).
-    nodes = counts.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == "n", F.col("n"))).alias("pages"),
-        F.sum(F.when(F.col("kind") == "layout", F.col("n") * F.log("n"))).alias("nlogn"),
-        F.avg(F.when(F.col("kind") == "text", F.log("n"))).alias("logk"),
-        F.max(F.when(F.col("kind") == "text", F.lit(1)).otherwise(0)).alias("leaf"),
-    )
-    m = F.greatest(F.log("pages"), F.lit(1e-9))
-    own = F.when(F.col("pages") == 1, 1.0).when(F.col("leaf") == 1, 1 - F.col("logk") / m).otherwise(1 - F.col("nlogn") / F.col("pages") / m)
-    nodes = nodes.withColumn("own", F.least(F.greatest(own, F.lit(0.0)), F.lit(1.0)))
-    # A branch: the mean over its nodes, contents fully and layouts a little, less with depth.
-    parts = F.split("path", "/")
-    up = nodes.select("host", "path", "pages", "own", "leaf", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("k", "above"), F.size(parts).alias("size"))
-    weight = F.pow(F.lit(DECAY), F.col("size") - F.col("k") - 1) * F.when(F.col("leaf") == 1, 1.0).otherwise(0.1)
-    branches = up.groupBy("host", F.col("above").alias("path")).agg((F.sum(F.col("own") * weight) / F.sum(weight)).alias("importance"), F.max(F.when(F.col("above") == F.col("path"), F.col("pages"))).alias("pages"))
-    return branches.select("host", "path", "pages", "importance")
+            lines = [chains[host, node] if kind == 0 else None for host, node, kind, _ in total]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.array(list(total.values()), pa.int64()), pa.array(lines, pa.list_(pa.int64()))], names=["host", "node", "kind", "feature", "n", "chain"])
 
+    found = pages.select("host", "html").mapInArrow(run, "host string, node bigint, kind int, feature bigint, n bigint, chain array<bigint>")
+    return found.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.any_value("chain").alias("chain"))
 
-def host_of(url: str):
-    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
-
-def low_branches(tree: DataFrame, fewest: int = FEWEST, low: float = LOW) -> DataFrame:
-    """(host, removed array<string>): paths of low importance, but for the page's frame and what holds an article."""
-    frame = F.col("path").rlike(r"^html[^/]*(/(body|head)[^/]*)?(/(article|main)[^/]*)?(/(p|h1))?$")
-    return tree.where((F.col("pages") >= fewest) & (F.col("importance") < low) & ~frame & (F.col("path") != "")).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("removed"))
+def style_tree(pages: DataFrame, fewest: int = FEWEST) -> DataFrame:
+    """(host, node, pages, presentation, content, importance) of each node that occurs in enough pages (host, html); importance is a branch's, null if it has no text."""
+    seen = keep(counts(pages), "style-counts")
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    nodes = seen.groupBy("host", "node").agg(
+        F.sum(of(0, F.col("n"))).alias("pages"),
+        F.max(of(0, F.col("chain"))).alias("chain"),
+        F.sum(of(1, F.col("n"))).alias("layouts"),
+        F.sum(of(1, F.col("n") * F.log("n"))).alias("nlogn"),
+        F.sum(of(2, F.col("n"))).alias("texts"),
+        F.sum(of(2, F.col("n") * F.log("n"))).alias("tlogt"),
+    )
+    m = F.greatest(F.log("pages"), F.lit(1e-9))
+    presentation = F.greatest(F.log("layouts") - F.col("nlogn") / F.col("layouts"), F.lit(0.0))
+    content = F.greatest(1 - F.col("tlogt") / F.col("texts") / m, F.lit(0.0))  # a text in k of m pages has the entropy log_m(k)
+    nodes = keep(nodes.where(F.col("pages") >= fewest).select("host", "node", "pages", "chain", presentation.alias("presentation"), content.alias("content")), "style-nodes")
+    up = nodes.select("host", F.explode("chain").alias("above"), "node", "presentation")
+    down = up.groupBy("host", F.col("above").alias("node")).agg(F.max("presentation").alias("below"))
+    line = up.join(nodes.select("host", F.col("node").alias("above"), F.col("presentation").alias("p")), ["host", "above"]).groupBy("host", "node").agg(F.max("p").alias("over"))
+    own = nodes.join(down, ["host", "node"]).join(line, ["host", "node"]).withColumn("own", F.col("content") * (F.greatest("below", "over") + FLOOR))
+    branch = own.select("host", F.explode("chain").alias("node"), "own").groupBy("host", "node").agg(F.max("own").alias("branch"))
+    most = own.groupBy("host").agg(F.max("own").alias("most"))
+    out = nodes.join(branch, ["host", "node"]).join(most, "host")
+    return out.select("host", "node", "pages", "presentation", "content", (F.col("branch") / F.greatest("most", F.lit(1e-9))).alias("importance"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", fewest: int = FEWEST, low: float = LOW) -> DataFrame:
     """(key, url, text) of each page."""
-    rows = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"))
-    removed = keep(low_branches(style_tree(rows), fewest, low), "low-branches")
-    joined = join_sized(rows.withColumn("host", host_of("url")), removed, "host", "left").select(key, "url", "html", "removed")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
+    rows = rows.withColumn("page", F.xxhash64("url", "html"))
+    tree = keep(style_tree(rows, fewest).select("host", "node", F.coalesce(F.col("importance") < low, F.lit(False)).alias("low")), "style-verdicts")
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list({e.node for kind, e, _ in walk(page or "") if kind == "open" and not e.never}) for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "nodes"])
+
+    # A page is known by its host and content, so that the two passes over the table need no common numbering.
+    own = rows.select("host", "page", "html").mapInArrow(nodes, "host string, page bigint, nodes array<bigint>").select("host", "page", F.explode("nodes").alias("node"))
+    met = join_sized(own, tree, ["host", "node"], salt=F.pmod("page", F.lit(SALTS)).cast("int"), salts=SALTS)
+    verdicts = keep(met.groupBy("host", "page").agg(F.collect_set("node").alias("judged"), F.collect_set(F.when(F.col("low"), F.col("node"))).alias("low")), "page-verdicts")
+    joined = join_sized(rows, verdicts, ["host", "page"], "left").select("key", "url", "html", "low", "judged")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(page or "", set(paths or ())) for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[key, "url", "text"])
+            texts = [text_of(page or "", set(a or ()), set(b or ())) for page, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"`{key}` {kind}, url string, text string")
+    return joined.mapInArrow(run, f"key {kind}, url string, text string").withColumnRenamed("key", key)
 
 
 def digests(extracted: DataFrame, key: str = "page_id") -> DataFrame:

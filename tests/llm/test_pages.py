@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from collonade.llm import style_tree
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
@@ -21,21 +25,52 @@ def test_article_only(spark):
 def test_template_branches_of_a_host_go(spark):
     page = "<body><div class=x><span>Same words on each page</span></div><article><h1>Title {0}</h1><div class=y>Read more about us</div><p>Body {0} of its own</p></article></body>"
     df = pages(spark, *[(i, f"http://h.example/{i}", page.format(i), "") for i in range(12)])
-    got = {r.page_id: r.text for r in style_tree.extract(df).collect()}
-    assert got == {i: f"Title {i} Body {i} of its own" for i in range(12)}
-    tree = {r.path: r.importance for r in style_tree.style_tree(df).collect()}
-    low, high = tree["body/article/div.y"], tree["body/article/p"]
-    assert low < 0.05 and high > 0.95
+    assert texts_of(style_tree.extract(df)) == {i: f"Title {i} Body {i} of its own" for i in range(12)}
 
 
-def test_importance_against_brute_force(spark):
-    import math
+def texts_of(df):
+    return {r.page_id: r.text for r in df.collect()}
+
+
+WORDS = "lake river stone cloud winter summer garden window letter music bread paper silver copper forest island bridge".split()
+
+
+def site(spark, n, host="t.example"):
+    """Pages without any telling tag or name: a menu of varying words, an advert, the text, and a closing line."""
+    rng, rows, want = random.Random(3), [], {}
+    for i in range(n):
+        own = [" ".join(rng.choices(WORDS, k=rng.randrange(4, 90))) + f" n{i}x{j}" for j in range(rng.randrange(1, 12))]
+        menu = "".join(f"<li><a href=/>{rng.choice(WORDS)} {i}{j}</a></li>" for j in range(5))
+        advert, closing = " ".join(rng.choices(WORDS, k=6)) + str(i), " ".join(rng.choices(WORDS, k=7)) + str(i)
+        body = "".join(f"<p>{x}</p>" for x in own[1:])
+        rows.append((i, f"http://{host}/{i}", f"<body><div class=a><ul>{menu}</ul></div><div class=b>{advert}</div><div class=c><h2>{own[0]}</h2>{body}<div class=d>Tell your friends</div></div><div class=e>All content by us, {closing}</div></body>", ""))
+        want[i] = " ".join(own)
+    return pages(spark, *rows), want
 
-    texts = ["a", "a", "b", "c", "c", "c", "d", "e"]
-    df = pages(spark, *[(i, "http://k.example/", f"<body><p>{t}</p></body>", "") for i, t in enumerate(texts)])
-    got = {r.path: r.importance for r in style_tree.style_tree(df).collect()}["body/p"]
-    shares = [math.log(texts.count(t)) / math.log(len(texts)) for t in set(texts)]
-    assert abs(got - (1 - sum(shares) / len(shares))) < 1e-9
+
+def test_the_tree_decides_without_tags_or_names(spark):
+    df, want = site(spark, 40)
+    assert texts_of(style_tree.extract(df)) == want
+    every = texts_of(style_tree.extract(df, low=-1.0))
+    assert all(every[i] != want[i] and "Tell your friends" in every[i] for i in want)  # with removal off, nothing goes
+
+
+def test_names_do_not_remove_what_holds_most_of_a_page(spark):
+    df = pages(spark, (1, "u", "<body><div class='social legal'><p>The whole text of this page is here.</p></div><div class=legal>small print</div></body>", ""))
+    assert texts_of(style_tree.extract(df)) == {1: "The whole text of this page is here."}
+
+
+def test_importance_against_brute_force(spark):
+    texts = ["a", "a", "b", "c c c c c", "c c c c c", "c c c c c", "d", "e"]
+    df = pages(spark, *[(i, "http://k.example/", f"<body><p>{t}</p><i>same</i></body>", "") for i, t in enumerate(texts)])
+    tree = style_tree.style_tree(df.selectExpr("html", "'k.example' host")).collect()
+    p = next(r for r in tree if r.content and r.content > 0)
+    shares = [math.log(texts.count(t)) / math.log(len(texts)) for t in texts]
+    assert abs(p.content - (1 - sum(shares) / len(shares))) < 1e-9
+    lengths = Counter((len(t.split()).bit_length() + 1) // 2 for t in texts)
+    entropy = -sum(n / 8 * math.log(n / 8) for n in lengths.values())
+    assert abs(p.presentation - entropy) < 1e-9 and p.importance == 1.0
+    assert sorted(round(r.importance, 9) for r in tree) == [0.0, 1.0, 1.0]
 
 
 def test_very_long_and_broken(spark):
