@@ -74,12 +74,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """For each element the sum of those before it, in blocks so that long arrays stay near linear."""
+def prefixes(values: Column, add, block: int = 256) -> Column:
+    """For each element of a bigint array what add makes of those before it, from 0; in blocks so that long arrays stay near linear."""
 
     def running(xs: Column) -> Column:
         start = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("a"))
-        step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
+        step = lambda acc, x: F.struct(add(acc["s"], x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
         return F.aggregate(xs, start, step, lambda acc: acc["a"])
 
     values = F.transform(values, lambda x: x.cast("bigint"))
@@ -87,6 +87,16 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
         F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
         lambda b: F.slice(values, b * block + 1, F.lit(block)),
     )
-    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + y))
-    whole = F.flatten(F.zip_with(blocks, running(sums), lambda x, base: F.transform(running(x), lambda y: y + base)))
+    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), add))
+    whole = F.flatten(F.zip_with(blocks, running(sums), lambda x, base: F.transform(running(x), lambda y: add(base, y))))
     return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def prefix_sums(values: Column) -> Column:
+    """For each element the sum of those before it."""
+    return prefixes(values, lambda a, x: a + x)
+
+
+def prefix_maxima(values: Column) -> Column:
+    """For each element (zero or more) the largest of those before it, or zero."""
+    return prefixes(values, lambda a, x: F.greatest(a, x))

@@ -1,15 +1,29 @@
 """Personal data: fixed kinds by expression, unseen identifiers by bootstrapped context.
 
 Fixed kinds (e-mail, IPv4 address, payment card, phone) are found by expressions
-with checks.  They seed the bootstrap: each identifier-like token, fixed or not,
-has lexical patterns (the words before and after it, and a name glued to it by =
-or :).  Over the graph of patterns and tokens, Spark scores in turn the patterns
-(by the share of their tokens that are believed to be personal) and the tokens
-(by the patterns that hold them).  Occurrences of confident patterns give spans of
-kind "id".  Fixed spans always stay.
-
-All of it is SQL functions.  Offsets are code points, ends exclusive.  Defined
-results: a null text has no spans; repeated rows are judged each for themselves.
+with checks.  They and tokens of a well-formed shape (keys, hashes, account
+numbers) are the seed entities.  Their contexts are lexical patterns: the word
+before, the two words before, and the words on both sides (a name glued on by = or
+: is a word before).  A pattern that holds SUPPORT different seeds gets all of its
+slots in the corpus as edges to what stands there, whatever its shape, so that a
+stop word's pattern has thousands of ordinary words against it.  Over this graph
+Spark scores in turn patterns (the share of belief among their different
+instances) and instances (by the confident patterns that hold them, less by the
+share of their occurrences elsewhere) until no score changes.  Instances that come
+to be believed give new patterns, and new slots, until no pattern is new.  What
+stands in the slots of confident patterns gives spans of kind "id".  Fixed spans
+always stay.
+
+All of it is SQL functions.  Each pass over the texts is a scan that joins the
+words' contexts with the patterns looked for; slots are written only for patterns
+that enough of their instances can make confident, so the graph stays in
+proportion to the seeds.
+
+Offsets are code points, ends exclusive.  Defined results: a null text has no
+spans; empty tables give empty results; repeated rows are judged each for
+themselves, and a repeated instance counts once in a pattern; ties can't arise, as
+all patterns over the confidence count; texts of any length are read whole; other
+columns are carried in a struct, so names can't clash.
 """
 
 from __future__ import annotations
@@ -17,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collonade.llm.common import checkpoint, join_sized, keep, prefix_sums
+from collonade.llm.common import checkpoint, join_sized, keep, prefix_maxima, prefix_sums
 
 # A match can only start where a run of its first characters starts, or where the last match ended: the guards say so,
 # which spares long runs a start at each of their characters.  Looking back for doubled separators, not groups with
@@ -29,10 +43,21 @@ EXPRESSIONS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*EXPRESSIONS]
-TOKEN = r"(?<!\S)(?=\S*[0-9@])\S+"
+#: What is trimmed off words, as a character class.
+EDGES = r"""[\].,;:!?(){}<>"'`*#%&$|~…«»“”„‘’\[]"""
+#: A word of a text: a name with what glues it to its value, or a run of anything but white space; its first group is without the edges.
+TOKEN = rf"(?=\S){EDGES}*+([A-Za-z_][A-Za-z_-]*+[=:](?=\S)|(?:\S*(?!{EDGES})\S)?+){EDGES}*+"
+#: Stands for the start of a fixed span where contexts are read.
+MARK = "\ue000"
+# Shapes of identifiers, in lower case: hexadecimal keys, UUIDs, keys and tokens of services, account numbers, social security numbers.
+SHAPES = r"^(?:[0-9a-f]{32,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[0-9a-z]{30,}|eyj[0-9a-z_-]{10,}\.[0-9a-z_.-]{10,}|[a-z]{2}[0-9]{2}[0-9a-z]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
+#: What a text with a shape in it has somewhere.
+SHAPED = r"(?<![0-9A-Za-z_-])(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-|[Aa][KkSs][Ii][Aa][0-9A-Za-z]{16}|[Gg][Hh][POUSRpousr]_[0-9A-Za-z]{30}|[Ee][Yy][Jj][0-9A-Za-z_-]{10}|[A-Za-z]{2}[0-9]{2}[0-9A-Za-z]{11}|[0-9]{3}-[0-9]{2}-[0-9]{4})"
+#: An identifier written in up to 16 groups.
+GROUPS = r"^(?=\S*[0-9])[0-9A-Za-z]{1,8}(?: (?=[A-Z]*[0-9])[0-9A-Z]{1,8}(?![0-9A-Za-z])){1,15}"
 SPAN = "array<struct<start:bigint,k:int,end:bigint>>"
-#: Confidence and different tokens that a pattern needs, and rounds of scoring.
-CONFIDENT, SUPPORT, ROUNDS = 0.8, 3, 4
+#: Confidence and belief in different instances that a pattern needs, belief from the shape alone, and belief that an instance needs.
+CONFIDENT, SUPPORT, SHAPE_BELIEF, BELIEVED = 0.8, 3, 0.95, 0.5
 
 
 def luhn(digits: Column) -> Column:
@@ -81,76 +106,162 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn(f"_f{k}", F.coalesce(spans.cast(SPAN), F.array().cast(SPAN)))
         found.append(f"_f{k}")
     df = df.withColumns({"_spans": F.sort_array(F.concat(*found)), **{f"n_{kind}": F.size(f"_f{k}").cast("bigint") for k, kind in enumerate(KINDS)}})
-    # Tokens, with the piece of text before each.
-    df = df.withColumn("_tm", F.when(F.col("_t") != "", F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0))))
-    df = df.withColumn("_tp", F.when(F.size("_tm") > 0, F.split("_t", TOKEN, -1)))
-    steps = F.zip_with(F.slice(F.col("_tp"), F.lit(1), F.size("_tm")), F.concat(F.array(F.lit("")), F.slice(F.col("_tm"), F.lit(1), F.size("_tm") - 1)), lambda p, m: F.length(p) + F.length(m))
-    df = df.withColumn("_td", F.when(F.col("_tp").isNotNull(), steps))
-    df = df.withColumn("_ts", F.when(F.col("_tp").isNotNull(), F.zip_with(prefix_sums(F.col("_td")), F.col("_td"), lambda a, x: a + x)))
-    flat = lambda c: F.translate(c, "\t\n\x0b\x0c\r", "     ")
-    token = lambda m, i: F.struct(
-        F.get("_ts", i).cast("bigint").alias("start"),
-        m.alias("token"),
-        F.substring_index(F.rtrim(flat(F.right(F.get("_tp", i), F.lit(200)))), " ", -1).alias("left"),
-        F.substring_index(F.ltrim(flat(F.left(F.get("_tp", i + 1), F.lit(200)))), " ", 1).alias("right"),
-    )
-    df = df.withColumn("_tokens", F.when(F.col("_ts").isNotNull(), F.transform("_tm", token)))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], "_spans", "_tokens", *[f"n_{k}" for k in KINDS])
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """(_row, start, end, token, seed, patterns): what the graph is made of; fixed spans are seeds."""
-    one = rows.where(F.size("_tokens") > 0).select("_row", "_spans", F.explode("_tokens").alias("t")).select("_row", "_spans", "t.*")
-    name = F.regexp_extract("token", r"^([A-Za-z_][A-Za-z_-]*[=:])(?=.*[0-9@])", 1)
-    one = one.withColumns({"name": name, "lead": F.length(F.regexp_extract(F.substr("token", F.length(name) + 1), r"^[^\p{L}\p{N}+@_]*", 0))})
-    core = F.regexp_replace(F.substr("token", F.length("name") + F.col("lead") + 1), r"[^\p{L}\p{N}]+$", "")
-    one = one.withColumn("core", core).where(F.length("core") >= 4)
-    one = one.withColumn("start", F.col("start") + F.length("name") + F.col("lead")).withColumn("end", F.col("start") + F.length("core"))
-    seed = F.exists("_spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    word = lambda c: F.lower(F.regexp_replace(c, r"[\s]+", ""))
-    patterns = F.filter(
-        F.array(
-            F.when(F.col("name") != "", F.concat(F.lit("n:"), F.lower("name"))),
-            F.when((F.col("left") != "") & (F.col("name") == ""), F.concat(F.lit("l:"), word(F.col("left")))),
-            F.when(F.col("right") != "", F.concat(F.lit("r:"), word(F.col("right")))),
-            F.when((F.col("left") != "") & (F.col("right") != ""), F.concat(F.lit("b:"), word(F.col("left")), F.lit(" "), word(F.col("right")))),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    return one.select("_row", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.lower("core").alias("token"), seed.alias("seed"), patterns.alias("patterns"))
-
-
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern): those that end up confident, from rounds of scores over the graph of patterns and tokens."""
-    edges = keep(found.select(F.explode("patterns").alias("pattern"), "token", "seed").groupBy("pattern", "token").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-graph")
-    scores = checkpoint(edges.groupBy("token").agg(F.max("seed").alias("score")))
-    high = None
-    for _ in range(rounds):
-        held = edges.join(scores, "token")
-        marks = held.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("s"))
-        high = checkpoint(marks.withColumn("confidence", F.col("s") / (F.col("n") + 0.5)).where((F.col("s") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "confidence"))
-        lifted = join_sized(edges, high, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("new"))
-        after = scores.join(lifted, "token", "left").select("token", F.greatest("score", F.coalesce("new", F.lit(0.0))).alias("score"))
-        after = checkpoint(after)
-        same = after.agg(F.sum("score")).first()[0] == scores.agg(F.sum("score")).first()[0]
-        scores = after
-        if same:
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], "_spans", *[f"n_{k}" for k in KINDS])
+
+
+def stitched(text: Column, spans: Column, head, more) -> Column:
+    """The text with each stretch of overlapping spans replaced: head(kind, start, end) for its first span, more(start, end) for what others add."""
+    before = prefix_maxima(F.transform(spans, lambda s: s["end"]))
+
+    def piece(s: Column, at: Column) -> Column:
+        gap = F.substr(text, (at + 1).cast("int"), (s["start"] - at).cast("int"))
+        longer = F.when(s["end"] > at, more(at, s["end"])).otherwise(F.lit(""))
+        return F.when(s["start"] >= at, F.concat(gap, head(s["k"], s["start"], s["end"]))).otherwise(longer)
+
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    whole = F.concat(F.array_join(F.zip_with(spans, before, piece), ""), F.substr(text, (end + 1).cast("int")))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each span, or stretch of overlapping spans, replaced by the kind of its first in brackets."""
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "id"]])
+    return stitched(text, spans, lambda k, a, b: F.get(kinds, k), lambda a, b: F.lit(""))
+
+
+def marked(text: Column, spans: Column) -> Column:
+    """The text with each fixed span replaced by a word of the same length that starts with MARK and tells its content's hash."""
+    own = lambda a, b: F.hex(F.xxhash64(F.lower(F.substr(text, (a + 1).cast("int"), (b - a).cast("int")))))
+    return stitched(text, spans, lambda k, a, b: F.rpad(F.concat(F.lit(MARK), own(a, b)), (b - a).cast("int"), F.lit("x")), lambda a, b: F.repeat(F.lit("x"), (b - a).cast("int")))
+
+
+def folded(text: Column) -> Column:
+    """The text with the two characters replaced that have an ASCII letter in lower case, so that a text and its lower case have the same words."""
+    return F.translate(text, "\u212a\u0130", "ki")
+
+
+def contexts(rows: DataFrame) -> DataFrame:
+    """(_row, i, word, left, before, right) of each word of the marked texts _m, in lower case and without edges; before is the left word's left."""
+    words = rows.select("_row", F.regexp_extract_all(F.lower(folded(F.col("_m"))), F.lit(TOKEN), F.lit(1)).alias("w"))
+    none, n = F.array(F.lit(None).cast("string")), F.size("w")
+    shifted = {"word": F.col("w"), "left": F.slice(F.concat(none, "w"), F.lit(1), n), "before": F.slice(F.concat(none, none, "w"), F.lit(1), n), "right": F.slice(F.concat("w", none), F.lit(2), n)}
+    zipped = words.withColumns({k: v for k, v in shifted.items() if k != "word"})
+    return zipped.select("_row", F.posexplode(F.arrays_zip(F.col("w").alias("word"), "left", "before", "right")).alias("i", "c")).select("_row", "i", *[F.col("c")[k].alias(k) for k in shifted])
+
+
+def patterns() -> Column:
+    """The hashes of a context's patterns by kind: the word before, the words on both sides, the two words before; null where there is none."""
+    one = F.when(F.col("left").isNotNull(), F.xxhash64(F.lit("l"), "left"))
+    both = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), F.xxhash64(F.lit("b"), "left", "right"))
+    two = F.when(F.col("before").isNotNull(), F.xxhash64(F.lit("l2"), "before", "left"))
+    return F.array(one, both, two)
+
+
+def belief(word: Column) -> Column:
+    """What is believed of a word without its context: 1 for fixed spans, SHAPE_BELIEF for the shapes, or 0."""
+    return F.when(F.startswith(word, F.lit(MARK)), 1.0).when((F.length(word) >= 11) & word.rlike(SHAPES), SHAPE_BELIEF).otherwise(0.0)
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(_row, i, word, instance, kind, pattern) of each word and each of its patterns."""
+    found = contexts(rows).select("_row", "i", "word", F.xxhash64("word").alias("instance"), F.posexplode(patterns()).alias("kind", "pattern"))
+    return found.where(F.col("pattern").isNotNull())
+
+
+def promising(held: DataFrame) -> DataFrame:
+    """(pattern, s) of the patterns in (pattern, instance, score) that enough believed instances share."""
+    return held.groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT * SHAPE_BELIEF)
+
+
+def settle(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence) of the confident patterns and (instance, score) of all instances, once no score changes.
+
+    edges: (pattern, instance, kind, prior, n), one row for each pair; totals: (instance, total), how often those without
+    a prior occur at all.
+    """
+    prior = edges.groupBy("instance").agg(F.max("prior").alias("prior"))
+    base = keep(prior.join(totals, "instance", "left"), "pii-instances")
+    scores = base.select("instance", F.col("prior").alias("score"))
+    before = None
+    while True:
+        marks = edges.join(scores, "instance").groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("s"))
+        marks = marks.withColumn("confidence", F.round(F.col("s") / (F.col("n") + 0.5), 9))
+        high = checkpoint(marks.where((F.col("s") >= SUPPORT * SHAPE_BELIEF) & (F.col("confidence") >= CONFIDENT)).select("pattern", "confidence"))
+        # An occurrence has one pattern of each kind, so the kind with the most tells how many are held.
+        of = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in range(3)]
+        lifted = join_sized(edges, high, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("new"), F.greatest(*of).alias("held"))
+        after = base.join(lifted, "instance", "left")
+        new = F.coalesce(F.col("new") * F.least(F.col("held") / F.col("total"), F.lit(1.0)), F.lit(0.0))
+        scores = checkpoint(after.select("instance", F.round(F.greatest("prior", new), 9).alias("score")))
+        now = tuple(scores.agg(F.count(F.when(F.col("score") > 0, 1)), F.round(F.sum("score"), 6)).first())
+        if now == before:
+            return high, scores
+        before = now
+
+
+def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_row, i): the words of (_row, _m) that confident patterns and belief tell to be identifiers; and (pattern, confidence)."""
+    seeded = rows.where(F.contains("_m", F.lit(MARK)) | F.col("_m").rlike(SHAPED))
+    seeds = occurrences(seeded).withColumn("score", belief(F.col("word"))).where("score > 0")
+    held = keep(seeds.select("pattern", "instance", "score").distinct(), "pii-seeds")
+    known = None
+    while True:
+        wanted = checkpoint(promising(held))
+        # Only patterns that could be confident are looked into: at least half of the confidence by a sketch of their different instances.
+        sizes = join_sized(occurrences(rows), wanted, "pattern").groupBy("pattern").agg(F.approx_count_distinct("instance", 0.05).alias("n"), F.first("s").alias("s"))
+        open_ones = checkpoint(sizes.where(F.col("s") >= F.col("n") * (CONFIDENT / 2)).select("pattern"))
+        slots = keep(join_sized(occurrences(rows), open_ones, "pattern").select("_row", "i", "instance", "kind", "pattern", belief(F.col("word")).alias("prior")), "pii-slots")
+        edges = keep(slots.groupBy("pattern", "instance", "kind").agg(F.max("prior").alias("prior"), F.count("*").alias("n")), "pii-graph")
+        fillers = checkpoint(edges.where("prior = 0").select("instance").distinct())
+        if fillers.isEmpty():
+            found = totals = edges.sparkSession.createDataFrame([], "instance bigint, total bigint")
+        else:
+            found = keep(join_sized(contexts(rows).select(F.xxhash64("word").alias("instance"), patterns().alias("patterns")), fillers, "instance").groupBy("instance", "patterns").agg(F.count("*").alias("n")), "pii-fillers")
+            totals = found.groupBy("instance").agg(F.sum("n").alias("total"))
+        high, scores = settle(edges, totals)
+        believed = checkpoint(scores.where(F.col("score") >= BELIEVED))
+        count = believed.join(fillers, "instance", "left_semi").count()
+        if not count or count == known:
             break
-    return high.select("pattern")
+        known = count
+        more = found.join(believed, "instance").select(F.explode("patterns").alias("pattern"), "instance", "score").where(F.col("pattern").isNotNull()).distinct()
+        held = keep(seeds_of(held, fillers).unionByName(more), "pii-seeds")
+    chosen = join_sized(join_sized(slots.where("prior < 1"), high, "pattern"), believed, "instance", "left_semi")
+    return chosen.select("_row", "i").distinct(), high
+
+
+def seeds_of(held: DataFrame, fillers: DataFrame) -> DataFrame:
+    """What is held but for the instances that are judged anew."""
+    return held.join(fillers, "instance", "left_anti").select("pattern", "instance", "score")
+
+
+def identifiers(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(_row, _more): spans of the chosen words of (_row, _m), with following groups where one is written in groups."""
+    places = keep(chosen.groupBy("_row").agg(F.sort_array(F.collect_list("i")).alias("_at")), "pii-places")
+    t = join_sized(rows, places, "_row").select("_row", "_m", "_at", folded(F.col("_m")).alias("f"))
+    t = t.withColumns({"w": F.regexp_extract_all("f", F.lit(TOKEN), F.lit(0)), "c": F.regexp_extract_all("f", F.lit(TOKEN), F.lit(1)), "g": F.split("f", TOKEN, -1)})
+    steps = F.zip_with(F.slice(F.col("g"), F.lit(1), F.size("w")), F.concat(F.array(F.lit("")), F.slice(F.col("w"), F.lit(1), F.size("w") - 1)), lambda g, w: F.length(g) + F.length(w))
+    t = t.withColumn("d", steps)
+    t = t.withColumn("s", F.zip_with(prefix_sums(F.col("d")), F.col("d"), lambda a, x: a + x))
+
+    def span(i: Column) -> Column:
+        core = F.get("c", i)
+        start = F.get("s", i) + F.length(F.regexp_extract(F.get("w", i), rf"^{EDGES}*", 0))
+        grouped = F.length(F.regexp_extract(F.substr("_m", (start + 1).cast("int")), GROUPS, 0))
+        return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("k"), (start + F.greatest(F.length(core), grouped)).cast("bigint").alias("end"))
+
+    return t.select("_row", F.transform("_at", span).cast(SPAN).alias("_more"))
 
 
 def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Each row's carried columns, n_email, n_ip, n_card, n_phone, base (spans) and spans (all, "id" as kind 4)."""
     carry = docs.columns if carry is None else carry
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(text).alias("_text"))
-    rows = keep(with_spans(held, "_text").drop("_text").withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    found = keep(candidates(rows), "pii-candidates")
-    high = bootstrap(found)
-    open_ones = found.where(~F.col("seed")).select("_row", "start", "end", F.explode("patterns").alias("pattern"))
-    new = join_sized(open_ones, high, "pattern", "left_semi").select("_row", "start", "end").distinct()
-    span = F.struct("start", F.lit(len(KINDS)).alias("k"), "end")
-    extra = checkpoint(new.groupBy("_row").agg(F.sort_array(F.collect_list(span)).cast(SPAN).alias("_more")))
-    out = join_sized(rows, extra, "_row", "left")
+    found = with_spans(held, "_text").withColumns({"_row": F.monotonically_increasing_id(), "_text": F.coalesce("_text", F.lit(""))})
+    rows = keep(found.withColumn("_m", marked(F.col("_text"), F.col("_spans"))).drop("_text"), "pii-rows")
+    chosen, _ = bootstrap(rows)
+    extra = keep(identifiers(rows, chosen), "pii-identifiers")
+    out = join_sized(rows.drop("_m"), extra, "_row", "left")
     return out.select("_doc", *[f"n_{k}" for k in KINDS], F.col("_spans").alias("base"), F.when(F.col("_more").isNull(), F.col("_spans")).otherwise(F.sort_array(F.concat("_spans", "_more"))).alias("spans"))
 
 
@@ -164,16 +275,3 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """What op10 returns."""
     return found.select(F.col("_doc")[key].alias(key), *[f"n_{k}" for k in KINDS], F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
-
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span, or stretch of overlapping spans, replaced by the kind of its first in brackets."""
-    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "id"]])
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(between, F.get(kinds, s["k"]))).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)

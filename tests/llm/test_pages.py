@@ -63,7 +63,7 @@ def test_names_do_not_remove_what_holds_most_of_a_page(spark):
 def test_importance_against_brute_force(spark):
     texts = ["a", "a", "b", "c c c c c", "c c c c c", "c c c c c", "d", "e"]
     df = pages(spark, *[(i, "http://k.example/", f"<body><p>{t}</p><i>same</i></body>", "") for i, t in enumerate(texts)])
-    tree = style_tree.style_tree(df.selectExpr("html", "'k.example' host")).collect()
+    tree = style_tree.style_tree(df.selectExpr("html", "'k.example' host"), 8).collect()
     p = next(r for r in tree if r.content and r.content > 0)
     shares = [math.log(texts.count(t)) / math.log(len(texts)) for t in texts]
     assert abs(p.content - (1 - sum(shares) / len(shares))) < 1e-9

@@ -54,3 +54,59 @@ def test_mask(spark):
     found = pii.find(df)
     got = {r.doc_id: r.t for r in found.select("_doc.doc_id", pii.masked(F.col("_doc.text"), F.col("spans")).alias("t")).collect()}
     assert got == {1: "😀 [EMAIL], [IP]!", 2: None, 3: "plain"}
+
+
+def test_secrets_and_unseen_shapes_in_confident_contexts(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'the words token = "{key(i)}" the others {"and so on " * (i % 3)}') for i in range(9)]
+    gap = " " * 300  # further away than any window
+    rows += [(100, f'again token ={gap}"Zq9-LmNop!7" the end'), (101, "the sha of it " + key(77) + " stands"), (102, 'a token = "swordfishlike" here')]
+    rows += [(200 + i, f"the cat and the dog saw {i} of the 2020 birds") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(df)).collect()}
+    texts = dict(rows)
+    said = {k: [texts[k][int(a) : int(b)] for _, a, b in (x.split(":") for x in v.split(",") if x)] for k, v in got.items()}
+    assert all(said[i] == [key(i)] for i in range(9))
+    assert said[100] == ["Zq9-LmNop!7"] and said[102] == ["swordfishlike"] and said[101] == []
+    assert not any(said[200 + i] for i in range(40))
+
+
+def test_chains_of_patterns_are_followed(spark):
+    """Seeds make "login" confident; the names there make "handle" confident, and those there "alias"."""
+    often = lambda word, name: " ".join(f"x{k}{name} {word} {name} v{k}{name}" for k in range(19))
+    rows = [(i, f"w{i} login user{i}@mail.example v{i}") for i in range(700)]
+    rows += [(1000 + i, often("login", f"Na{i}me") + f" o{i} handle Na{i}me m{i}") for i in range(120)]
+    rows += [(2000 + i, often("handle", f"Fr{i}esh") + f" o{i} alias Fr{i}esh m{i}") for i in range(12)]
+    rows += [(9999, "z alias Quux y"), (9998, "Quuz alone")]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert got[1000].count("id:") == got[2000].count("id:") == 20 and got[9999] == "id:8:12" and got[9998] == ""
+
+
+def test_scores_against_brute_force(spark):
+    edges = [("p", "a", 1.0, 1), ("p", "b", 1.0, 1), ("p", "c", 1.0, 1), ("p", "d", 1.0, 2), ("p", "x", 0.0, 2), ("q", "x", 0.0, 1), ("q", "a", 1.0, 1), ("q", "b", 1.0, 1), ("q", "c", 1.0, 1), ("q", "y", 0.0, 1), ("r", "a", 1.0, 1), *[("r", f"w{i}", 0.0, 1) for i in range(9)]]
+    totals = {"x": 4, "y": 1, **{f"w{i}": 50 for i in range(9)}}
+    df = spark.createDataFrame([(p, i, "pqr".index(p), s, n) for p, i, s, n in edges], "pattern string, instance string, kind int, prior double, n bigint")
+    high, scores = pii.settle(df, spark.createDataFrame([*totals.items()], "instance string, total bigint"))
+    prior = {}
+    for _, i, s, _ in edges:
+        prior[i] = max(prior.get(i, 0.0), s)
+    want = dict(prior)
+    for _ in range(100):
+        confidence = {p: sum(want[i] for q, i, _, _ in edges if q == p) / (sum(q == p for q, *_ in edges) + 0.5) for p in "pqr"}
+        sure = {p: c for p, c in confidence.items() if c >= pii.CONFIDENT and sum(want[i] for q, i, _, _ in edges if q == p) >= pii.SUPPORT * pii.SHAPE_BELIEF}
+        for i in want:
+            miss, held = 1.0, 0
+            for p, j, _, n in edges:
+                if j == i and p in sure:
+                    miss, held = miss * (1.0001 - sure[p]), max(held, n)
+            want[i] = max(prior[i], (1 - miss) * min(1.0, held / totals.get(i, 1)) if held else 0.0)
+    assert {r.pattern: round(r.confidence, 6) for r in high.collect()} == {p: round(c, 6) for p, c in sure.items()}
+    assert {r.instance: round(r.score, 6) for r in scores.collect()} == {i: round(s, 6) for i, s in want.items()}
+
+
+def test_mask_of_many_and_overlapping_spans(spark):
+    text = "1.2.3.4 x " * 2000
+    spans = [(10 * i, 1, 10 * i + 7) for i in range(2000)]
+    df = spark.createDataFrame([(text, spans), ("abcdefghij", [(1, 0, 5), (3, 1, 8), (4, 2, 6)])], "t string, s array<struct<start:bigint,k:int,end:bigint>>")
+    got = [r.m for r in df.select(pii.masked(F.col("t"), F.col("s")).alias("m")).collect()]
+    assert got == ["[IP] x " * 2000, "a[EMAIL]ij"]
