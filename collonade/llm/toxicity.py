@@ -3,14 +3,24 @@
 Writers hide words by look-alike characters (1d10t), by spacing (i d i o t) and
 by repetition (idiooot).  Each hidden stretch is a lattice of what its characters
 may stand for; a Viterbi search under a character trigram model, counted over
-every document, finds the likeliest restored word.  A logistic regression on the
-words and word beginnings of restored texts gives the score.
-
-Only the fit of the regression looks at labels, of at most ``limit`` documents;
-the character counts and the scores cover all rows.
+every document, finds the likeliest restored word.  The search is exact: a step
+has a state for each pair of last letters that the lattice allows (at most
+(letters + 1)^2), and stretches of any length are decoded.  A chunk between white
+space is cut at the characters that stand for no letter, and decoded in parts and
+as a whole, since such a character may also stand between the letters of a word.
+A logistic regression on the words and word beginnings of restored texts gives
+the score.
+
+Only the fit of the regression looks at labels, of at most ``limit`` documents,
+and it keeps at most ``kept`` features; the character counts and the scores cover
+all rows.  The labelled documents' words are restored once and kept.
 
 Defined results: a null text scores as the empty text; with no label of either
-kind to learn from, every score is 0.5 less a hair (nothing is rejected).
+kind to learn from, every score is 0.5 less a hair (nothing is rejected); empty
+tables give empty results; repeated rows score alike, and labels on repeated ids
+count once; of ties between readings the one found first stays, so results repeat;
+texts are read whole, whatever their length; the score's column replaces one of its
+name.
 """
 
 from __future__ import annotations
@@ -27,17 +37,21 @@ from pyspark.sql import functions as F
 
 from collonade.llm.common import WHITE, held_out, keep
 
-#: Most labelled documents that a fit uses, most features that it keeps, and most that it compares.
-LIMIT, KEPT, COMPARED = 20_000, 4_096, 200_000
+#: Most labelled documents that a fit uses, and most features that it keeps.
+LIMIT, KEPT = 20_000, 4_096
 BEGINNINGS = range(3, 8)
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáçèéêëíîïñóôöùúûüßœæ"
 #: What characters stand for in disguised words.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 WORD = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_](?![^\W_])){3,}")
+#: Single letters or look-alikes with the same kind of gap between them: three or more, of any white space or marks.
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*,/~]++[^\W_](?![^\W_])){2,}")
+GAP = re.compile(r"[\s.\-_*,/~]+")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 A = len(LETTERS) + 1
+#: What stands for no letter and so may separate words within a chunk.
+PARTS = re.compile("[^\\w" + re.escape("".join(LOOKALIKES)) + "]+|_+")
 
 
 def letter_codes() -> np.ndarray:
@@ -100,10 +114,11 @@ class Channel:
 
     def decode(self, chunk: str) -> str:
         """The likeliest word of the chunk's lattice."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A state holds its probability and the way to it, as a chain that ways with one beginning share.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in self.lattice(chunk):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, out) in best.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (p, way) in best.items():
                 for s, cost in options:
                     x, y, q = a, b, p + cost
                     for ch in s:
@@ -111,31 +126,39 @@ class Channel:
                         q += self.log[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or after[x, y][0] < q:
-                        after[x, y] = (q, out + s)
-            best = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:64])
-        return max(((p + self.log[a][b][0], out) for (a, b), (p, out) in best.items()), default=(0.0, ""))[1]
+                        after[x, y] = (q, (way, s) if s else way)
+            best = after
+        _, way = max(((p + self.log[a][b][0], way) for (a, b), (p, way) in best.items()), key=lambda x: x[0])
+        parts = []
+        while way is not None:
+            way, s = way
+            parts.append(s)
+        return "".join(reversed(parts))
 
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
         low = text.lower()
         found: set[str] = set()
         for m in SPACED.finditer(low):
-            found.add(self.restore(re.sub(r"[ .\-_*]", "", m[0])))
+            found.add(self.restore(GAP.sub("", m[0])))
         repeats = REPEATED.search(low) is not None
         for chunk in set(low.split()):
-            if not chunk.isalpha():
-                whole, chunk = chunk, EDGES.sub("", chunk)
-                if chunk and (k := whole.index(chunk)) and whole[k - 1] in "$@€£!|" and len(chunk) < 40:
-                    found.add(self.restore(whole[k - 1] + chunk))  # a disguised first letter
-                if not chunk.isalpha():
-                    parts = WORD.findall(chunk)
-                    found.update(parts)
-                    if parts and len(chunk) <= 40 and (len(parts) > 1 or len(parts[0]) < len(chunk)):
-                        found.add(self.restore(chunk))
-                    continue
-            found.add(chunk)
-            if repeats and REPEATED.search(chunk) and len(chunk) <= 200:
-                found.add(self.restore(chunk))
+            if chunk.isalpha():
+                found.add(chunk)
+                if repeats and REPEATED.search(chunk):
+                    found.add(self.restore(chunk))
+                continue
+            found.update(WORD.findall(chunk))
+            core = EDGES.sub("", chunk)
+            if not core:
+                continue
+            if (k := chunk.index(core)) and chunk[k - 1] in "$@€£!|":
+                found.add(self.restore(PARTS.split(chunk[k - 1 :])[0]))  # a disguised first letter
+            parts = [p for p in PARTS.split(core) if p]
+            for part in {*parts, core}:
+                part = EDGES.sub("", part)
+                if part and not part.isalpha() and not part.isdigit() or repeats and REPEATED.search(part):
+                    found.add(self.restore(part))
         found.discard("")
         return found
 
@@ -183,28 +206,38 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     shingles = F.transform(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
     sample = keep(words.withColumn("_near", F.array_min(shingles)).groupBy("_y", "_near").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text")).select("_y", "_text"), "labelled")
 
-    def counted(only: set[str] | None):
+    channel_of = sample.sparkSession.sparkContext.broadcast(trigrams)
+
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel = Channel(channel_of.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(channel.words(t or "")) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["_y", "words"])
+
+    sample = keep(sample.mapInArrow(restored, "_y int, words array<string>"), "restored")
+
+    def counted(only: set[str] | None) -> DataFrame:
         """Document frequencies: of all features in texts labelled 1, or of the given ones in the others."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            channel, counts = Channel(trigrams), Counter()
+            counts: Counter = Counter()
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    own = features(channel.words(t or ""), known)
+                for words in batch.column(0).to_pylist():
+                    own = features(set(words), known)
                     counts.update(own if only is None else own & only)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
         known = None if only is None else beginnings(only)
         want = 1 if only is None else 0
-        return sample.where(F.col("_y") == want).select("_text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+        return sample.where(F.col("_y") == want).select("words").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     model = {"trigrams": trigrams, "weights": {}, "bias": -1e-6}
     if not pos or not neg:
         return model
+    # Of the labelled texts at most limit, and of a feature's texts at least one in 400: so at most 400 times a text's features.
     least = max(2, pos // 400)
-    ones = {r["feature"]: r["n"] for r in counted(None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(COMPARED).collect()}
+    ones = {r["feature"]: r["n"] for r in counted(None).where(F.col("n") >= least).collect()}
     zeros = {r["feature"]: r["n"] for r in counted(set(ones)).collect()}
 
     def strength(f: str) -> float:
@@ -217,12 +250,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     starts = beginnings(names)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel(trigrams)
         for batch in batches:
-            own = [sorted(index[f] for f in features(channel.words(t or ""), starts) & index.keys()) for t in batch.column(1).to_pylist()]
+            own = [sorted(index[f] for f in features(set(words), starts) & index.keys()) for words in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["_y", "own"])
 
-    got = sample.select("_y", "_text").mapInArrow(present, "_y int, own array<int>").collect()
+    got = sample.select("_y", "words").mapInArrow(present, "_y int, own array<int>").collect()
     weights, bias = logistic([r["own"] for r in got], np.array([r["_y"] for r in got], float), len(names))
     return model | {"weights": {f: float(w) for f, w in zip(names, weights, strict=True) if w}, "bias": bias}
 
@@ -246,17 +278,20 @@ def logistic(rows: list[list[int]], y: np.ndarray, n: int, penalty: float = 0.1,
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the score of each text, 0 to 1."""
-    trigrams, weights, bias, names = model["trigrams"], model["weights"], model["bias"], docs.columns
+    """Add the score of each text, 0 to 1, in place of a column of that name."""
+    names = [c for c in docs.columns if c != name]
+    rows = docs.select(F.col(f"`{text}`").alias("_scored"), *[F.col(f"`{c}`") for c in names])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel, known, starts = Channel(trigrams), weights.keys(), beginnings(weights)
+        channel, weights, bias = Channel(sent.value["trigrams"]), sent.value["weights"], sent.value["bias"]
+        known, starts = weights.keys(), beginnings(weights)
         for batch in batches:
-            z = np.array([bias + sum(weights[f] for f in features(channel.words(t or ""), starts) & known) for t in batch.column(names.index(text)).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, name])
+            z = np.array([bias + sum(weights[f] for f in features(channel.words(t or ""), starts) & known) for t in batch.column(0).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, name])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, `{name}` double")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != name)
+    return rows.mapInArrow(run, f"{kept}`{name}` double")
 
 
 def digests(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ def test_every_row_has_a_score(odd, nothing, labels, operator, label):
     assert {r.predicted for r in none} == ({1} if operator is quality else {0})
 
 
-@pytest.mark.parametrize("operator, label, hits, keeps", [(quality, "quality", 0.9, 0.97), (toxicity, "toxic", 0.5, 0.97)])
+@pytest.mark.parametrize("operator, label, hits, keeps", [(quality, "quality", 0.9, 0.97), (toxicity, "toxic", 0.8, 0.97)])
 def test_held_out_accuracy(spark, data, operator, label, hits, keeps):
     d = data.replace("0.001", "0.01")
     docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -66,3 +66,68 @@ def test_cut_is_the_quantile_of_all_documents(spark):
     share = sum(y == 0 for i, _, y in rows if not held(i)) / sum(not held(i) for i, _, _ in rows)
     assert len(got) == 1000
     assert abs(sum(r.predicted == 0 for r in got) / 1000 - share) <= 0.005
+
+
+def disguised(word, way):
+    if way == "leet":
+        return word.translate(str.maketrans("oeais", "03415"))
+    if way == "spaced":
+        return "\t ".join(word)
+    return "".join(c * (4 if i % 2 else 1) for i, c in enumerate(word))
+
+
+def test_restoring_alone_flips_predictions(spark, data, monkeypatch):
+    """Held-out toxic texts with their insults disguised are caught, and without restoring they are not."""
+    import re
+
+    d = data.replace("0.001", "0.01")
+    docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.learn(docs, marks)
+    insults = {f for f, w in model["weights"].items() if "~" not in f and w > 0.5}
+    held_texts = [r.text for r in docs.join(marks.where("toxic = 1"), "doc_id").collect() if held(r.doc_id) and insults & set(re.findall(r"[a-z]+", r.text.lower()))]
+    assert len(held_texts) >= 3
+    rows = []
+    for i, t in enumerate(held_texts * 3):
+        way = ("leet", "spaced", "repeated")[i // len(held_texts)]
+        rows.append((i, re.sub(r"[A-Za-z]+", lambda m, w=way: disguised(m[0].lower(), w) if m[0].lower() in insults else m[0], t)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    caught = [r.predicted for r in toxicity.digests(df, model).collect()]
+    assert sum(caught) >= 0.9 * len(caught)
+    assert caught_without(df, model, monkeypatch) < 0.5 * len(caught)
+
+
+def caught_without(df, model, monkeypatch):
+    """How many are caught if the words are taken as they stand (scored here, not by workers)."""
+    channel = toxicity.Channel(model["trigrams"])
+    monkeypatch.setattr(channel, "restore", lambda chunk: "")
+    starts = toxicity.beginnings(model["weights"])
+    z = [model["bias"] + sum(model["weights"][f] for f in toxicity.features(channel.words(r.text), starts) & model["weights"].keys()) for r in df.collect()]
+    return sum(x >= 0 for x in z)
+
+
+def test_decoding_is_exact_and_of_any_length():
+    """The search finds what trying every reading finds, and long stretches are restored too."""
+    from itertools import product
+
+    text = "idiot stupid moron loser clown pathetic bread water little table " * 50
+    grams = {}
+    codes = toxicity.letter_codes()
+    c = [0, 0, *[int(codes[ord(x)]) for x in text], 0, 0]
+    for x in zip(c, c[1:], c[2:], strict=False):
+        key = x[0] * toxicity.A**2 + x[1] * toxicity.A + x[2]
+        grams[key] = grams.get(key, 0) + 1
+    channel = toxicity.Channel(grams)
+    for chunk in ("1d10t", "$+upp1d", "m*r00n", "c|0wn", "6r3ad", "l1ttl3", "(*11*8l3"):
+        best = (-1e9, "")
+        for way in product(*channel.lattice(chunk)):
+            word, p = "".join(s for s, _ in way), sum(cost for _, cost in way)
+            x = y = 0
+            for ch in word:
+                z = channel.code[ch]
+                p, x, y = p + channel.log[x][y][z], y, z
+            best = max(best, (p + channel.log[x][y][0], word))
+        assert channel.decode(chunk) == best[1]
+    assert {"idiot", "moron", "loser"} <= channel.words("y0u,1d10t,m0r0n/l0ser" + ",w4ter" * 20)
+    assert "patheticidiot" in channel.words("".join(f"{x}" * 30 for x in "patheticidiot"))
+    assert "idiot" in channel.words("an i\td\ni \u00a0o   t here") and "fat" in channel.words("so f a t!")
+    assert len(max(channel.words("1d10t" * 20_000), key=len)) >= 100_000 - 1
