@@ -10,8 +10,12 @@ Only the fit looks at labels, of at most ``limit`` documents (those of the lowes
 hash of their id, so the same at every run); statistics, scores, the share and the
 quantile cover all rows.
 
-Defined results: a null text scores as the empty text; with no label of either
-kind to learn from, every score is 0.5; labels on repeated ids count once.
+Defined results: a null text scores as the empty text; texts are read whole; with no
+label of either kind to learn from, every score is 0.5; labels on repeated ids count
+once (the higher), and of texts with one id the least is learned from; documents of
+equal worth have equal scores, so all ties at the cut are accepted; an empty table
+gives no rows; other columns are carried in a struct, so only one of the score's own
+name is replaced.
 """
 
 from __future__ import annotations
@@ -55,7 +59,7 @@ def rank(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 1e-3, rou
     """Bradley-Terry weights on standardised features, by Newton steps on the pairs' logistic loss."""
     rng = np.random.default_rng(seed)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    n = min(PAIRS * len(y), 200_000)
+    n = PAIRS * len(y)
     d = x[rng.choice(good, n)] - x[rng.choice(bad, n)]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -74,7 +78,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     given = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     chosen = given.orderBy(F.xxhash64("_k"), "_k").limit(limit)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_k")
-    got = features(rows, "_text").select("_k", "_y", *FEATURES).dropDuplicates(["_k"]).toPandas().sort_values("_k")
+    rows = rows.groupBy("_k", "_y").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
+    got = features(rows, "_text").select("_k", "_y", *FEATURES).toPandas().sort_values("_k")
     y = got["_y"].to_numpy()
     if not 0 < y.sum() < len(y):
         return None
@@ -91,13 +96,15 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", name: str = "
 
     The worths are kept, since the quantile needs all of them; so the result can be filtered.
     """
-    carry = [f"`{c}`" for c in (docs.columns if carry is None else carry)]
+    carry = [c for c in (docs.columns if carry is None else carry) if c != name]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    unpacked = [F.col("_doc")[c].alias(c) for c in carry]
     if model is None:
-        return docs.select(*carry, F.lit(0.5).alias(name))
+        return rows.select(*unpacked, F.lit(0.5).alias(name))
     worth: Column = F.lit(model["base"])
     for f, w in zip(FEATURES, model["weights"], strict=True):
         worth = worth + F.col(f) * w
-    scored = keep(features(docs, text).withColumn(name, worth).select(*carry, name), "quality-worths")
+    scored = keep(features(rows, "_text").withColumn("_worth", worth).select(*unpacked, F.col("_worth").alias(name)), "quality-worths")
     cut = scored.agg(F.percentile_approx(name, model["share"], ACCURACY)).first()[0] or 0.0
     exponent = (F.col(name) - cut) * (4.0 / max(1e-3, model["good"] - cut)) + float(np.log(CUT / (1 - CUT)))
     # At the cut itself rounding must not put the score below CUT.

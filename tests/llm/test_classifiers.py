@@ -9,13 +9,17 @@ def held(doc_id):
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def by_id(r):
+    return -1 if r.doc_id is None else r.doc_id
+
+
 @pytest.mark.parametrize("operator, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_every_row_has_a_score(odd, nothing, labels, operator, label):
     got = operator.digests(odd, operator.learn(odd, labels)).collect()
     assert len(got) == odd.count()
     assert all(0 <= r.score <= 1 and r.held_out == held(r.doc_id) and r.predicted in (0, 1) for r in got)
     by_text = {}
-    for r, t in zip(sorted(got, key=lambda r: r.doc_id or -1), sorted(odd.collect(), key=lambda r: r.doc_id or -1), strict=True):
+    for r, t in zip(sorted(got, key=by_id), sorted(odd.collect(), key=by_id), strict=True):
         assert by_text.setdefault(t.text or "", r.score) == r.score
     assert operator.digests(nothing, operator.learn(nothing, labels)).count() == 0
     none = operator.digests(odd, operator.learn(odd, labels.limit(0))).collect()
@@ -131,3 +135,14 @@ def test_decoding_is_exact_and_of_any_length():
     assert "patheticidiot" in channel.words("".join(f"{x}" * 30 for x in "patheticidiot"))
     assert "idiot" in channel.words("an i\td\ni \u00a0o   t here") and "fat" in channel.words("so f a t!")
     assert len(max(channel.words("1d10t" * 20_000), key=len)) >= 100_000 - 1
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    """A caller's own columns named like the statistics come back as they were; of texts with one id the least is learned from."""
+    rows = [(i, "good words in a row " * 5 if i % 2 else "## $$ " * 20, 99, "t", "w") for i in range(60)]
+    docs = spark.createDataFrame(rows + [(1, "## zz", 98, "t", "w")], "doc_id bigint, text string, n_words int, _t string, _w string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    model = quality.learn(docs, labels)
+    scored = quality.score(docs, model).collect()
+    assert sorted(r.n_words for r in scored) == [98] + [99] * 60 and {r._t for r in scored} == {"t"}
+    assert quality.learn(docs.orderBy("text"), labels) == model

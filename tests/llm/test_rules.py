@@ -28,19 +28,38 @@ def test_base_statistics(odd, nothing):
 
 def test_estimates_against_brute_force(spark):
     rng = np.random.default_rng(1)
-    clean, junk = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)), rng.normal(8, 1, size=(60, 5))
+    clean, junk = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)), rng.normal(8, 1, size=(90, 5))
     names = [*outliers.FLOORS]
-    rows = [("a", *map(float, x)) for x in np.vstack([clean, junk])]
-    df = spark.createDataFrame(rows, "scope string, " + ", ".join(f"{n} double" for n in names))
-    d2 = np.array([r.d2 for r in outliers.distances(df, outliers.fit(df, names), names).select("d2", *names).collect()])
-    # Brute force: concentration steps in full precision from the medians, with the same floors and factor.
-    x, floor = np.vstack([clean, junk]), np.diag(np.array([*outliers.FLOORS.values()]) ** 2)
-    mean, cov = np.median(x, 0), np.diag((np.subtract(*np.percentile(x, [75, 25], 0)) / 1.349) ** 2)
+    x = np.vstack([clean, junk])
+    df = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(x)], "scope string, id int, " + ", ".join(f"{n} double" for n in names))
+    fitted = outliers.fit(df, names)
+    d2 = np.array([r.d2 for r in sorted(outliers.distances(df, fitted, names).select("id", "d2").collect())])
+    # Brute force: concentration steps in full precision from each start, with the same floors; the least determinant stays.
+    floor = np.diag(np.array([*outliers.FLOORS.values()]) ** 2)
     far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floor), x - m)
-    for _ in range(30):
-        near = x[np.argsort(far(mean, cov))[: int(0.75 * len(x))]]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True)
-    assert np.corrcoef(np.log(np.sort(d2)), np.log(np.sort(far(mean, 1.47 * cov))))[0, 1] > 0.99
+    middle, spread = np.median(x, 0), np.maximum(np.subtract(*np.percentile(x, [75, 25], 0)) / 1.349, np.sqrt(np.diag(floor)))
+    squashed = np.cov(np.tanh((x - middle) / spread).T, bias=True) * np.outer(spread, spread)
+    ends = []
+    for mean, cov in [(middle, np.diag(spread**2)), (middle, squashed), (x.mean(0), np.cov(x.T, bias=True))]:
+        for _ in range(100):
+            near = x[np.argsort(far(mean, cov))[: int(0.75 * len(x))]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True)
+        ends.append((np.linalg.slogdet(cov + floor)[1], mean, cov))
+    least, mean, cov = min(ends, key=lambda e: e[0])
+    want = far(mean, outliers.CONSISTENT * cov)
+    assert np.corrcoef(np.log(d2), np.log(want))[0, 1] > 0.99
+    assert ((d2 > outliers.CUTOFF) == (want > outliers.CUTOFF)).mean() > 0.995 and (d2[400:] > outliers.CUTOFF).all()
+
+
+def test_groups_are_counted_by_sound_rows(spark):
+    """A source whose rows are mostly too short to be fitted to shares another fit and is judged by it."""
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(200)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, text(rng.integers(20, 200)), "en", f"s{i % 20}") for i in range(200)]
+    rows += [(1000 + i, "short", "en", "few") for i in range(100)] + [(2000, text(50) + " ##$$%%" * 200, "en", "few"), (2001, text(60), "en", "few")]
+    got = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not got[2000] and got[2001] and sum(got[i] for i in range(200)) >= 195
 
 
 def test_outliers_go_and_others_stay(spark, data):
