@@ -16,8 +16,8 @@ always stay.
 
 All of it is SQL functions.  Each pass over the texts is a scan that joins the
 words' contexts with the patterns looked for; slots are written only for patterns
-that enough of their instances can make confident, so the graph stays in
-proportion to the seeds.
+whose instances in one row of PART can still make them confident, so the graph
+stays in proportion to the seeds.
 
 Offsets are code points, ends exclusive.  Defined results: a null text has no
 spans; empty tables give empty results; repeated rows are judged each for
@@ -43,19 +43,20 @@ EXPRESSIONS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*EXPRESSIONS]
-#: What is trimmed off words, as a character class.
+#: A word of a text: a name with what glues it to its value, or a run of anything but white space.
+TOKEN = r"[A-Za-z_][A-Za-z_-]*+[=:](?=\S)|\S+"
+#: What is trimmed off what stands in a slot, as a character class, and what is left of a word.
 EDGES = r"""[\].,;:!?(){}<>"'`*#%&$|~…«»“”„‘’\[]"""
-#: A word of a text: a name with what glues it to its value, or a run of anything but white space; its first group is without the edges.
-TOKEN = rf"(?=\S){EDGES}*+([A-Za-z_][A-Za-z_-]*+[=:](?=\S)|(?:\S*(?!{EDGES})\S)?+){EDGES}*+"
+CORE = rf"^{EDGES}*+(\S*(?!{EDGES})\S)"
 #: Stands for the start of a fixed span where contexts are read.
 MARK = "\ue000"
 # Shapes of identifiers, in lower case: hexadecimal keys, UUIDs, keys and tokens of services, account numbers, social security numbers.
 SHAPES = r"^(?:[0-9a-f]{32,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[0-9a-z]{30,}|eyj[0-9a-z_-]{10,}\.[0-9a-z_.-]{10,}|[a-z]{2}[0-9]{2}[0-9a-z]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
-#: What a text with a shape in it has somewhere.
-SHAPED = r"(?<![0-9A-Za-z_-])(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-|[Aa][KkSs][Ii][Aa][0-9A-Za-z]{16}|[Gg][Hh][POUSRpousr]_[0-9A-Za-z]{30}|[Ee][Yy][Jj][0-9A-Za-z_-]{10}|[A-Za-z]{2}[0-9]{2}[0-9A-Za-z]{11}|[0-9]{3}-[0-9]{2}-[0-9]{4})"
 #: An identifier written in up to 16 groups.
 GROUPS = r"^(?=\S*[0-9])[0-9A-Za-z]{1,8}(?: (?=[A-Z]*[0-9])[0-9A-Z]{1,8}(?![0-9A-Za-z])){1,15}"
 SPAN = "array<struct<start:bigint,k:int,end:bigint>>"
+#: One row in PART is counted before the patterns of all rows.
+PART = 16
 #: Confidence and belief in different instances that a pattern needs, belief from the shape alone, and belief that an instance needs.
 CONFIDENT, SUPPORT, SHAPE_BELIEF, BELIEVED = 0.8, 3, 0.95, 0.5
 
@@ -141,8 +142,8 @@ def folded(text: Column) -> Column:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """(_row, i, word, left, before, right) of each word of the marked texts _m, in lower case and without edges; before is the left word's left."""
-    words = rows.select("_row", F.regexp_extract_all(F.lower(folded(F.col("_m"))), F.lit(TOKEN), F.lit(1)).alias("w"))
+    """(_row, i, word, left, before, right) of each word of the marked texts _m, in lower case; before is the left word's left."""
+    words = rows.select("_row", F.regexp_extract_all(F.lower(folded(F.col("_m"))), F.lit(TOKEN), F.lit(0)).alias("w"))
     none, n = F.array(F.lit(None).cast("string")), F.size("w")
     shifted = {"word": F.col("w"), "left": F.slice(F.concat(none, "w"), F.lit(1), n), "before": F.slice(F.concat(none, none, "w"), F.lit(1), n), "right": F.slice(F.concat("w", none), F.lit(2), n)}
     zipped = words.withColumns({k: v for k, v in shifted.items() if k != "word"})
@@ -157,15 +158,26 @@ def patterns() -> Column:
     return F.array(one, both, two)
 
 
+def core() -> Column:
+    """A word without its edges."""
+    return F.when(F.col("word").rlike(rf"^{EDGES}|{EDGES}$"), F.regexp_extract("word", CORE, 1)).otherwise(F.col("word"))
+
+
 def belief(word: Column) -> Column:
     """What is believed of a word without its context: 1 for fixed spans, SHAPE_BELIEF for the shapes, or 0."""
     return F.when(F.startswith(word, F.lit(MARK)), 1.0).when((F.length(word) >= 11) & word.rlike(SHAPES), SHAPE_BELIEF).otherwise(0.0)
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(_row, i, word, instance, kind, pattern) of each word and each of its patterns."""
-    found = contexts(rows).select("_row", "i", "word", F.xxhash64("word").alias("instance"), F.posexplode(patterns()).alias("kind", "pattern"))
-    return found.where(F.col("pattern").isNotNull())
+    """(_row, i, word, kind, pattern) of each word and each of its patterns."""
+    return contexts(rows).select("_row", "i", "word", F.posexplode(patterns()).alias("kind", "pattern")).where(F.col("pattern").isNotNull())
+
+
+def seeds(rows: DataFrame) -> DataFrame:
+    """(pattern, instance, score) of the words that are believed without their context."""
+    likely = contexts(rows).where(F.contains("word", F.lit(MARK)) | (F.length("word") >= 11)).withColumn("word", core())
+    held = likely.withColumn("score", belief(F.col("word"))).where("score > 0")
+    return held.select(F.explode(patterns()).alias("pattern"), F.xxhash64("word").alias("instance"), "score").where(F.col("pattern").isNotNull()).distinct()
 
 
 def promising(held: DataFrame) -> DataFrame:
@@ -201,29 +213,33 @@ def settle(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_row, i): the words of (_row, _m) that confident patterns and belief tell to be identifiers; and (pattern, confidence)."""
-    seeded = rows.where(F.contains("_m", F.lit(MARK)) | F.col("_m").rlike(SHAPED))
-    seeds = occurrences(seeded).withColumn("score", belief(F.col("word"))).where("score > 0")
-    held = keep(seeds.select("pattern", "instance", "score").distinct(), "pii-seeds")
+    held = keep(seeds(rows), "pii-seeds")
     known = None
     while True:
         wanted = checkpoint(promising(held))
-        # Only patterns that could be confident are looked into: at least half of the confidence by a sketch of their different instances.
-        sizes = join_sized(occurrences(rows), wanted, "pattern").groupBy("pattern").agg(F.approx_count_distinct("instance", 0.05).alias("n"), F.first("s").alias("s"))
-        open_ones = checkpoint(sizes.where(F.col("s") >= F.col("n") * (CONFIDENT / 2)).select("pattern"))
-        slots = keep(join_sized(occurrences(rows), open_ones, "pattern").select("_row", "i", "instance", "kind", "pattern", belief(F.col("word")).alias("prior")), "pii-slots")
-        edges = keep(slots.groupBy("pattern", "instance", "kind").agg(F.max("prior").alias("prior"), F.count("*").alias("n")), "pii-graph")
+        # Patterns that have too many different instances in a part of the rows alone to become confident need no slots;
+        # this only saves work, as all others are counted over all rows.
+        part = rows.where(F.pmod(F.xxhash64("_row"), F.lit(PART)) == 0)
+        sizes = join_sized(occurrences(part), wanted.select("pattern"), "pattern").groupBy("pattern").agg(F.approx_count_distinct("word", 0.05).alias("n"))
+        common = sizes.join(wanted, "pattern").where(F.col("n") * (CONFIDENT / 3) > F.col("s"))
+        open_ones = checkpoint(wanted.join(common, "pattern", "left_anti").select("pattern"))
+        places = join_sized(occurrences(rows), open_ones, "pattern").withColumn("word", core()).where("word <> ''")
+        slots = keep(places.select("_row", "i", F.xxhash64("word").alias("instance"), "kind", "pattern", belief(F.col("word")).alias("prior")), "pii-slots")
+        edges = slots.groupBy("pattern", "instance", "kind").agg(F.max("prior").alias("prior"), F.count("*").alias("n"))
+        enough = wanted.join(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pattern").where(F.col("s") >= F.col("n") * (CONFIDENT / 2)).select("pattern")
+        edges = keep(join_sized(edges, checkpoint(enough), "pattern", "left_semi"), "pii-graph")
         fillers = checkpoint(edges.where("prior = 0").select("instance").distinct())
         if fillers.isEmpty():
             found = totals = edges.sparkSession.createDataFrame([], "instance bigint, total bigint")
         else:
-            found = keep(join_sized(contexts(rows).select(F.xxhash64("word").alias("instance"), patterns().alias("patterns")), fillers, "instance").groupBy("instance", "patterns").agg(F.count("*").alias("n")), "pii-fillers")
+            found = keep(join_sized(contexts(rows).select(F.xxhash64(core()).alias("instance"), patterns().alias("patterns")), fillers, "instance").groupBy("instance", "patterns").agg(F.count("*").alias("n")), "pii-fillers")
             totals = found.groupBy("instance").agg(F.sum("n").alias("total"))
         high, scores = settle(edges, totals)
         believed = checkpoint(scores.where(F.col("score") >= BELIEVED))
-        count = believed.join(fillers, "instance", "left_semi").count()
-        if not count or count == known:
+        unseen = believed.join(fillers, "instance", "left_semi").count()
+        if not unseen or unseen == known:
             break
-        known = count
+        known = unseen
         more = found.join(believed, "instance").select(F.explode("patterns").alias("pattern"), "instance", "score").where(F.col("pattern").isNotNull()).distinct()
         held = keep(seeds_of(held, fillers).unionByName(more), "pii-seeds")
     chosen = join_sized(join_sized(slots.where("prior < 1"), high, "pattern"), believed, "instance", "left_semi")
@@ -239,16 +255,16 @@ def identifiers(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """(_row, _more): spans of the chosen words of (_row, _m), with following groups where one is written in groups."""
     places = keep(chosen.groupBy("_row").agg(F.sort_array(F.collect_list("i")).alias("_at")), "pii-places")
     t = join_sized(rows, places, "_row").select("_row", "_m", "_at", folded(F.col("_m")).alias("f"))
-    t = t.withColumns({"w": F.regexp_extract_all("f", F.lit(TOKEN), F.lit(0)), "c": F.regexp_extract_all("f", F.lit(TOKEN), F.lit(1)), "g": F.split("f", TOKEN, -1)})
+    t = t.withColumns({"w": F.regexp_extract_all("f", F.lit(TOKEN), F.lit(0)), "g": F.split("f", TOKEN, -1)})
     steps = F.zip_with(F.slice(F.col("g"), F.lit(1), F.size("w")), F.concat(F.array(F.lit("")), F.slice(F.col("w"), F.lit(1), F.size("w") - 1)), lambda g, w: F.length(g) + F.length(w))
     t = t.withColumn("d", steps)
     t = t.withColumn("s", F.zip_with(prefix_sums(F.col("d")), F.col("d"), lambda a, x: a + x))
 
     def span(i: Column) -> Column:
-        core = F.get("c", i)
-        start = F.get("s", i) + F.length(F.regexp_extract(F.get("w", i), rf"^{EDGES}*", 0))
+        word = F.get("w", i)
+        start = F.get("s", i) + F.length(F.regexp_extract(word, rf"^{EDGES}*", 0))
         grouped = F.length(F.regexp_extract(F.substr("_m", (start + 1).cast("int")), GROUPS, 0))
-        return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("k"), (start + F.greatest(F.length(core), grouped)).cast("bigint").alias("end"))
+        return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("k"), (start + F.greatest(F.length(F.regexp_extract(word, CORE, 1)), grouped)).cast("bigint").alias("end"))
 
     return t.select("_row", F.transform("_at", span).cast(SPAN).alias("_more"))
 
