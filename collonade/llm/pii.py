@@ -214,7 +214,6 @@ def settle(edges: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_row, i): the words of (_row, _m) that confident patterns and belief tell to be identifiers; and (pattern, confidence)."""
     held = keep(seeds(rows), "pii-seeds")
-    known = None
     while True:
         wanted = checkpoint(promising(held))
         # Patterns that have too many different instances in a part of the rows alone to become confident need no slots;
@@ -227,30 +226,29 @@ def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         slots = keep(places.select("_row", "i", F.xxhash64("word").alias("instance"), "kind", "pattern", belief(F.col("word")).alias("prior")), "pii-slots")
         edges = slots.groupBy("pattern", "instance", "kind").agg(F.max("prior").alias("prior"), F.count("*").alias("n"))
         enough = wanted.join(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pattern").where(F.col("s") >= F.col("n") * (CONFIDENT / 2)).select("pattern")
-        edges = keep(join_sized(edges, checkpoint(enough), "pattern", "left_semi"), "pii-graph")
+        enough = checkpoint(enough)
+        edges = keep(join_sized(edges, enough, "pattern", "left_semi"), "pii-graph")
         fillers = checkpoint(edges.where("prior = 0").select("instance").distinct())
-        if fillers.isEmpty():
-            found = totals = edges.sparkSession.createDataFrame([], "instance bigint, total bigint")
+        known = fillers.isEmpty()
+        if known:
+            totals = edges.sparkSession.createDataFrame([], "instance bigint, total bigint")
         else:
             found = keep(join_sized(contexts(rows).select(F.xxhash64(core()).alias("instance"), patterns().alias("patterns")), fillers, "instance").groupBy("instance", "patterns").agg(F.count("*").alias("n")), "pii-fillers")
             totals = found.groupBy("instance").agg(F.sum("n").alias("total"))
         high, scores = settle(edges, totals)
         believed = checkpoint(scores.where(F.col("score") >= BELIEVED))
-        unseen = believed.join(fillers, "instance", "left_semi").count()
-        if not unseen or unseen == known:
+        if known:
             break
-        known = unseen
         more = found.join(believed, "instance").select(F.explode("patterns").alias("pattern"), "instance", "score").where(F.col("pattern").isNotNull()).distinct()
-        held = keep(seeds_of(held, fillers).unionByName(more), "pii-seeds")
+        held = keep(held.join(fillers, "instance", "left_anti").select("pattern", "instance", "score").unionByName(more), "pii-seeds")
+        # Only patterns with more belief than before that have no edges yet can change anything.
+        rising = promising(held).join(wanted.withColumnRenamed("s", "before"), "pattern", "left").where(F.col("before").isNull() | (F.col("s") > F.col("before") + 1e-6))
+        if rising.join(enough, "pattern", "left_anti").isEmpty():
+            break
     chosen = join_sized(join_sized(slots.where("prior < 1"), high, "pattern"), believed, "instance", "left_semi")
     return chosen.select("_row", "i").distinct(), high
 
 
-def seeds_of(held: DataFrame, fillers: DataFrame) -> DataFrame:
-    """What is held but for the instances that are judged anew."""
-    return held.join(fillers, "instance", "left_anti").select("pattern", "instance", "score")
-
-
 def identifiers(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """(_row, _more): spans of the chosen words of (_row, _m), with following groups where one is written in groups."""
     places = keep(chosen.groupBy("_row").agg(F.sort_array(F.collect_list("i")).alias("_at")), "pii-places")
