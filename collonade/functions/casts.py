@@ -26,10 +26,14 @@ def parse_int(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """A timestamp from ISO forms or from the long text form of scripts (weekday and zone name dropped)."""
+    """A timestamp from ISO forms or from the long text form of scripts (weekday and zone name dropped, the offset applied)."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9},? +", ""), r" GMT([+-]\d{4})?.*$", "")
+    offset = F.regexp_extract(c, r" GMT([+-]\d{4})", 1)
+    ahead = (F.concat(F.left(offset, F.lit(1)), F.substring(offset, 2, 2)).try_cast("int") * 60 + F.concat(F.left(offset, F.lit(1)), F.substring(offset, 4, 2)).try_cast("int")).cast("int")
+    long = F.try_to_timestamp(bare, F.lit("MMM dd yyyy HH:mm:ss"))
+    long = F.when(ahead.isNotNull() & (ahead != 0), F.timestamp_add("MINUTE", -ahead, long)).otherwise(long)
     iso = F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}"), F.trim(c).try_cast("timestamp"))
-    return F.coalesce(iso, F.try_to_timestamp(bare, F.lit("MMM dd yyyy HH:mm:ss")), F.try_to_timestamp(bare, F.lit("MMM d, yyyy")))
+    return F.coalesce(iso, long, F.try_to_timestamp(bare, F.lit("MMM d, yyyy")))
 
 
 def parse_list(c: Column) -> Column:

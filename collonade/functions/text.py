@@ -5,29 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Letters that become one letter, and those that become several.
-ONE = ("áàâãåāăąéèêëēėęěíìîïīįóòôõøōőúùûūůűųýÿñńňçćčďđğģķĺľłļŕřśšșşťțţźžżйаеоусхкмнтрв", "aaaaaaaaeeeeeeeeiiiiiiooooooouuuuuuuyynnncccddggkllllrrsssstttzzzjaeouschkmntrv")
-SEVERAL = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "œ": "oe", "ж": "zh", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "þ": "th"}
+# Lower-case letters and what stands for them in slugs.
+LETTERS = {
+    # Latin
+    "ą": "a", "č": "c", "ę": "e", "ė": "e", "į": "i", "š": "s", "ų": "u", "ū": "u", "ž": "z",
+    "ć": "c", "ł": "l", "ń": "n", "ó": "o", "ś": "s", "ź": "z", "ż": "z",
+    "ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss",
+    "à": "a", "â": "a", "é": "e", "è": "e", "ê": "e", "ë": "e", "î": "i", "ï": "i", "ô": "o", "ù": "u", "û": "u", "ÿ": "y", "ç": "c",
+    "á": "a", "í": "i", "ú": "u", "ñ": "n", "ã": "a", "õ": "o",
+    "ě": "e", "ř": "r", "ť": "t", "ů": "u", "ý": "y", "ă": "a", "ș": "s", "ț": "t", "ğ": "g", "ı": "i", "ş": "s",
+    "å": "a", "æ": "ae", "ø": "o", "ā": "a", "ē": "e", "ģ": "g", "ī": "i", "ķ": "k", "ļ": "l", "ņ": "n",
+    # Greek
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o",
+    # Cyrillic
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh",
+    "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "є": "ye", "і": "i", "ї": "yi", "ґ": "g",
+    "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz",
+}
+RESERVED_ROOTS = ("webwow",)
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 UNITS = ["B", "KB", "MB", "GB"]
 
 
 def transliterate(c: Column) -> Column:
-    """Lower-case letters with marks as plain ones."""
-    for letter, plain in SEVERAL.items():
-        c = F.replace(c, F.lit(letter), F.lit(plain))
-    return F.translate(c, *ONE)
+    """The text in lower case with other letters as plain ones."""
+    c = F.lower(F.translate(c, "İ", "i"))
+    for letter, plain in LETTERS.items():
+        if len(plain) > 1:
+            c = F.replace(c, F.lit(letter), F.lit(plain))
+    one = {k: v for k, v in LETTERS.items() if len(v) == 1}
+    return F.translate(c, "".join([*one, *(k for k, v in LETTERS.items() if not v)]), "".join(one.values()))
 
 
 def slug(c: Column) -> Column:
     """Lower case, plain letters, digits and single hyphens."""
-    return F.regexp_replace(F.regexp_replace(transliterate(F.lower(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-
-
-def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug") -> DataFrame:
-    """Add out: base for the first row of each base by order, then base-2, base-3 and so on."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return df.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), n.cast("string"))))
+    return F.regexp_replace(F.regexp_replace(transliterate(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug", taken: DataFrame | None = None, reserved: tuple[str, ...] = RESERVED_ROOTS) -> DataFrame:
+    """Add out: base for the first row of each base by order, then base-2, base-3 and so on, without those in use.
+
+    In use are the bases themselves, the slugs in taken (a column of base's name) and, as they are, the reserved ones.
+    An empty base stays empty.
+    """
+    old = df.select(F.col(base).alias("_s"), F.lit(False).alias("_old"))
+    if taken is not None:
+        old = old.union(taken.select(F.col(base), F.lit(True)))
+    names = old.groupBy("_s").agg(F.max("_old").alias("_old"))
+    numbered = names.select(F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 2).alias("_n"))
+    used = numbered.where("_n <> ''").groupBy("_base").agg(F.array_sort(F.collect_set(F.col("_n").cast("int"))).alias("_used"))
+    rows = df.join(names.where("_old").select(F.col("_s").alias("_base"), "_old"), F.col(base) == F.col("_base"), "left").drop("_base")
+    rows = rows.join(used, F.col(base) == F.col("_base"), "left").drop("_base")
+    place = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    free = ~F.coalesce("_old", F.lit(False)) & (~F.col(base).isin(*reserved) if reserved else F.lit(True))
+    rows = rows.withColumn("_n", F.when(free, place).otherwise(place + 1))
+    # The place-th number of two or more that is not used: each used one that is not above it moves it up.
+    number = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_n"), lambda v, u: F.when((u > 1) & (u <= v), v + 1).otherwise(v))
+    named = F.when((F.col("_n") == 1) | (F.col(base) == ""), F.col(base)).otherwise(F.concat_ws("-", F.col(base), number.cast("string")))
+    return rows.withColumn(out, named).drop("_old", "_used", "_n")
 
 
 def copy_slug(c: Column) -> Column:

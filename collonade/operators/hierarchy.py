@@ -1,32 +1,76 @@
-"""Trees by parent reference, as recursive queries."""
+"""Trees by parent reference, closed by joins that double their reach.
+
+A tree of n levels takes about log2(n) rounds, however many rows it has; each round
+is checkpointed.  A cycle is an error.
+"""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
-MOST_LEVELS = 100
+def cut(df: DataFrame) -> DataFrame:
+    """df, kept in the folder that spark.checkpoint.dir names; local sessions without one get a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="collonade-"))
+    return df.checkpoint(eager=True)
 
 
 def paths(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:
-    """(key, path, depth): names from the root down, joined by slashes."""
-    df.createOrReplaceTempView("_tree")
-    return df.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, path, depth) AS (
-            SELECT {key}, cast({name} AS string), 0 FROM _tree WHERE {parent} IS NULL
-            UNION ALL
-            SELECT t.{key}, concat(w.path, '/', t.{name}), w.depth + 1 FROM walk w JOIN _tree t ON t.{parent} = w.id WHERE w.depth < {MOST_LEVELS}
-        ) SELECT id AS {key}, path, depth FROM walk""")
+    """(key, path, depth): names from the root down, joined by slashes; nodes whose line doesn't end at a root are left out."""
+    nodes = cut(df.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), F.lit(0).alias("depth")))
+    size, reach = nodes.count(), 1
+    while not nodes.where("up is not null").isEmpty():
+        if reach > 2 * size:
+            raise ValueError("the parents form a cycle")
+        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("depth").alias("depth2"))
+        joined = nodes.join(above, "up", "left").where("up is null or path2 is not null")
+        open_ = F.col("up").isNotNull()
+        path = F.when(open_, F.concat_ws("/", "path2", "path")).otherwise(F.col("path"))
+        depth = F.when(open_, F.col("depth") + F.col("depth2") + 1).otherwise(F.col("depth"))
+        nodes = cut(joined.select("id", F.when(open_, F.col("up2")).alias("up"), path.alias("path"), depth.alias("depth")))
+        reach *= 2
+    return nodes.select(F.col("id").alias(key), "path", "depth")
 
 
 def closure(df: DataFrame, key: str, parent: str) -> DataFrame:
     """(ancestor, descendant, distance) of all pairs, a node and itself included."""
-    df.createOrReplaceTempView("_tree")
-    return df.sparkSession.sql(f"""
-        WITH RECURSIVE walk(ancestor, descendant, distance) AS (
-            SELECT {key}, {key}, 0 FROM _tree
-            UNION ALL
-            SELECT w.ancestor, t.{key}, w.distance + 1 FROM walk w JOIN _tree t ON t.{parent} = w.descendant WHERE w.distance < {MOST_LEVELS}
-        ) SELECT ancestor, descendant, distance FROM walk""")
+    near = cut(df.select(F.col(key).alias("ancestor"), F.col(key).alias("descendant"), F.lit(0).alias("distance")))
+    step = df.where(F.col(parent).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(key).alias("descendant"))
+    step = cut(step.join(df.select(F.col(key).alias("ancestor")), "ancestor", "left_semi"))
+    size, reach = near.count(), 1
+    while not step.isEmpty():  # near: distances below reach; step: pairs at that distance
+        if reach > size:
+            raise ValueError("the parents form a cycle")
+        to = step.select("ancestor", F.col("descendant").alias("middle"))
+        far = to.join(near.select(F.col("ancestor").alias("middle"), "descendant", "distance"), "middle")
+        near = cut(near.union(far.select("ancestor", "descendant", F.col("distance") + reach)))
+        step = cut(to.join(step.select(F.col("ancestor").alias("middle"), "descendant"), "middle").select("ancestor", "descendant"))
+        reach *= 2
+    return near
+
+
+def above(df: DataFrame, key: str, parent: str, ids: DataFrame) -> DataFrame:
+    """Rows of the given ids (a column of key's name) and of all their ancestors."""
+    wanted = closure(df, key, parent).join(ids.select(F.col(key).alias("descendant")), "descendant", "left_semi").select(F.col("ancestor").alias(key)).distinct()
+    return df.join(wanted, key, "left_semi")
+
+
+def subtree(df: DataFrame, key: str, parent: str, ids: DataFrame) -> DataFrame:
+    """Rows of the given ids and of all below them."""
+    wanted = closure(df, key, parent).join(ids.select(F.col(key).alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias(key)).distinct()
+    return df.join(wanted, key, "left_semi")
+
+
+def without_subtree(df: DataFrame, key: str, parent: str, ids: DataFrame) -> DataFrame:
+    """Rows that neither are of the given ids nor below them: what a delete through all levels leaves."""
+    return df.join(subtree(df, key, parent, ids).select(key), key, "left_anti")
 
 
 def reaches(references: dict[str, list[str]], start: str, goal: str) -> bool:

@@ -3,13 +3,16 @@
 Four dialects differ in case, emptiness and what an unknown operator means:
 ``public`` (raw text, groups are ANDed inside and ORed across), ``visibility``
 (typed values, ORed inside and ANDed across), ``builder`` (lower-cased text, one
-flat AND) and ``exact`` (equality of text, one flat AND).  A compiled condition is
-never null, so a complement is a complement.
+flat AND) and ``exact`` (equality of text, one flat AND).  A condition that can't be
+told of a row may be null, which keeps no row; only where one is complemented is it
+made false first.  So comparisons of typed columns reach the scan as they are.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from collonade.functions.casts import parse_date, parse_float
+from collonade.functions.casts import FLOAT_PREFIX, as_text, parse_date, parse_float
 
 EMPTY, FULL = ("is_empty", "is_not_present", "does_not_exist"), ("is_not_empty", "is_present", "exists")
 COMPARE: dict[str, Callable] = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b}
@@ -38,9 +41,16 @@ class Condition:
 
 
 def sure(c: Column) -> Column:
+    """The condition with false for what can't be told."""
     return F.coalesce(c, F.lit(False))
 
 
+def number_of(text: str) -> float | None:
+    """The number that an operand starts with."""
+    found = re.match(FLOAT_PREFIX, text)
+    return float(found[1]) if found else None
+
+
 class Cell:
     """The views of one field that conditions need; typed columns are used as they are, so that scans can filter on them."""
 
@@ -50,19 +60,48 @@ class Cell:
 
     @property
     def text(self) -> Column:
-        return F.to_json(self.raw) if self.listed else self.raw.cast("string")
+        if self.listed:
+            return F.to_json(self.raw)
+        return as_text(self.raw, "number") if isinstance(self.type, (T.FractionalType, T.DecimalType)) else self.raw.cast("string")
 
     @property
     def number(self) -> Column:
         return self.raw.cast("double") if isinstance(self.type, T.NumericType) else parse_float(self.text)
 
+    def compared(self, relation: str, value: str) -> Column:
+        """The cell's number against the operand's; an integer column is compared with an integer, so that nothing is lost and the scan can filter."""
+        operand = number_of(value)
+        if operand is None:
+            return F.lit(False)
+        if not isinstance(self.type, T.IntegralType):
+            return COMPARE[relation](self.number, F.lit(operand))
+        exact = re.match(r"\s*[+-]?\d+(?![\d.eE])", value)
+        if exact or math.isfinite(operand) and operand == math.floor(operand):
+            return COMPARE[relation](self.raw, F.lit(int(exact[0]) if exact else int(operand)))
+        if relation == "eq":
+            return F.lit(False)
+        if math.isinf(operand):
+            return self.raw.isNotNull() & F.lit((operand > 0) == (relation in ("lt", "lte")))
+        return self.raw > F.lit(math.floor(operand)) if relation in ("gt", "gte") else self.raw < F.lit(math.ceil(operand))
+
+    def told(self, relation: str, value: str) -> Column:
+        """The cell's time against the operand's, as a value of the column's own type."""
+        want = parse_date(F.lit(value))
+        if isinstance(self.type, T.TimestampNTZType):
+            want = F.convert_timezone(F.current_timezone(), F.lit("UTC"), want.cast("timestamp_ntz"))
+        return COMPARE[relation](self.time, want)
+
     @property
     def time(self) -> Column:
-        return self.raw if isinstance(self.type, (T.TimestampType, T.DateType)) else parse_date(self.text)
+        typed = isinstance(self.type, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        return self.raw if typed else parse_date(self.text)
 
     @property
     def items(self) -> Column:
-        return self.raw.cast("array<string>") if self.listed else F.from_json(self.text, "array<string>")
+        """The cell's list; only text that begins like one is parsed."""
+        if self.listed:
+            return self.raw.cast("array<string>")
+        return F.when(F.startswith(F.ltrim(self.text), F.lit("[")), F.from_json(self.text, "array<string>"))
 
 
 def operand_list(value: str) -> list[str] | None:
@@ -73,10 +112,6 @@ def operand_list(value: str) -> list[str] | None:
     return [str(x) for x in got] if isinstance(got, list) else None
 
 
-def operand_number(value: str) -> Column:
-    return parse_float(F.lit(value))
-
-
 def common(cell: Cell, c: Condition) -> Column | None:
     """Operators on which public and visibility agree."""
     if c.operator in EMPTY:
@@ -84,11 +119,11 @@ def common(cell: Cell, c: Condition) -> Column | None:
     if c.operator in FULL:
         return F.coalesce(cell.text, F.lit("")) != ""
     if c.operator in ("gt", "gte", "lt", "lte"):
-        return sure(COMPARE[c.operator](cell.number, operand_number(c.value)))
+        return cell.compared(c.operator, c.value)
     if c.operator == "is_before":
-        return sure(cell.time < parse_date(F.lit(c.value)))
+        return cell.told("lt", c.value)
     if c.operator == "is_after":
-        return sure(cell.time > parse_date(F.lit(c.value)))
+        return cell.told("gt", c.value)
     wanted = operand_list(c.value) if c.operator in ("is_one_of", "contains_all_of", "contains_exactly") else []
     if wanted is None:
         return F.lit(False)
@@ -110,20 +145,20 @@ def public(cell: Cell, c: Condition) -> Column:
     if c.operator in COMPLEMENTS:
         if c.operator == "is_not_one_of" and operand_list(c.value) is None:
             return F.lit(True)
-        return ~public(cell, Condition(c.field, COMPLEMENTS[c.operator], c.value, c.value2, c.kind, c.compare))
+        return ~sure(public(cell, Condition(c.field, COMPLEMENTS[c.operator], c.value, c.value2, c.kind, c.compare)))
     if (got := common(cell, c)) is not None:
         return got
     low = F.lower(cell.text)
     want = F.lit(c.value.lower())
     if c.operator == "is":
-        return sure(low == want)
+        return low == want
     if c.operator == "starts_with":
-        return sure(F.startswith(low, want))
+        return F.startswith(low, want)
     if c.operator == "ends_with":
-        return sure(F.endswith(low, want))
+        return F.endswith(low, want)
     if c.operator == "is_between":
-        sides = [cell.time >= parse_date(F.lit(c.value))] * bool(c.value) + [cell.time <= parse_date(F.lit(c.value2))] * bool(c.value2)
-        return sure(reduce(lambda a, b: a & b, sides)) if sides else F.lit(False)
+        sides = [cell.told("gte", c.value)] * bool(c.value) + [cell.told("lte", c.value2)] * bool(c.value2)
+        return reduce(lambda a, b: a & b, sides) if sides else F.lit(False)
     if c.operator == "has_items":
         if cell.listed:
             return sure(F.size(cell.raw) > 0)
@@ -131,27 +166,27 @@ def public(cell: Cell, c: Condition) -> Column:
         return F.when(cell.items.isNotNull(), F.size(cell.items) > 0).otherwise(other)
     if c.operator == "item_count" and c.kind == "multi_reference":
         return sure(COMPARE[c.compare](F.coalesce(F.size(cell.items), F.lit(0)), F.lit(int(c.value))))
-    return sure(F.contains(low, want))
+    return F.contains(low, want)
 
 
 def visibility(cell: Cell, c: Condition) -> Column:
     """D2: typed comparison with regard to case; both sides of a range are needed; unknown operators hold."""
     if c.operator in ("is", "is_not"):
         if c.kind == "number":
-            same = sure(cell.number == operand_number(c.value))
+            same = sure(cell.compared("eq", c.value)) if c.operator == "is_not" else cell.compared("eq", c.value)
         elif c.kind == "boolean":
             same = sure(F.lower(cell.text) == c.value.lower())
         else:
             same = F.coalesce(cell.text, F.lit("")) == c.value
         return same if c.operator == "is" else ~same
     if c.operator in COMPLEMENTS:
-        return ~visibility(cell, Condition(c.field, COMPLEMENTS[c.operator], c.value, c.value2, c.kind, c.compare))
+        return ~sure(visibility(cell, Condition(c.field, COMPLEMENTS[c.operator], c.value, c.value2, c.kind, c.compare)))
     if (got := common(cell, c)) is not None:
         return got
     if c.operator == "contains":
         return F.contains(F.lower(F.coalesce(cell.text, F.lit(""))), F.lit(c.value.lower()))
     if c.operator == "is_between":
-        return sure((cell.time >= parse_date(F.lit(c.value))) & (cell.time <= parse_date(F.lit(c.value2))))
+        return cell.told("gte", c.value) & cell.told("lte", c.value2)
     if c.operator == "has_items":
         return sure(F.size(cell.items) > 0)
     if c.operator == "item_count" and c.kind == "multi_reference":
@@ -174,13 +209,13 @@ def builder(cell: Cell, c: Condition) -> Column:
     if c.operator in simple:
         return simple[c.operator]()
     if c.operator in ("gt", "gte", "lt", "lte"):
-        return sure(COMPARE[c.operator](cell.number, operand_number(c.value)))
+        return cell.compared(c.operator, c.value)
     return F.contains(low, F.lit(want))
 
 
 def exact(cell: Cell, c: Condition) -> Column:
     """D4: the same text."""
-    return sure(cell.text == c.value)
+    return cell.text == c.value
 
 
 DIALECTS = {"public": public, "visibility": visibility, "builder": builder, "exact": exact}

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from collonade.functions import casts, text
@@ -32,7 +33,7 @@ def test_cells_round_trip(spark):
 
 def test_slugs_and_checks(spark):
     df = spark.createDataFrame([("Größe & Łódź – Ürün",), ("  ",), ("Привет",)], "v string")
-    assert column(df.select(text.slug(F.col("v")).alias("x")), "x")[:2] == ["groesse-lodz-ueruen", ""]
+    assert column(df.select(text.slug(F.col("v")).alias("x")), "x") == ["groesse-lodz-ueruen", "", "privet"]
     df = spark.createDataFrame([("+1 (212) 555-0100",), ("12345",), ("a@b.co",)], "v string")
     assert column(df.select(text.is_phone(F.col("v")).alias("x")), "x") == [True, False, False]
     df = spark.createDataFrame([(0,), (1023,), (1536,), (5 * 1024**3,)], "v bigint")
@@ -120,3 +121,35 @@ def test_rich_text(spark):
     assert '"type":"heading","level":2' in docs[0]
     plain = column(df.select(text.rich_text_plain(text.rich_text(F.col("v"))).alias("x")), "x")
     assert plain == ['A & "b" one two x y', "bare"]
+
+
+def test_slugs_are_unique_against_all_in_use(spark):
+    df = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a-2"), (3, "a"), (4, "webwow"), (5, "b"), (6, ""), (7, "")], "i int, base string")
+    got = {r.i: r.slug for r in text.unique_slugs(df, "base", "i").collect()}
+    assert got == {0: "a", 1: "a-3", 2: "a-2", 3: "a-4", 4: "webwow-2", 5: "b", 6: "", 7: ""}
+    taken = spark.createDataFrame([("b",), ("b-2",)], "base string")
+    assert {r.i: r.slug for r in text.unique_slugs(df, "base", "i", taken=taken).collect()}[5] == "b-3"
+    df = spark.createDataFrame([("Ελλαδα και",), ("Щука объект",), ("İstanbul",)], "v string")
+    assert column(df.select(text.slug(F.col("v")).alias("x")), "x") == ["ellada-kai", "shchuka-obekt", "istanbul"]
+
+
+def test_dates_with_an_offset(spark):
+    df = spark.createDataFrame([("Thu Jan 22 2026 19:21:05 GMT+0200 (EET)",), ("Thu Jan 22 2026 19:21:05 GMT-0330",), ("Thu Jan 22 2026 19:21:05 GMT+0000 (Coordinated Universal Time)",)], "v string")
+    got = column(df.select(F.date_format(casts.parse_date(F.col("v")), "HH:mm").alias("x")), "x")
+    assert got == ["17:21", "22:51", "19:21"]
+
+
+def test_deep_trees_and_cycles(spark):
+    df = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(150)], "id int, parent int, name string")
+    got = {r.id: (r.path, r.depth) for r in hierarchy.paths(df, "id", "parent", "name").collect()}
+    assert got == {i: ("/".join(f"n{j}" for j in range(i + 1)), i) for i in range(150)}
+    pairs = {(r.ancestor, r.descendant): r.distance for r in hierarchy.closure(df, "id", "parent").collect()}
+    assert pairs == {(i, j): j - i for j in range(150) for i in range(j + 1)}
+    ids = spark.createDataFrame([(140,)], "id int")
+    assert sorted(column(hierarchy.subtree(df, "id", "parent", ids), "id")) == list(range(140, 150))
+    assert sorted(column(hierarchy.above(df, "id", "parent", ids), "id")) == list(range(141))
+    assert sorted(column(hierarchy.without_subtree(df, "id", "parent", ids), "id")) == list(range(140))
+    ring = spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id int, parent int, name string")
+    for f in (lambda: hierarchy.closure(ring, "id", "parent"), lambda: hierarchy.paths(ring, "id", "parent", "name")):
+        with pytest.raises(ValueError, match="cycle"):
+            f()

@@ -89,3 +89,29 @@ def test_groups(cells):
     assert {r.name for r in cnf.collect()} == names(cells, a, dialect="visibility") | names(cells, b, dialect="visibility")
     assert where(cells, [], "public").count() == len(CELLS)
     assert [c.value for c in active([Condition("v", "is"), Condition("v", "is", "x"), Condition("v", "is_empty")])] == ["x", ""]
+
+
+@pytest.mark.parametrize(
+    "table, condition, dialect, pushed",
+    [
+        ("orders", Condition("o_totalprice", "lt", "1e5"), "public", "LessThan(o_totalprice,100000.0)"),
+        ("orders", Condition("o_orderkey", "gte", "5.5"), "public", "GreaterThan(o_orderkey,5)"),
+        ("orders", Condition("o_orderkey", "is", "7", kind="number"), "visibility", "EqualTo(o_orderkey,7)"),
+        ("events", Condition("ts", "is_before", "2024-01-15"), "public", "LessThan(ts,"),
+        ("events", Condition("ts", "is_between", "2024-01-10", "2024-01-20"), "visibility", "GreaterThanOrEqual(ts,"),
+        ("nation", Condition("n_name", "is", "FRANCE"), "exact", "EqualTo(n_name,FRANCE)"),
+    ],
+)
+def test_typed_conditions_reach_the_scan(spark, data, table, condition, dialect, pushed):
+    df = where(spark.read.parquet(f"{data}/{table}.parquet"), [[condition]], dialect)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan.split("PushedFilters: [", 1)[1].split("ReadSchema")[0]
+
+
+def test_text_of_whole_numbers(spark):
+    df = spark.createDataFrame([(1000.0, 2**53 + 1), (2.5, 2**53), (None, None)], "v double, n bigint")
+    count = lambda c, d="public": where(df, [[c]], d).count()
+    assert count(Condition("v", "is", "1000")) == 1 and count(Condition("v", "is_one_of", '["1000", "2.5"]')) == 2
+    assert count(Condition("v", "is_not", "1000")) == 2
+    assert count(Condition("n", "gt", str(2**53))) == 1 and count(Condition("n", "lte", str(2**53))) == 1
+    assert count(Condition("n", "lt", "Infinity")) == 2 and count(Condition("n", "gt", "x")) == 0
