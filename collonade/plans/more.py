@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collonade.functions import casts, text
-from collonade.operators import eav, snapshots, sorting, usage, versions
+from collonade.operators import eav, hierarchy, snapshots, sorting, usage, versions
+from collonade.operators.predicates import Condition, where
 from collonade.plans.adapter import Tables
-from collonade.plans.queries import STATUS, query
+from collonade.plans.queries import STATUS, TREE, query
 
 
 @query(f"SELECT d.c_custkey, d.c_custkey % 11 <> 0 AS is_publishable, s.status <> 'new' AS is_published, s.status = 'updated' AS is_modified FROM customer d JOIN ({STATUS}) s ON s.c_custkey = d.c_custkey")
@@ -74,9 +75,9 @@ def s24_tokens(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(casts.parse_tokens(F.col("v")), "|").alias("ids"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::DOUBLE) ELSE printf('%.2f KB', round(n_chars / 1024.0, 2)) END AS size FROM documents WHERE n_chars < 1000000")
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KB', round(n / 1024.0, 2)) ELSE printf('%.2f MB', round(n / 1048576.0, 2)) END AS size FROM (SELECT doc_id, n_chars * 16 AS n FROM documents)")
 def s27_file_size(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars < 1000000").select("doc_id", text.file_size(F.col("n_chars")).alias("size"))
+    return t.documents.withColumn("n_chars", F.col("n_chars") * 16).select("doc_id", text.file_size(F.col("n_chars")).alias("size"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) IN ('de', 'fr') THEN regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) END AS locale FROM pages")
@@ -150,3 +151,40 @@ def n17_duplicate(t: Tables) -> DataFrame:
 @query("SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50")
 def o19_retention(t: Tables) -> DataFrame:
     return versions.newest(t.events, "user_id", "ts", "event_id").select("event_id")
+
+
+BELOW = f"WITH RECURSIVE tree AS {TREE}, walk AS (SELECT id FROM tree WHERE parent = 'r1' OR id = 'r1' UNION SELECT t.id FROM walk w JOIN tree t ON t.parent = w.id)"
+
+
+@query(f"{BELOW} SELECT id, name FROM tree WHERE id IN (SELECT id FROM walk)")
+def h05_subtree(t: Tables) -> DataFrame:
+    ids = t.region.where("r_regionkey = 1").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
+    return hierarchy.subtree(t.folders(), "id", "parent", ids).select("id", "name")
+
+
+@query(f"{BELOW} SELECT id, name FROM tree WHERE id NOT IN (SELECT id FROM walk)")
+def n16_delete_subtree(t: Tables) -> DataFrame:
+    ids = t.region.where("r_regionkey = 1").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
+    return hierarchy.without_subtree(t.folders(), "id", "parent", ids).select("id", "name")
+
+
+@query(f"WITH RECURSIVE tree AS {TREE}, walk AS (SELECT id, parent FROM tree WHERE id IN (SELECT concat('s', s_suppkey) FROM supplier WHERE s_acctbal < 0) UNION SELECT t.id, t.parent FROM walk w JOIN tree t ON w.parent = t.id) SELECT DISTINCT id FROM walk")
+def h13_ancestors(t: Tables) -> DataFrame:
+    ids = t.supplier.where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    return hierarchy.above(t.folders(), "id", "parent", ids).select("id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 17")
+def f01_is_whole_number(t: Tables) -> DataFrame:
+    return where(t.lineitem, [[Condition("l_quantity", "is", "17")]]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity IN (17, 18)")
+def f20_one_of_whole_numbers(t: Tables) -> DataFrame:
+    return where(t.lineitem, [[Condition("l_quantity", "is_one_of", '["17", "18"]')]]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate - INTERVAL 210 MINUTE, '%Y-%m-%d %H:%M') AS utc FROM orders")
+def s03_offset(t: Tables) -> DataFrame:
+    said = F.concat(F.date_format("o_orderdate", "MMM dd yyyy HH:mm:ss"), F.lit(" GMT+0330 (zone)"))
+    return t.orders.select("o_orderkey", F.date_format(casts.parse_date(F.concat(F.lit("Thu "), said)), "yyyy-MM-dd HH:mm").alias("utc"))

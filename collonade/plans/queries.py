@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collonade.functions import casts, text
@@ -120,9 +120,9 @@ for _name, _groups, _dialect, _test in [
 # Scans and projections.
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 ORDER BY o_custkey, o_orderdate DESC, o_orderkey LIMIT 25")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey, o_orderdate DESC, o_orderkey LIMIT 25")
 def sc01_items(t: Tables) -> DataFrame:
-    return sorting.default_order(t.orders.where("o_orderkey % 3 = 0"), "o_custkey", "o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "o_orderstatus")
+    return sorting.default_order(t.orders.where("o_orderstatus = 'F'"), "o_custkey", "o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT * FROM nation WHERE n_nationkey = 7")
@@ -216,9 +216,12 @@ def o18_latest(t: Tables) -> DataFrame:
     return sorting.latest(t.conversations, "conv_id", "turn", ["turn", "role"], "role")
 
 
-@query("""SELECT p_partkey FROM part ORDER BY p_size, p_name, p_partkey LIMIT 40""")
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN v = '' THEN 0 WHEN n IS NOT NULL THEN 2 ELSE 3 END, n, v, p_partkey) AS place FROM (SELECT *, try_cast(v AS DOUBLE) AS n FROM (SELECT p_partkey, p_brand, CASE WHEN p_size < 10 THEN '' WHEN p_size < 30 THEN p_size::VARCHAR ELSE p_type END AS v FROM part))""")
 def o02_mixed_sort(t: Tables) -> DataFrame:
-    return t.part.orderBy(*sorting.mixed_keys(F.col("p_size")), "p_name", "p_partkey").limit(40).select("p_partkey")
+    value = F.when(F.col("p_size") < 10, "").when(F.col("p_size") < 30, F.col("p_size").cast("string")).otherwise(F.col("p_type"))
+    rows = t.part.withColumn("v", value)
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(*sorting.mixed_keys(F.col("v")), "p_partkey"))
+    return rows.select("p_partkey", place.cast("bigint").alias("place"))
 
 
 @query()
