@@ -38,6 +38,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -86,24 +87,38 @@ class Element:
     __slots__ = ("above", "article", "chain", "label", "named", "never", "node", "tag")
 
     def __init__(self, tag: str, attributes: str, above: Element | None, count: int):
-        found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)} if attributes else {}
-        names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-        parts = set(NAMES.findall(names))
-        self.tag, self.label = tag, tag + ("." + DIGITS.sub("0", " ".join(sorted(names.split()))) if names.strip() else "")
-        self.above = above
+        # Most attributes tell nothing here (links, images).
+        self.label, hidden, role, frame, comment = told(tag, attributes if attributes and TELLING.search(attributes) else "")
+        self.tag, self.above = tag, above
         chain = above.chain if above else ()
-        self.node = hashed(self.label, above.node if above else 0) if len(chain) < DEPTH else chain[-1]
-        self.chain = (*chain, self.node) if len(chain) < DEPTH else chain
-        self.never = (above and above.never) or tag in NEVER_TEXT or found.get("aria-hidden") == "true" or (bool(attributes) and BARE_ATTRIBUTE.search(attributes) is not None)
-        inside = bool(above) and above.article
-        frame = tag in FRAME_TAGS and not (tag == "header" and inside) or found.get("role", "").lower() in FRAME_ROLES or not FRAME_NAMES.isdisjoint(parts)
-        comment = not COMMENT_NAMES.isdisjoint(parts)
+        if len(chain) < DEPTH:
+            self.node = hashed(self.label, above.node if above else 0)
+            self.chain = (*chain, self.node)
+        else:
+            self.node, self.chain = chain[-1], chain
+        self.never = hidden or (above is not None and above.never)
+        inside = above is not None and above.article
+        frame = frame or role or tag in FRAME_TAGS and not (tag == "header" and inside)
         self.named = above.named if above else ()
         if (frame or comment) and tag not in ("html", "body"):
             self.named = (*self.named, (count, comment, self.node))
         self.article = inside or tag in CONTENT
 
 
+TELLING = re.compile("class|id|role|hidden", re.I)
+
+
+@lru_cache(maxsize=4096)
+def told(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """What a tag says by itself: its label, whether it never holds text, and whether its role, its names or its comment names tell no content."""
+    found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
+    parts = set(NAMES.findall(names))
+    label = tag + ("." + DIGITS.sub("0", " ".join(sorted(names.split()))) if names.strip() else "")
+    hidden = tag in NEVER_TEXT or found.get("aria-hidden") == "true" or BARE_ATTRIBUTE.search(attributes) is not None
+    return label, hidden, found.get("role", "").lower() in FRAME_ROLES, not FRAME_NAMES.isdisjoint(parts), not COMMENT_NAMES.isdisjoint(parts)
+
+
 def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
     """Events of a page in its order: ("open", element, ""), ("text", element it is in, text), ("break", None, tag)."""
     stack: list[Element] = []
