@@ -35,7 +35,7 @@ SHARE, FEWEST = 0.75, 60
 # Fixed values for five statistics: the chi-square quantile at 0.99999, and how much larger the covariance of a normal sample is than that of its nearest 75 %.
 CUTOFF, CONSISTENT = 30.856, 1.47
 #: A determinant falls if its logarithm does by this much.
-SETTLED = 1e-6
+SETTLED = 1e-3
 #: Standard deviations below which no statistic's estimate falls, so that a statistic that is zero for most rows doesn't reject every other.
 FLOORS = {"v_words": 0.9, "v_length": 0.12, "v_symbols": 0.5, "v_lines": 0.15, "v_repeats": 0.15}
 BINS = 64
