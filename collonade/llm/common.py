@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine where none is set (tests)."""
+    """The folder that all executors share; one of this machine where none is set and all runs on it (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(sc, "_collonade_dir", None):
         sc._collonade_dir = tempfile.mkdtemp(prefix="collonade-")
         sc.setCheckpointDir(sc._collonade_dir)
