@@ -122,15 +122,15 @@ def test_decoding_is_exact_and_of_any_length():
         grams[key] = grams.get(key, 0) + 1
     channel = toxicity.Channel(grams)
     for chunk in ("1d10t", "$+upp1d", "m*r00n", "c|0wn", "6r3ad", "l1ttl3", "(*11*8l3"):
-        best = (-1e9, "")
+        scores = {}
         for way in product(*channel.lattice(chunk)):
             word, p = "".join(s for s, _ in way), sum(cost for _, cost in way)
             x = y = 0
             for ch in word:
                 z = channel.code[ch]
                 p, x, y = p + channel.log[x][y][z], y, z
-            best = max(best, (p + channel.log[x][y][0], word))
-        assert channel.decode(chunk) == best[1]
+            scores[word] = max(scores.get(word, -1e9), p + channel.log[x][y][0])
+        assert scores[channel.decode(chunk)] >= max(scores.values()) - 1e-9  # of ties any
     assert {"idiot", "moron", "loser"} <= channel.words("y0u,1d10t,m0r0n/l0ser" + ",w4ter" * 20)
     assert "patheticidiot" in channel.words("".join(f"{x}" * 30 for x in "patheticidiot"))
     assert "idiot" in channel.words("an i\td\ni \u00a0o   t here") and "fat" in channel.words("so f a t!")
