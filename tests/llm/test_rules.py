@@ -83,17 +83,44 @@ def test_prefix_sums(spark):
         assert r.p == [sum(r.v[:k]) for k in range(len(r.v))]
 
 
+WRAPPED_ISC = "Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies."
+WRAPPED_MIT = "Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software and\nassociated documentation files"
+LICENCES = [
+    ("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("All rights reserved.", "reserved"), ("the driver lost his license in the storm", "unknown"),
+    ("Distributed under MIT", "mit"), ("Released under GPLv3.", "gpl"), ("Available under LGPLv2.1 or later", "lgpl"), ("# SPDX-License-Identifier: Apache-2.0", "apache"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "gpl"), ("SPDX-License-Identifier: EPL-2.0", "epl"), ("WTFPL", "wtfpl"), (WRAPPED_ISC, "isc"), (WRAPPED_MIT, "mit"),
+    ("Distributed under the Boost Software\nLicense, Version 1.0.", "boost"), ("under the terms of the GNU Affero General\nPublic License", "agpl"), ("Text is available under the Creative Commons Attribution-ShareAlike License", "cc-by-sa"), ("a CC0-1.0 work", "public-domain"), ("use is governed by a BSD-style licence", "bsd"), ("MPL-2.0", "mpl"), ("RELEASED UNDER THE MIT LICENSE", "mit"), ("SPDX-License-Identifier: MIT OR GPL-2.0-only", None), ("mit-licensed code", "mit"),
+    ("licensed under the Foo Public Licence", "unknown"), ("© 2019 Jane Doe", "unknown"), ("He works at MIT and likes it.", "unknown"), ("The software has no licence.", "unknown"), ("lorem ipsum " * 5000 + "\nReleased under the MIT License.\n" + "dolor sit " * 5000, "mit"),
+]
+
+
 def test_licences(spark, odd, nothing):
-    texts = [("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("All rights reserved.", "reserved"), ("the driver lost his license in the storm", "unknown")]
-    df = spark.createDataFrame([(i, "first line\n" + t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
-    df = df.union(spark.createDataFrame([(50, "wir fahren mit dem zug nach hause"), (51, None)], df.schema))
+    df = spark.createDataFrame([(i, "first line\n" + t) for i, (t, _) in enumerate(LICENCES)], "doc_id bigint, text string")
+    df = df.union(spark.createDataFrame([(50, "wir fahren mit dem zug nach hause"), (51, None), (52, "DER!! MIT,!! NICHT!! EIN"), (53, "MIT!! DER TUER")], df.schema))
     got = {r.doc_id: r for r in licences.scan(df).collect()}
-    assert len(got) == len(texts)
-    assert [got[i].family for i in range(len(texts))] == [f for _, f in texts]
-    assert all(got[i].line == 1 and got[i].confirmed == (f != "unknown") for i, (_, f) in enumerate(texts))
+    assert len(got) == len(LICENCES)
+    assert [got[i].family for i, (_, f) in enumerate(LICENCES) if f] == [f for _, f in LICENCES if f]
+    assert all(got[i].confirmed == (f != "unknown") for i, (_, f) in enumerate(LICENCES) if f)
+    assert all(got[i].line == (1 if "lorem" not in t else 2) for i, (t, _) in enumerate(LICENCES))
     assert licences.scan(odd).count() == 0 and licences.scan(nothing).count() == 0
 
 
+def test_licences_in_odd_rows(spark):
+    """Paragraphs end at empty lines; nulls, ties, repeated rows and clashing names change no verdict."""
+    notice = "Released under\nthe MIT License."
+    text = "intro\n\n" + notice + "\n \t\n\nplain words\r\n\r\nAvailable under LGPLv2.1\n"
+    rows = [(1, text, "x", 1), (1, text, None, 2), (None, text, "y", None), (2, "", "", 0), (3, None, "", 0)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string, family string, line int")).collect()
+    want = [(3, notice, "mit", True), (8, "Available under LGPLv2.1", "lgpl", True)]
+    assert sorted((r.doc_id or 0, r.line, r.paragraph, r.family, r.confirmed) for r in got) == sorted((i, *w) for i in (0, 1, 1) for w in want)
+
+
+def test_lines_with_licences_are_all_found(spark, data):
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
+    phrases = {"GNU General Public License, version 3": "gpl", "MIT License": "mit", "CC BY-NC 4.0": "cc-by-nc", "Apache License, Version 2.0": "apache"}
+    want = sorted((r.doc_id, f) for r in docs.collect() for p, f in phrases.items() if p in (r.text or ""))
+    assert want and sorted((r.doc_id, r.family) for r in licences.scan(docs).collect() if r.family in phrases.values()) == want
+
+
 @pytest.mark.parametrize("words", [["a", "license", "b"], []])
 def test_grams_stay_near_licence_words(spark, words):
     far = ["w"] * 10
