@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collonade.functions.casts import parse_date
+
 # Lower-case letters and what stands for them in slugs.
 LETTERS = {
     # Latin
@@ -180,3 +182,12 @@ def rich_text_plain(doc: Column) -> Column:
     found = F.regexp_extract_all(doc, F.lit(r'"text":("(?:[^"\\]|\\.)*")'), F.lit(1))
     texts = F.transform(found, lambda t: F.from_json(F.concat(F.lit('{"t":'), t, F.lit("}")), "t string")["t"])
     return F.trim(F.regexp_replace(F.array_join(texts, " "), r"\s+", " "))
+
+
+def displayed(c: Column, kind: str, zone: str = "UTC") -> Column:
+    """A cell's text for readers, by the kind of its field: rich text as plain, dates in a zone; '' where it is null."""
+    if kind == "rich_text":
+        c = F.when(F.try_parse_json(c).isNotNull(), rich_text_plain(c)).otherwise(c)
+    if kind == "date":
+        c = display_date(parse_date(c), zone)
+    return F.coalesce(c, F.lit(""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,21 @@ def without_subtree(df: DataFrame, key: str, parent: str, ids: DataFrame) -> Dat
     return df.join(subtree(df, key, parent, ids).select(key), key, "left_anti")
 
 
+def flattened(df: DataFrame, key: str, parent: str, order: str, collapsed: DataFrame | None = None) -> DataFrame:
+    """(key, depth, index, path): index counts siblings from 0 by order and key, and path sorts each node before its children.
+
+    What lies below collapsed nodes (a column of key's name) is left out.
+    """
+    place = F.row_number().over(Window.partitionBy(parent).orderBy(order, key)) - 1
+    placed = df.select(F.col(key), F.col(parent), place.cast("bigint").alias("index"))
+    placed = placed.withColumn("_name", F.lpad(F.col("index").cast("string"), 19, "0"))
+    flat = paths(placed, key, parent, "_name").join(placed.select(key, "index"), key)
+    if collapsed is not None:
+        hidden = closure(df, key, parent).where("distance > 0").join(collapsed.select(F.col(key).alias("ancestor")), "ancestor", "left_semi")
+        flat = flat.join(hidden.select(F.col("descendant").alias(key)), key, "left_anti")
+    return flat.select(key, "depth", "index", "path").orderBy("path")
+
+
 def reaches(references: dict[str, list[str]], start: str, goal: str) -> bool:
     """Whether a collection refers to another, directly or through others; cycles end the walk."""
     todo, seen = [start], set()

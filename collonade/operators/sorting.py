@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,3 +82,28 @@ def in_given_order(df: DataFrame, key: str, ids: Sequence) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     places = spark.createDataFrame([(i, p) for p, i in enumerate(ids)], f"`{key}` {kind}, position bigint")
     return df.join(F.broadcast(places), key)
+
+
+def by_type(df: DataFrame, field: str, kind: str, descending: bool = False, tie: str | None = None) -> DataFrame:
+    """Number fields by the number that they start with, zero where there is none; others by collation; blank where null."""
+    key = F.coalesce(parse_float(F.col(field).cast("string")), F.lit(0.0)) if kind == "number" else F.collate(F.coalesce(F.col(field).cast("string"), F.lit("")), "UNICODE")
+    return df.orderBy(key.desc() if descending else key.asc(), *([tie] if tie else []))
+
+
+def clamped(value: str | int | None, default: int, most: int) -> int:
+    """A page size from a request: the default if it is missing, zero or no number, else between 1 and most."""
+    found = re.match(r"\s*[+-]?\d+", str(value if value is not None else ""))
+    return min(max(1, int(found[0]) if found and int(found[0]) else default), most)
+
+
+def api_page(df: DataFrame, number=None, per_page=None, limit=None) -> DataFrame:
+    """A page by request parameters: a limit is the number of rows, but pages are still per_page apart."""
+    size = clamped(per_page, PER_PAGE, MOST_PER_PAGE)
+    start = (clamped(number, 1, sys.maxsize) - 1) * size
+    return sliced(df, start, size if limit is None else clamped(limit, PER_PAGE, MOST_PER_PAGE))
+
+
+def has_more(df: DataFrame, offset: int, limit: int = LOAD_MORE) -> DataFrame:
+    """One row: total, and whether there are rows after those that load_more gives."""
+    end = max(0, offset) + min(max(1, limit), MOST_LOAD_MORE)
+    return df.agg(F.count("*").alias("total"), (F.count("*") > end).alias("has_more"))

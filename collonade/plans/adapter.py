@@ -38,6 +38,25 @@ class Tables:
         gone = self.supplier.select((-F.col("s_suppkey") - 1).alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("NONE").alias("c_mktsegment"), F.lit("0").alias("balance"), F.lit(True).alias("is_publishable"))
         return own.unionByName(gone)
 
+    def fields(self) -> DataFrame:
+        """Nations as fields of regions' collections, in both states: published ones lack some, and differ in name or data."""
+        n = self.nation.select(
+            F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("collection_id"), F.when(F.col("n_nationkey") % 8 == 0, (F.col("n_regionkey") + 1) % 5).alias("reference_collection_id"),
+            F.col("n_name").alias("name"), F.lower("n_name").alias("key"), F.lit("text").alias("type"), (F.col("n_nationkey") % 7).alias("order"), (F.col("n_nationkey") % 5 == 0).alias("is_computed"), F.when(F.col("n_nationkey") % 3 == 0, "{}").alias("data"),
+        )
+        old = n.where("id % 4 <> 0").withColumn("name", F.when(F.col("id") % 6 == 1, F.concat("name", F.lit("*"))).otherwise(F.col("name"))).withColumn("data", F.when(F.col("id") % 6 == 3, F.lit(None)).otherwise(F.col("data")))
+        return n.withColumn("is_published", F.lit(False)).unionByName(old.withColumn("is_published", F.lit(True)))
+
+    def items(self) -> DataFrame:
+        """Customers' drafts and published twins in one table; drafts of one in thirteen are deleted."""
+        d = self.draft().withColumn("is_published", F.lit(False)).withColumn("deleted_at", F.when(F.col("c_custkey") % 13 == 0, F.lit("2024-01-01")))
+        return d.unionByName(self.published().withColumn("is_published", F.lit(True)).withColumn("deleted_at", F.lit(None).cast("string")))
+
+    def entries(self) -> DataFrame:
+        """Orders as children of customers, in both states: one in three is published, with an old status."""
+        d = self.orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.lit(False).alias("is_published"))
+        return d.unionByName(d.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("old")).withColumn("is_published", F.lit(True)))
+
     def folders(self) -> DataFrame:
         """Regions, nations and a third level as a tree of folders."""
         r = self.region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.lower("r_name").alias("name"))
