@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import struct
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -26,8 +27,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Control characters that Python's split() takes for white space and the vocabulary's rules do not.
 ODD = regex.compile(r"[\x1c-\x1f]")
-#: Entries of each of a worker's two caches, of about 200 bytes each.
-CACHE = 300_000
+#: Bytes of a worker's cached words, about; and the rows worked on at a time, whatever a batch holds.
+CACHE, ROWS = 48 << 20, 256
+#: Bytes of an entry of a dictionary besides its key and value.
+SLOT = 100
 
 
 def byte_letters() -> list[str]:
@@ -39,7 +42,7 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """Tokens, merges and special tokens of a vocabulary file."""
+    """Merges and special tokens of a vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -47,7 +50,6 @@ class Vocabulary:
         model = spec["model"]
         ids, end = model["vocab"], model["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (ids | self.special).items()}
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         self.letters = byte_letters()
         self.inner = [ids[c] for c in self.letters]
@@ -86,20 +88,22 @@ class Chunks(dict):
     """Ids, as little-endian 32-bit integers, of runs of text between white space."""
 
     def __init__(self, word: Callable[[str], list[int]]):
-        self.word, self.pieces = word, {}
+        self.word, self.pieces, self.size = word, {}, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
+        if self.size >= CACHE:
             self.clear()
-        if len(self.pieces) >= CACHE:
             self.pieces.clear()
+            self.size = 0
         got = []
         for piece in [chunk] if chunk.isascii() and chunk.isalpha() else PIECES.findall(chunk):
             if (ids := self.pieces.get(piece)) is None:
                 own = self.word(piece)
                 ids = self.pieces[piece] = struct.pack(f"<{len(own)}I", *own)
+                self.size += sys.getsizeof(piece) + sys.getsizeof(ids) + SLOT
             got.append(ids)
         self[chunk] = out = b"".join(got)
+        self.size += sys.getsizeof(chunk) + sys.getsizeof(out) + SLOT
         return out
 
 
@@ -131,6 +135,24 @@ class Encoder:
         return b"".join(np.array([special[x]], "<u4").tobytes() if x in special else self.plain(x) for x in self.vocabulary.marks.split(text))
 
 
+def token_strings(path: str) -> list[str]:
+    """The vocabulary string of each id; '' for ids that are none."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    names = [""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        names[i] = token
+    return names
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ROWS rows, so that no more than those are held as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -146,7 +168,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in portions(batches):
             packed = [enc.encode(t or "") for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
@@ -160,9 +182,8 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str =
     """(key, ids, decoded): the vocabulary strings of the ids, joined as a file without a decoder asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(vocabulary).vocabulary.tokens
-        names = [tokens.get(i, "") for i in range(max(tokens) + 1)]
-        for batch in batches:
+        names = token_strings(vocabulary)
+        for batch in portions(batches):
             lists = batch.column(1)
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             texts = [" ".join([names[i] for i in flat[a:b].tolist()]) for a, b in zip(bounds, bounds[1:], strict=False)]  # a row at a time: lists of numbers are large

@@ -23,6 +23,14 @@ def test_encoder(library, text, by_library):
     assert got == library.encode(text, add_special_tokens=False).ids
 
 
+def test_cached_words_are_bounded_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 5000)
+    enc = bpe.Encoder(vocabulary())
+    text = " ".join(f"word{i % 700}{'x' * (i % 90)}" for i in range(3000))
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert enc.chunks.size < 7000 and len(enc.chunks) < 100 and len(enc.chunks.pieces) < 100
+
+
 def test_query(odd, nothing, library):
     got = bpe.digests(bpe.decode(bpe.encode(odd, vocabulary()), vocabulary())).collect()
     want = []
