@@ -28,7 +28,7 @@ SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Control characters that Python's split() takes for white space and the vocabulary's rules do not.
 ODD = regex.compile(r"[\x1c-\x1f]")
 #: Bytes of a worker's cached words, about; and the rows worked on at a time, whatever a batch holds.
-CACHE, ROWS = 48 << 20, 256
+CACHE, ROWS = 128 << 20, 256
 #: Bytes of an entry of a dictionary besides its key and value.
 SLOT = 100
 
