@@ -26,7 +26,6 @@ LETTERS = {
     "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "є": "ye", "і": "i", "ї": "yi", "ґ": "g",
     "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz",
 }
-RESERVED_ROOTS = ("webwow",)
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 UNITS = ["B", "KB", "MB", "GB"]
 
@@ -46,7 +45,7 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(transliterate(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug", taken: DataFrame | None = None, reserved: tuple[str, ...] = RESERVED_ROOTS) -> DataFrame:
+def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug", taken: DataFrame | None = None, reserved: tuple[str, ...] = ()) -> DataFrame:
     """Add out: base for the first row of each base by order, then base-2, base-3 and so on, without those in use.
 
     In use are the bases themselves, the slugs in taken (a column of base's name) and, as they are, the reserved ones.
