@@ -173,7 +173,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(key).alias("_k"), F.col(lang).alias("_lang_in"), F.col(source).alias("_source_in"), F.col(text).alias("_text_in"))
     stats = with_statistics(rows, "_text_in").drop("_text_in")
     stats = stats.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    stats = keep(vectors(stats), "statistics")
+    needed = ["_k", "_lang_in", "_source_in", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *names]
+    stats = keep(vectors(stats).select(needed), "statistics")
     sound = stats.where(F.col("n_words") >= SOUND)
     scoped = keep(scopes(stats, "_lang_in", "_source_in"), "scoped") if sound.limit(1).count() else stats.withColumn("scope", F.lit("\x1d"))
     fits = fit(scoped.where(F.col("n_words") >= SOUND), names)
