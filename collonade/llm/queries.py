@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from collonade.llm import bpe, licences, matroska, outliers, packing, pii, quality, simhash, style_tree, toxicity
+from collonade.llm import bpe, centroids, filter_audit, licences, matroska, outliers, packing, pii, quality, simhash, style_tree, toxicity, url_filter
 from collonade.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,6 +59,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_bpe, op3_outliers, op4_packing, op5_ranking, op6_simhash, op7_style_tree, op8_licences, op9_toxicity, op10_pii)}
-#: None of these can be written in SQL as a whole; the tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digests(url_filter.judge(table(spark, sf_dir, "pages")))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+ALL = (op1_matroska, op2_bpe, op3_outliers, op4_packing, op5_ranking, op6_simhash, op7_style_tree, op8_licences, op9_toxicity, op10_pii, op11_filter_audit, op12_url_filter, op13_centroids)
+QUERIES = {f.__name__: f for f in ALL}
+#: The others can't be written in SQL as a whole; the tests hold them against brute force.
+ORACLES = {"op11_filter_audit": filter_audit.SQL, "op12_url_filter": url_filter.SQL, "op13_centroids": centroids.sql()}
