@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collonade.functions.casts import parse_date
+from collonade.operators.ordering import ranked
 
 # Lower-case letters and what stands for them in slugs.
 LETTERS = {
@@ -49,23 +50,26 @@ def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug", taken:
     """Add out: base for the first row of each base by order, then base-2, base-3 and so on, without those in use.
 
     In use are the bases themselves, the slugs in taken (a column of base's name) and, as they are, the reserved ones.
-    An empty base stays empty.
+    An empty base stays empty.  order should leave no ties in a base.  Numbers are places in range partitions, so that a
+    base of many rows, or with many numbers in use, is many tasks.
     """
     old = df.select(F.col(base).alias("_s"), F.lit(False).alias("_old"))
     if taken is not None:
         old = old.union(taken.select(F.col(base), F.lit(True)))
     names = old.groupBy("_s").agg(F.max("_old").alias("_old"))
-    numbered = names.select(F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 2).alias("_n"))
-    used = numbered.where("_n <> ''").groupBy("_base").agg(F.array_sort(F.collect_set(F.col("_n").cast("int"))).alias("_used"))
-    rows = df.join(names.where("_old").select(F.col("_s").alias("_base"), "_old"), F.col(base) == F.col("_base"), "left").drop("_base")
-    rows = rows.join(used, F.col(base) == F.col("_base"), "left").drop("_base")
-    place = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    free = ~F.coalesce("_old", F.lit(False)) & (~F.col(base).isin(*reserved) if reserved else F.lit(True))
-    rows = rows.withColumn("_n", F.when(free, place).otherwise(place + 1))
-    # The place-th number of two or more that is not used: each used one that is not above it moves it up.
-    number = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_n"), lambda v, u: F.when((u > 1) & (u <= v), v + 1).otherwise(v))
-    named = F.when((F.col("_n") == 1) | (F.col(base) == ""), F.col(base)).otherwise(F.concat_ws("-", F.col(base), number.cast("string")))
-    return rows.withColumn(out, named).drop("_old", "_used", "_n")
+    ended = names.select(F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 2).alias("_n"))
+    used = ended.where("_n <> '' AND _n NOT LIKE '0%'").select("_base", F.col("_n").cast("bigint").alias("_u")).where("_u > 1").distinct()
+    # The j-th number u in use has u - 1 - j free ones below it, and the k-th free one is k + 1 and the number of those with fewer than k.
+    used = ranked(used, ["_u"], "_base", "_j").select(F.col("_base").alias("_b"), (F.col("_u") - 1 - F.col("_j")).alias("_k"))
+    lost = names.where("_old").select(F.col("_s").alias("_b0"), F.lit(True).alias("_lost"))
+    rows = ranked(df, [order], base, "_place").join(lost, F.col(base) == F.col("_b0"), "left").drop("_b0")
+    bare = ~F.coalesce("_lost", F.lit(False)) & (~F.col(base).isin(*reserved) if reserved else F.lit(True))
+    rows = rows.withColumn("_k", F.when(bare, F.col("_place") - 1).otherwise(F.col("_place"))).drop("_lost")
+    met = rows.select(F.col(base).alias("_b"), "_k", F.lit(0).alias("_kind"), F.struct(*rows.columns).alias("_row")).unionByName(used.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    swept = ranked(met, ["_k", "_kind"], "_b", "_at").where("_kind = 0").select("_row.*", "_at")
+    number = F.col("_k") + 1 + F.col("_at") - F.col("_place")
+    named = F.when((F.col("_k") == 0) | (F.col(base) == ""), F.col(base)).otherwise(F.concat_ws("-", F.col(base), number.cast("string")))
+    return swept.withColumn(out, named).drop("_at", "_place", "_k")
 
 
 def copy_slug(c: Column) -> Column:
@@ -190,3 +194,13 @@ def displayed(c: Column, kind: str, zone: str = "UTC") -> Column:
     if kind == "date":
         c = display_date(parse_date(c), zone)
     return F.coalesce(c, F.lit(""))
+
+
+def is_field_name(c: Column) -> Column:
+    """Lower-case letters, digits and underscores, a letter first."""
+    return F.coalesce(c.rlike("^[a-z][a-z0-9_]*$"), F.lit(False))
+
+
+def is_collection_name(c: Column) -> Column:
+    """Lower-case letters, digits and hyphens, a letter first."""
+    return F.coalesce(c.rlike("^[a-z][a-z0-9-]*$"), F.lit(False))

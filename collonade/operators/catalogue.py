@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from collonade.functions.text import escape_like
+from collonade.functions.text import escape_like, file_size
 
 
 def fields(df: DataFrame, collection=None, published: bool | None = None, computed: bool = True, search: str = "") -> DataFrame:
@@ -72,3 +72,19 @@ def by_slug(wanted: DataFrame, items: DataFrame, translations: DataFrame) -> Dat
     own = items.groupBy("slug").agg(F.min("id").alias("_own"))
     met = wanted.join(over, ["slug", "locale"], "left").join(own, "slug", "left")
     return met.withColumn("id", F.coalesce("_over", "_own")).drop("_over", "_own")
+
+
+#: Names of the fields that an asset has as an item of a list of assets.
+ASSET_FIELDS = ("__asset_filename", "__asset_url", "__asset_file_size", "__asset_mime_type", "__asset_width", "__asset_height")
+
+
+def asset_fields(df: DataFrame, name: str, url: str, size: str, mime: str, width: str, height: str) -> DataFrame:
+    """df with six text columns that stand for an asset's fields; what is missing is '', and a missing size is none at all."""
+    values = [F.col(name), F.col(url), file_size(F.coalesce(F.col(size), F.lit(0))), F.col(mime), F.col(width), F.col(height)]
+    return df.withColumns({k: F.coalesce(c.cast("string"), F.lit("")) for k, c in zip(ASSET_FIELDS, values, strict=True)})
+
+
+def merged_ids(*lists: Column) -> Column:
+    """Id lists in one, each id once, in order of first appearance; a null list is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(c.cast("array<string>"), none) for c in lists]))

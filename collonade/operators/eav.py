@@ -67,9 +67,9 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def patched(old: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old rows with the columns of changes where these aren't null."""
+    """Old rows with the columns of changes where these aren't null; of several changes for a key each column takes its greatest value."""
     columns = [c for c in changes.columns if c not in keys]
-    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    new = changes.groupBy(*keys).agg(*[F.max(c).alias(f"_{c}") for c in columns])
     return old.join(new, list(keys), "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 

@@ -1,25 +1,16 @@
-"""Trees by parent reference, closed by joins that double their reach.
+"""Trees by parent reference.
 
-A tree of n levels takes about log2(n) rounds, however many rows it has; each round
-is checkpointed.  A cycle is an error.
+Paths and closures of a whole tree are made by joins that double their reach: n levels
+take about log2(n) rounds, and a cycle is an error.  What is above or below some ids is walked from these, a level a
+round.  Each round is checkpointed.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, kept in the folder that spark.checkpoint.dir names; local sessions without one get a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="collonade-"))
-    return df.checkpoint(eager=True)
+from collonade.sources.folders import cut
 
 
 def paths(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:
@@ -56,21 +47,42 @@ def closure(df: DataFrame, key: str, parent: str) -> DataFrame:
     return near
 
 
+def _walked(df: DataFrame, key: str, parent: str, ids: DataFrame, up: bool) -> DataFrame:
+    """(key): the given ids that df has, and what is above or below them.
+
+    Each round joins only the nodes that the last one found, so the work is that of the lines walked and not of the
+    whole tree's pairs; nodes that were there before are not walked again, so a cycle ends too.
+    """
+    edges = df.where(F.col(parent).isNotNull()).select(F.col(key).alias("a" if up else "b"), F.col(parent).alias("b" if up else "a"))
+    own = df.select(F.col(key).alias("b"))
+    front = cut(ids.select(F.col(key).alias("b")).distinct().join(own, "b", "left_semi"))
+    found = front
+    while True:
+        step = edges.join(front.select(F.col("b").alias("a")), "a", "left_semi").select("b").distinct()
+        front = cut((step.join(own, "b", "left_semi") if up else step).join(found, "b", "left_anti"))
+        if front.isEmpty():
+            return found.select(F.col("b").alias(key))
+        found = cut(found.union(front))
+
+
+def below(df: DataFrame, key: str, parent: str, ids: DataFrame) -> DataFrame:
+    """(key): the given ids (a column of key's name) that df has, and all below them."""
+    return _walked(df, key, parent, ids, up=False)
+
+
 def above(df: DataFrame, key: str, parent: str, ids: DataFrame) -> DataFrame:
     """Rows of the given ids (a column of key's name) and of all their ancestors."""
-    wanted = closure(df, key, parent).join(ids.select(F.col(key).alias("descendant")), "descendant", "left_semi").select(F.col("ancestor").alias(key)).distinct()
-    return df.join(wanted, key, "left_semi")
+    return df.join(_walked(df, key, parent, ids, up=True), key, "left_semi")
 
 
 def subtree(df: DataFrame, key: str, parent: str, ids: DataFrame) -> DataFrame:
     """Rows of the given ids and of all below them."""
-    wanted = closure(df, key, parent).join(ids.select(F.col(key).alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias(key)).distinct()
-    return df.join(wanted, key, "left_semi")
+    return df.join(below(df, key, parent, ids), key, "left_semi")
 
 
 def without_subtree(df: DataFrame, key: str, parent: str, ids: DataFrame) -> DataFrame:
     """Rows that neither are of the given ids nor below them: what a delete through all levels leaves."""
-    return df.join(subtree(df, key, parent, ids).select(key), key, "left_anti")
+    return df.join(below(df, key, parent, ids), key, "left_anti")
 
 
 def flattened(df: DataFrame, key: str, parent: str, order: str, collapsed: DataFrame | None = None) -> DataFrame:
@@ -83,11 +95,27 @@ def flattened(df: DataFrame, key: str, parent: str, order: str, collapsed: DataF
     placed = placed.withColumn("_name", F.lpad(F.col("index").cast("string"), 19, "0"))
     flat = paths(placed, key, parent, "_name").join(placed.select(key, "index"), key)
     if collapsed is not None:
-        hidden = closure(df, key, parent).where("distance > 0").join(collapsed.select(F.col(key).alias("ancestor")), "ancestor", "left_semi")
-        flat = flat.join(hidden.select(F.col("descendant").alias(key)), key, "left_anti")
+        first = df.join(collapsed.select(F.col(key).alias(parent)), parent, "left_semi").select(key)
+        flat = flat.join(below(df, key, parent, first), key, "left_anti")
     return flat.select(key, "depth", "index", "path").orderBy("path")
 
 
+def display_paths(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, path): names from the root down as readers see them, joined by " / "; a parent that isn't there counts as none."""
+    there = df.select(F.col(key).alias("_p"), F.lit(True).alias("_there"))
+    rooted = df.join(there, F.col(parent) == F.col("_p"), "left").withColumn(parent, F.when(F.col("_there"), F.col(parent)))
+    # Slashes within names are kept apart from those between them.
+    shown = paths(rooted.withColumn("_n", F.replace(F.col(name).cast("string"), F.lit("/"), F.lit("\x1f"))), key, parent, "_n")
+    return shown.select(key, F.replace(F.replace("path", F.lit("/"), F.lit(" / ")), F.lit("\x1f"), F.lit("/")).alias("path"))
+
+
+def descends(pairs: DataFrame, df: DataFrame, key: str, parent: str) -> DataFrame:
+    """Pairs (node, ancestor) with descends: whether the node is below the ancestor; only the lines above the nodes are walked."""
+    lines = above(df, key, parent, pairs.select(F.col("node").alias(key)).distinct())
+    known = closure(cut(lines), key, parent).where("distance > 0").select(F.col("descendant").alias("node"), "ancestor", F.lit(True).alias("_is"))
+    return pairs.join(known, ["node", "ancestor"], "left").select(*pairs.columns, F.coalesce("_is", F.lit(False)).alias("descends"))
+
+
 def reaches(references: dict[str, list[str]], start: str, goal: str) -> bool:
     """Whether a collection refers to another, directly or through others; cycles end the walk."""
     todo, seen = [start], set()

@@ -66,10 +66,10 @@ def holding(df: DataFrame, ids: str, wanted) -> DataFrame:
 
 
 def overlaid(base: DataFrame, keys: Sequence[str], translations: DataFrame, column: str, value: str, done: Column | None = None) -> DataFrame:
-    """Rows with a column replaced by its translation where that is complete and not blank."""
+    """Rows with a column replaced by its translation where that is complete and not blank; of several the greatest text."""
     use = F.trim(value) != ""
     use = use if done is None else use & done
-    over = translations.where(use).select(*keys, F.col(value).alias("_over"))
+    over = translations.where(use).groupBy(*keys).agg(F.max(value).alias("_over"))
     return base.join(over, list(keys), "left").withColumn(column, F.coalesce("_over", column)).drop("_over")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from collonade.functions.text import item_hash
+from collonade.operators.ordering import ranked
 
 
 def with_hash(df: DataFrame, fields: Sequence[str], out: str = "content_hash") -> DataFrame:
@@ -56,12 +57,7 @@ def shifted(df: DataFrame, position: str, start: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows with key = the existing maximum + 1, 2, ... by order.
-
-    Numbers are given by partition of a range-sorted frame, with the partitions' counts added up, so that no
-    single task orders all rows.
-    """
-    spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    before = spread.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return spread.join(before, "_part").join(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_before") + F.col("_in")).drop("_part", "_in", "_n", "_before", "_top")
+    """Rows with key = the existing maximum + 1, 2, ... by order; no single task orders all rows."""
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))  # one row
+    rows = ranked(df, [order], out="_rank").join(F.broadcast(top))
+    return rows.withColumn(key, F.col("_top") + F.col("_rank")).drop("_rank", "_top")

@@ -107,3 +107,21 @@ def has_more(df: DataFrame, offset: int, limit: int = LOAD_MORE) -> DataFrame:
     """One row: total, and whether there are rows after those that load_more gives."""
     end = max(0, offset) + min(max(1, limit), MOST_LOAD_MORE)
     return df.agg(F.count("*").alias("total"), (F.count("*") > end).alias("has_more"))
+
+
+def overridden(by: str | None, direction: str | None, set_by: str | None = None, set_direction: str | None = None) -> tuple[str | None, str]:
+    """The sort that applies: inputs override field and direction where they are valid, each on its own."""
+    chosen, way = (set_by or "").strip(), (set_direction or "").strip().lower()
+    return chosen if chosen and chosen != "none" else by, way if way in ("asc", "desc") else direction or "asc"
+
+
+def database_page(df: DataFrame, offset: int | None = None, limit: int | None = None, default: int = 25) -> DataFrame:
+    """Rows of an ordered frame from an offset on; an offset without a limit has a default one."""
+    if offset and offset > 0 and not limit:
+        limit = default
+    return sliced(df, offset or 0, limit or 0)
+
+
+def collections_order(df: DataFrame, order: str, name: str, created: str) -> DataFrame:
+    """Collections by their place, then by name as readers sort it, the oldest first."""
+    return df.orderBy(order, F.collate(F.col(name), "UNICODE"), created)

@@ -25,10 +25,13 @@ def young(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:
 
 
 def deliveries(events: DataFrame, subscriptions: DataFrame, kind: str, resource: str) -> DataFrame:
-    """Events with each subscription to their kind whose resource is theirs or is not given."""
+    """Events with each subscription to their kind whose resource is theirs or is not given.
+
+    The join's side is left to Spark: there may be as many subscriptions as there are customers.
+    """
     s = subscriptions.select("subscription", F.explode("kinds").alias("_kind"), F.col("resource").alias("_resource"))
     match = (events[kind] == s["_kind"]) & (s["_resource"].isNull() | (s["_resource"] == events[resource]))
-    return events.join(F.broadcast(s), match).drop("_kind", "_resource")
+    return events.join(s, match).drop("_kind", "_resource")
 
 
 def form_summary(df: DataFrame, form: str, status: Column, at: str) -> DataFrame:
