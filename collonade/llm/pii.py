@@ -11,8 +11,8 @@ Spark scores in turn patterns (the share of belief among their different
 instances) and instances (by the confident patterns that hold them, less by the
 share of their occurrences elsewhere) until no score changes.  Instances that come
 to be believed give new patterns, and new slots, until no pattern is new.  What
-stands in the slots of confident patterns gives spans of kind "id".  Fixed spans
-always stay.
+stands in the slots of confident patterns gives spans of kind "id", and so do account
+numbers, tokens and the like wherever they stand.  Fixed spans always stay.
 
 All of it is SQL functions.  Each pass over the texts is a scan that joins the
 words' contexts with the patterns looked for; slots are written only for patterns
@@ -52,6 +52,11 @@ CORE = rf"^{EDGES}*+(\S*(?!{EDGES})\S)"
 MARK = "\ue000"
 # Shapes of identifiers, in lower case: hexadecimal keys, UUIDs, keys and tokens of services, account numbers, social security numbers.
 SHAPES = r"^(?:[0-9a-f]{32,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[0-9a-z]{30,}|eyj[0-9a-z_-]{10,}\.[0-9a-z_.-]{10,}|[a-z]{2}[0-9]{2}[0-9a-z]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
+#: What a text in lower case must hold somewhere for a word of it to have one of these shapes.
+HINTS = r"[0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_|eyj[0-9a-z_-]{10}|[a-z]{2}[0-9]{2}[0-9a-z]{11}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
+ACCOUNT = r"^[a-z]{2}[0-9]{2}[0-9a-z]{11,30}$"
+#: Of these shapes what says by itself that it is personal or secret: a bare hash or UUID may name anything, and needs a context.
+ALONE = r"^(?:(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[0-9a-z]{30,}|eyj[0-9a-z_-]{10,}\.[0-9a-z_.-]{10,}|[a-z]{2}[0-9]{2}[0-9a-z]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
 #: An identifier written in up to 16 groups.
 GROUPS = r"^(?=\S*[0-9])[0-9A-Za-z]{1,8}(?: (?=[A-Z]*[0-9])[0-9A-Z]{1,8}(?![0-9A-Za-z])){1,15}"
 SPAN = "array<struct<start:bigint,k:int,end:bigint>>"
@@ -168,6 +173,26 @@ def belief(word: Column) -> Column:
     return F.when(F.startswith(word, F.lit(MARK)), 1.0).when((F.length(word) >= 11) & word.rlike(SHAPES), SHAPE_BELIEF).otherwise(0.0)
 
 
+def account(word: Column) -> Column:
+    """True if a word of an account number's shape passes its check (the remainder by 97, letters counting from 10)."""
+    turned = F.split(F.concat(F.substr(word, F.lit(5)), F.left(word, F.lit(4))), "")
+    value = lambda c: F.instr(F.lit("0123456789abcdefghijklmnopqrstuvwxyz"), c) - 1
+    step = lambda a, c: F.pmod(a * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)).cast("int")
+    return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), step) == 1
+
+
+def hinted(rows: DataFrame) -> DataFrame:
+    """Rows with a word that may be believed without its context."""
+    return rows.where(F.contains("_m", F.lit(MARK)) | F.lower(folded(F.col("_m"))).rlike(HINTS))
+
+
+def lone(rows: DataFrame) -> DataFrame:
+    """(_row, i) of words that are told by their shape wherever they stand; account numbers must pass their check."""
+    shaped = rows.where(F.lower(folded(F.col("_m"))).rlike(HINTS))
+    likely = contexts(shaped).where(F.length("word") >= 11).withColumn("word", core()).where((F.length("word") >= 11) & F.col("word").rlike(ALONE))
+    return likely.where(F.when(F.col("word").rlike(ACCOUNT), account(F.col("word"))).otherwise(F.lit(True))).select("_row", "i")
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
     """(_row, i, word, kind, pattern) of each word and each of its patterns."""
     return contexts(rows).select("_row", "i", "word", F.posexplode(patterns()).alias("kind", "pattern")).where(F.col("pattern").isNotNull())
@@ -175,7 +200,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 def seeds(rows: DataFrame) -> DataFrame:
     """(pattern, instance, score) of the words that are believed without their context."""
-    likely = contexts(rows).where(F.contains("word", F.lit(MARK)) | (F.length("word") >= 11)).withColumn("word", core())
+    likely = contexts(hinted(rows)).where(F.contains("word", F.lit(MARK)) | (F.length("word") >= 11)).withColumn("word", core())
     held = likely.withColumn("score", belief(F.col("word"))).where("score > 0")
     return held.select(F.explode(patterns()).alias("pattern"), F.xxhash64("word").alias("instance"), "score").where(F.col("pattern").isNotNull()).distinct()
 
@@ -273,7 +298,7 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(text).alias("_text"))
     found = with_spans(held, "_text").withColumns({"_row": F.monotonically_increasing_id(), "_text": F.coalesce("_text", F.lit(""))})
     rows = keep(found.withColumn("_m", marked(F.col("_text"), F.col("_spans"))).drop("_text"), "pii-rows")
-    chosen, _ = bootstrap(rows)
+    chosen = bootstrap(rows)[0].unionByName(lone(rows)).distinct()
     extra = keep(identifiers(rows, chosen), "pii-identifiers")
     out = join_sized(rows.drop("_m"), extra, "_row", "left")
     return out.select("_doc", *[f"n_{k}" for k in KINDS], F.col("_spans").alias("base"), F.when(F.col("_more").isNull(), F.col("_spans")).otherwise(F.sort_array(F.concat("_spans", "_more"))).alias("spans"))
