@@ -13,7 +13,10 @@ A node with texts weighs its content by the largest presentation entropy on its
 line, from the root through it to what lies below, as a share of the most that a
 node of the host has.  A branch is as important as its most important node, and
 branches of low importance are removed from each page: menus, headers, footers
-and adverts repeat their texts or keep their shape, articles do neither.
+and adverts repeat their texts or keep their shape, articles do neither.  Inside a
+block of content, an element with important texts right below it, what repeats may be
+the article's all the same: headings, captions, tables, lists and bylines stay there, and
+so does anything whose texts are several, unless its names tell another use.
 
 Entropies need pages: a node in under ``fewest`` pages is judged by its tag, role
 and class names alone, and on hosts where that holds for all nodes an article or
@@ -49,6 +52,8 @@ from collonade.llm.common import join_sized, keep
 
 #: Pages that a node must occur in to be judged by the tree, and the importance below which a branch is removed.
 FEWEST, LOW = 12, 0.65
+#: The content from which a node of low importance stays in a block of content.
+SEVERAL = 0.2
 #: What every presentation entropy has added, in nats, so that a host whose pages all have one shape is judged by content.
 FLOOR = 0.1
 #: Levels of a tree; what lies deeper counts as part of its ancestor on the last level.
@@ -66,6 +71,9 @@ FRAME_TAGS = set("nav header footer aside dialog menu".split())
 FRAME_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 FRAME_NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright legal disclaimer".split())
 CONTENT = {"article", "main"}
+# Elements and names that belong to the content that they stand in.
+CONTENT_PARTS, SECTION_HEADS = set("h1 h2 h3 h4 h5 h6 figure figcaption table caption thead tbody tfoot tr th td ul ol li dl dt dd blockquote pre".split()), set("h2 h3 h4 h5 h6".split())
+CONTENT_NAMES = set("author byline caption credit dateline headline subtitle".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)""", re.S)
 #: What ends an element whose content holds no tags.
@@ -84,11 +92,11 @@ def hashed(s: str, seed: int = 0) -> int:
 class Element:
     """An open element: its node, the nodes from the root to it, and what its names and those above say."""
 
-    __slots__ = ("above", "article", "chain", "label", "named", "never", "node", "tag")
+    __slots__ = ("above", "article", "chain", "label", "named", "never", "node", "part", "tag")
 
     def __init__(self, tag: str, attributes: str, above: Element | None, count: int):
         # Most attributes tell nothing here (links, images).
-        self.label, hidden, role, frame, comment = told(tag, attributes if attributes and TELLING.search(attributes) else "")
+        self.label, hidden, role, frame, comment, self.part = told(tag, attributes if attributes and TELLING.search(attributes) else "")
         self.tag, self.above = tag, above
         chain = above.chain if above else ()
         if len(chain) < DEPTH:
@@ -109,14 +117,16 @@ TELLING = re.compile("class|id|role|hidden", re.I)
 
 
 @lru_cache(maxsize=4096)
-def told(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
-    """What a tag says by itself: its label, whether it never holds text, and whether its role, its names or its comment names tell no content."""
+def told(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool, bool]:
+    """What a tag says by itself: its label, whether it never holds text, whether its role, its names or its comment names tell no content, and whether it is a part of what it stands in."""
     found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     parts = set(NAMES.findall(names))
     label = tag + ("." + DIGITS.sub("0", " ".join(sorted(names.split()))) if names.strip() else "")
     hidden = tag in NEVER_TEXT or found.get("aria-hidden") == "true" or BARE_ATTRIBUTE.search(attributes) is not None
-    return label, hidden, found.get("role", "").lower() in FRAME_ROLES, not FRAME_NAMES.isdisjoint(parts), not COMMENT_NAMES.isdisjoint(parts)
+    frame = not FRAME_NAMES.isdisjoint(parts)
+    part = not frame and (tag in CONTENT_PARTS or not CONTENT_NAMES.isdisjoint(parts))
+    return label, hidden, found.get("role", "").lower() in FRAME_ROLES, frame, not COMMENT_NAMES.isdisjoint(parts), part
 
 
 def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
@@ -197,8 +207,11 @@ def outline(page: str) -> tuple[Counter, dict[int, tuple[int, ...]]]:
     return out, chains
 
 
-def text_of(page: str, low: set[int], judged: set[int]) -> str:
-    """The blocks of the page that stay, each with its white space made single, joined by single spaces."""
+def text_of(page: str, low: set[int], judged: set[int], several: frozenset | set = frozenset(), content: frozenset | set = frozenset()) -> str:
+    """The blocks of the page that stay, each with its white space made single, joined by single spaces.
+
+    low, several and content are nodes of low importance, those of them with several texts, and blocks of content.
+    """
     blocks: list[list[tuple[Element, str]]] = [[]]
     words: Counter = Counter()
     whole = 0
@@ -216,10 +229,30 @@ def text_of(page: str, low: set[int], judged: set[int]) -> str:
             for at, _, _ in e.named:
                 words[at] += n
     kept: dict[int, bool] = {}
+    lines: dict[int, tuple[bool, bool]] = {}
+
+    def line(e: Element) -> tuple[bool, bool]:
+        """Whether the tree lets an element stay, and whether only as a part of the content around it."""
+        todo = []
+        while e is not None and id(e) not in lines:
+            todo.append(e)
+            e = e.above
+        got = lines[id(e)] if e is not None else (True, False)
+        for x in reversed(todo):
+            if x.node in low and got[0]:
+                own_name = bool(x.named) and x.named[-1][2] == x.node
+                # What stands right in the body may frame the text as well; there only section headings are its parts.
+                part = x.part or x.node in several
+                if x.above is not None and x.above.tag in ("body", "html"):
+                    part = x.tag in SECTION_HEADS
+                inside = x.above is not None and x.above.node in content and not own_name and part
+                got = (inside or got[1], inside or got[1])
+            lines[id(x)] = got
+        return got
 
     def stays(e: Element) -> bool:
         if id(e) not in kept:
-            kept[id(e)] = low.isdisjoint(e.chain) and not any((always or node not in judged) and 2 * words[at] <= whole for at, always, node in e.named)
+            kept[id(e)] = line(e)[0] and not any((always or node not in judged) and 2 * words[at] <= whole for at, always, node in e.named)
         return kept[id(e)]
 
     texts = [("".join(t for e, t in block if stays(e)), any(e.article for e, _ in block if stays(e))) for block in blocks]
@@ -232,31 +265,43 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def counts(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, feature, n, chain) over all pages (host, html)."""
+OUTLINE = "host string, page bigint, node bigint, kind int, feature bigint, n bigint, chain array<bigint>, nodes array<bigint>"
+#: The kind of rows that list a page's nodes.
+PAGE = 3
+
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """What one walk of each page (host, page, html) tells: rows (host, node, kind, feature, n, chain), summed up in each batch, and rows (host, page, nodes) of kind PAGE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
             chains: dict[tuple[str, int], tuple[int, ...]] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                features, own = outline(page or "")
+            own: list[tuple] = []
+            for host, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                features, lines = outline(text or "")
                 for k, n in features.items():
                     total[host, *k] += n
-                for node, chain in own.items():
+                for node, chain in lines.items():
                     chains[host, node] = chain
-            columns = list(zip(*total, strict=True)) or [[], [], [], []]
-            lines = [chains[host, node] if kind == 0 else None for host, node, kind, _ in total]
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.array(list(total.values()), pa.int64()), pa.array(lines, pa.list_(pa.int64()))], names=["host", "node", "kind", "feature", "n", "chain"])
+                own.append((host, page, None, PAGE, None, None, None, list(lines)))
+            rows = [(host, None, node, kind, feature, n, chains[host, node] if kind == 0 else None, None) for (host, node, kind, feature), n in total.items()]
+            columns = [[r[i] for r in rows] + [r[i] for r in own] for i in range(8)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in OUTLINE.split(", ")])
 
-    found = pages.select("host", "html").mapInArrow(run, "host string, node bigint, kind int, feature bigint, n bigint, chain array<bigint>")
-    return found.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.any_value("chain").alias("chain"))
+    return pages.select("host", "page", "html").mapInArrow(run, OUTLINE)
 
 
 def style_tree(pages: DataFrame, fewest: int = FEWEST) -> DataFrame:
-    """(host, node, pages, presentation, content, importance) of each node that occurs in enough pages (host, html); importance is a branch's, null if it has no text."""
-    seen = keep(counts(pages), "style-counts")
+    """(host, node, pages, presentation, content, importance) of the nodes of pages (host, html), see importances()."""
+    outlined = keep(outlines(pages.select("host", F.xxhash64("html").alias("page"), "html")), "style-outlines")
+    return importances(outlined, fewest).drop("parent", "own")
+
+
+def importances(outlined: DataFrame, fewest: int = FEWEST) -> DataFrame:
+    """(host, node, parent, pages, presentation, content, importance, own) of each node that occurs in enough pages; importance is a branch's, own that of its own texts, null if there are none."""
+    seen = outlined.where(F.col("kind") < PAGE).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.any_value("chain").alias("chain"))
     of = lambda kind, c: F.when(F.col("kind") == kind, c)
     nodes = seen.groupBy("host", "node").agg(
         F.sum(of(0, F.col("n"))).alias("pages"),
@@ -276,30 +321,34 @@ def style_tree(pages: DataFrame, fewest: int = FEWEST) -> DataFrame:
     own = nodes.join(down, ["host", "node"]).join(line, ["host", "node"]).withColumn("own", F.col("content") * (F.greatest("below", "over") + FLOOR))
     branch = own.select("host", F.explode("chain").alias("node"), "own").groupBy("host", "node").agg(F.max("own").alias("branch"))
     most = own.groupBy("host").agg(F.max("own").alias("most"))
-    out = nodes.join(branch, ["host", "node"]).join(most, "host")
-    return out.select("host", "node", "pages", "presentation", "content", (F.col("branch") / F.greatest("most", F.lit(1e-9))).alias("importance"))
+    out = nodes.join(branch, ["host", "node"]).join(own.select("host", "node", "own"), ["host", "node"]).join(most, "host")
+    share = lambda c: F.col(c) / F.greatest("most", F.lit(1e-9))
+    parent = F.get("chain", F.size("chain") - 2)
+    return out.select("host", "node", parent.alias("parent"), "pages", "presentation", "content", share("branch").alias("importance"), share("own").alias("own"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", fewest: int = FEWEST, low: float = LOW) -> DataFrame:
     """(key, url, text) of each page."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
     rows = rows.withColumn("page", F.xxhash64("url", "html"))
-    tree = keep(style_tree(rows, fewest).select("host", "node", F.coalesce(F.col("importance") < low, F.lit(False)).alias("low")), "style-verdicts")
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [list({e.node for kind, e, _ in walk(page or "") if kind == "open" and not e.never}) for page in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "nodes"])
+    outlined = keep(outlines(rows), "style-outlines")
+    judged = keep(importances(outlined, fewest), "style-tree")
+    is_low = F.coalesce(F.col("importance") < low, F.lit(False))
+    holds = judged.where((F.col("own") >= low) & F.col("parent").isNotNull()).select("host", F.col("parent").alias("node"), F.lit(True).alias("block")).distinct()
+    several = is_low & F.coalesce(F.col("content") >= SEVERAL, F.lit(False))
+    tree = judged.select("host", "node", is_low.alias("low"), several.alias("several")).join(holds, ["host", "node"], "left")
+    tree = keep(tree.withColumn("block", F.coalesce("block", F.lit(False))), "style-verdicts")
 
     # A page is known by its host and content, so that the two passes over the table need no common numbering.
-    own = rows.select("host", "page", "html").mapInArrow(nodes, "host string, page bigint, nodes array<bigint>").select("host", "page", F.explode("nodes").alias("node"))
+    own = outlined.where(F.col("kind") == PAGE).select("host", "page", F.explode("nodes").alias("node"))
     met = join_sized(own, tree, ["host", "node"], salt=F.pmod("page", F.lit(SALTS)).cast("int"), salts=SALTS)
-    verdicts = keep(met.groupBy("host", "page").agg(F.collect_set("node").alias("judged"), F.collect_set(F.when(F.col("low"), F.col("node"))).alias("low")), "page-verdicts")
-    joined = join_sized(rows, verdicts, ["host", "page"], "left").select("key", "url", "html", "low", "judged")
+    those = lambda c: F.collect_set(F.when(F.col(c), F.col("node"))).alias(c)
+    verdicts = keep(met.groupBy("host", "page").agg(F.collect_set("node").alias("judged"), those("low"), those("several"), those("block")), "page-verdicts")
+    joined = join_sized(rows, verdicts, ["host", "page"], "left").select("key", "url", "html", "low", "judged", "several", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(page or "", set(a or ()), set(b or ())) for page, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [text_of(page or "", *(set(x or ()) for x in nodes)) for page, *nodes in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -84,3 +84,25 @@ def test_scripts_hold_no_tags(spark):
     df = pages(spark, *[(i, "u", f"<body>{r}<article><p>Told {i}</p></article></body>", "") for i, r in enumerate(raw)], (9, "u", "<article><p>Before</p><script>i<n", ""))
     got = {r.page_id: r.text for r in style_tree.extract(df).collect()}
     assert got == {i: f"Told {i}" for i in range(len(raw))} | {9: "Before"}
+
+
+def test_recurring_parts_of_an_article_stay(spark):
+    """Headings, captions and bylines repeat over a host's pages, as adverts and menus do, but stand in the article."""
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(40):
+        one, two, three = (" ".join(rng.choices(WORDS, k=rng.randrange(5, 60))) + f" n{i}x{j}" for j in range(3))
+        who = rng.choice(["By Ann Bell", "By Cy Dee", "By Eve Fox"])
+        rows.append((i, f"http://r.example/{i}", f"<body><div class=m><h3>Menu</h3><ul><li>Home<li>News</ul></div><div class=k><p class=byline>{who}</p><h2>Summary</h2><p>{one}</p><div class=z>Buy our things</div>"
+            f"<figure><img src=x><figcaption>Photo</figcaption></figure><h2><b>Details</b></h2><p>{two}</p><table><tr><th>Year<td>{2000 + i}</table><p>{three}</p></div><div class=f><h4>About</h4>All rights</div></body>", ""))
+        want[i] = f"{who} Summary {one} Photo Details {two} Year {2000 + i} {three}"
+    assert texts_of(style_tree.extract(pages(spark, *rows))) == want
+
+
+def test_headings_of_a_flat_page_stay(spark):
+    """Right in the body a list and the first heading may be the site's; section headings are the text's."""
+    rng, rows, want = random.Random(5), [], {}
+    for i in range(40):
+        one, two = (" ".join(rng.choices(WORDS, k=rng.randrange(5, 60))) + f" n{i}x{j}" for j in range(2))
+        rows.append((i, f"http://f.example/{i}", f"<body><h1>Our site</h1><ul><li>Home<li>News</ul><h2>Summary</h2><p>{one}</p><h2>Details</h2><p>{two}</p><div>Contact us</div></body>", ""))
+        want[i] = f"Summary {one} Details {two}"
+    assert texts_of(style_tree.extract(pages(spark, *rows))) == want
