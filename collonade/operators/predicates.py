@@ -16,6 +16,7 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +105,33 @@ class Cell:
         return F.when(F.startswith(F.ltrim(self.text), F.lit("[")), F.from_json(self.text, "array<string>"))
 
 
+#: Case variants of an operand that are listed one by one; of longer ones only the range they lie in is told.
+VARIANTS = 64
+
+
+def spellings(low: str) -> list[str] | None:
+    """All texts whose lower case is the operand's, or None if it isn't of ASCII or they are too many. The Kelvin sign is a k too."""
+    letters = [{c, c.upper()} | ({"\u212a"} if c == "k" else set()) for c in low]
+    if not low.isascii() or math.prod(map(len, letters)) > VARIANTS:
+        return None
+    return sorted("".join(x) for x in product(*letters))
+
+
+def same_text(cell: Cell, value: str) -> Column:
+    """The cell's text without regard to case, in a form that a scan can filter on."""
+    low = value.lower()
+    if isinstance(cell.type, T.IntegralType):
+        return cell.raw == F.lit(int(value)) if re.fullmatch(r"-?(?:[1-9]\d{0,17})|0", value) else cell.raw.isNotNull() & F.lit(False)
+    if not isinstance(cell.type, T.StringType):
+        return F.lower(cell.text) == low
+    found = spellings(low)
+    if found is not None:
+        return cell.raw == found[0] if len(found) == 1 else cell.raw.isin(*found)
+    test = F.lower(cell.raw) == low
+    # Capitals come first, and nothing that is an ASCII letter in lower case comes after it but the Kelvin sign.
+    return (cell.raw >= low.upper()) & (cell.raw <= low.replace("k", "\u212a")) & test if low.isascii() else test
+
+
 def operand_list(value: str) -> list[str] | None:
     try:
         got = json.loads(value)
@@ -132,7 +160,17 @@ def common(cell: Cell, c: Condition) -> Column | None:
         if not wanted:
             return F.lit(False)
         overlap = F.arrays_overlap(cell.items, F.array(*map(F.lit, wanted)))
-        return sure(overlap) if cell.listed else sure(cell.text.isin(*wanted)) | sure(overlap)
+        if cell.listed:
+            return sure(overlap)
+        if isinstance(cell.type, T.IntegralType):
+            whole = [int(w) for w in wanted if re.fullmatch(r"-?(?:[1-9]\d{0,17})|0", w)]
+            return cell.raw.isin(*whole) if whole else cell.raw.isNotNull() & F.lit(False)
+        one = cell.text.isin(*wanted)
+        if not isinstance(cell.type, T.StringType):
+            return one
+        # What isn't one of them can only be a list, and those are told by how they begin; the first part is for the scan.
+        begins = lambda mark: F.startswith(cell.raw, F.lit(mark))
+        return (one | begins("[") | begins(" ")) & F.when(F.startswith(F.ltrim(cell.raw), F.lit("[")), one | sure(overlap)).otherwise(one)
     if c.operator == "contains_all_of":
         return sure(all_in())
     if c.operator == "contains_exactly":
@@ -151,7 +189,7 @@ def public(cell: Cell, c: Condition) -> Column:
     low = F.lower(cell.text)
     want = F.lit(c.value.lower())
     if c.operator == "is":
-        return low == want
+        return same_text(cell, c.value)
     if c.operator == "starts_with":
         return F.startswith(low, want)
     if c.operator == "ends_with":
@@ -176,6 +214,8 @@ def visibility(cell: Cell, c: Condition) -> Column:
             same = sure(cell.compared("eq", c.value)) if c.operator == "is_not" else cell.compared("eq", c.value)
         elif c.kind == "boolean":
             same = sure(F.lower(cell.text) == c.value.lower())
+        elif c.operator == "is" and c.value != "":
+            return cell.text == c.value
         else:
             same = F.coalesce(cell.text, F.lit("")) == c.value
         return same if c.operator == "is" else ~same

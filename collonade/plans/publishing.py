@@ -134,9 +134,10 @@ def o12_has_more(t: Tables) -> DataFrame:
     return sorting.has_more(t.customer, 20, 1000)
 
 
-@query("SELECT o_orderkey FROM orders")
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS of_status FROM orders")
 def p12_status_ignored(t: Tables) -> DataFrame:
-    return catalogue.with_status(t.orders, "o_orderstatus", "X", ["F", "O", "P"]).select("o_orderkey")
+    every, some = (catalogue.with_status(t.orders, "o_orderstatus", s, ["F", "O", "P"]) for s in ("X", "F"))
+    return every.join(some.select("o_orderkey", F.lit(True).alias("of_status")), "o_orderkey", "left").select("o_orderkey", F.coalesce("of_status", F.lit(False)).alias("of_status"))
 
 
 @query("SELECT lower(n_name) AS slug, CAST(coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 END, n_nationkey) AS INTEGER) AS id FROM nation UNION ALL SELECT 'nowhere', NULL")

@@ -1,6 +1,7 @@
 """Truth tables: operators by dialect over the awkward cells."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from collonade.operators.predicates import Condition, active, where
 
@@ -115,3 +116,35 @@ def test_text_of_whole_numbers(spark):
     assert count(Condition("v", "is_not", "1000")) == 2
     assert count(Condition("n", "gt", str(2**53))) == 1 and count(Condition("n", "lte", str(2**53))) == 1
     assert count(Condition("n", "lt", "Infinity")) == 2 and count(Condition("n", "gt", "x")) == 0
+
+
+@pytest.mark.parametrize(
+    "groups, pushed",
+    [
+        ([[Condition("o_orderstatus", "is", "f")]], "In(o_orderstatus, [F,f])"),
+        ([[Condition("o_orderpriority", "is", "4-not specified")]], "GreaterThanOrEqual(o_orderpriority,4-NOT SPECIFIED)"),
+        ([[Condition("o_custkey", "is", "7")]], "EqualTo(o_custkey,7)"),
+        ([[Condition("o_orderstatus", "is_one_of", '["F","P"]')]], "Or(Or(In(o_orderstatus, [F,P]),StringStartsWith(o_orderstatus,[)),StringStartsWith(o_orderstatus, ))"),
+        ([[Condition("o_custkey", "is_one_of", '["7","x","9"]')]], "In(o_custkey, [7,9])"),
+        ([[Condition("o_orderstatus", "is", "p")], [Condition("o_custkey", "lt", "20"), Condition("o_orderstatus", "is", "o")]], "Or(In(o_orderstatus, [P,p])"),
+    ],
+)
+def test_text_conditions_reach_the_scan(spark, data, groups, pushed):
+    plan = where(spark.read.parquet(f"{data}/orders.parquet"), groups)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan, plan
+
+
+def test_every_spelling_is_found(spark):
+    """Listed spellings and ranges keep what lower case does, whatever the letters."""
+    texts = ["kilo", "KILO", "Kilo", "\u212ailo", "kil\u0131", "K\u0130LO", "kilogramme and more", "KILOGRAMME AND MORE", "\u212aILOGRAMME and more", "kilogramme and morf", "Stra\u00dfe", "STRA\u00dfE", "strasse", "", " ", "0", "00", "-7", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for want in ["kilo", "KiLo", "kilogramme AND more", "stra\u00dfe", "", "0"]:
+        got = {r.v for r in where(df, [[Condition("v", "is", want)]]).collect()}
+        assert got == {r.v for r in df.where(F.lower("v") == want.lower()).collect()}
+        rest = {r.v for r in where(df, [[Condition("v", "is_not", want)]]).collect()}
+        assert rest == set(texts) - got
+    numbers = spark.createDataFrame([(7,), (-7,), (0,), (None,)], "v bigint")
+    for want, expected in {"7": {7}, "07": set(), "-7": {-7}, "0": {0}, "x": set(), "-0": set()}.items():
+        assert {r.v for r in where(numbers, [[Condition("v", "is", want)]]).collect()} == expected
+        assert {r.v for r in where(numbers, [[Condition("v", "is_not", want)]]).collect()} == {7, -7, 0, None} - expected
+        assert {r.v for r in where(numbers, [[Condition("v", "is_one_of", f'["{want}","y"]')]]).collect()} == expected
