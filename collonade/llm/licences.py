@@ -43,7 +43,9 @@ NAMES = {
     "wtfpl": ["wtfpl", "do what the fuck you want to public license", "wtfpl version 2"],
     "cc-by": ["cc by 4 0", "cc by", "cc by 3 0", "creative commons attribution 4 0 international license", "creative commons attribution license", "creativecommons org licenses by 4 0"],
     "cc-by-sa": ["cc by sa 4 0", "cc by sa", "cc by sa 3 0", "creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike license", "creativecommons org licenses by sa 4 0"],
-    "cc-by-nc": ["cc by nc 4 0", "cc by nc", "cc by nc sa 4 0", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial license", "creativecommons org licenses by nc 4 0"],
+    "cc-by-nd": ["cc by nd 4 0", "cc by nd", "cc by nd 3 0", "creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives license", "creativecommons org licenses by nd 4 0"],
+    "cc-by-nc-nd": ["cc by nc nd 4 0", "cc by nc nd", "cc by nc nd 3 0", "creative commons attribution noncommercial noderivatives 4 0 international license", "creative commons attribution noncommercial noderivatives license", "creativecommons org licenses by nc nd 4 0"],
+    "cc-by-nc": ["cc by nc 4 0", "cc by nc", "cc by nc sa", "cc by nc sa 4 0", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial license", "creativecommons org licenses by nc 4 0"],
     "public-domain": ["public domain", "cc0", "cc0 1 0 universal", "cc0 1 0", "unlicense", "creative commons zero"],
     "reserved": ["all rights reserved"],
 }
@@ -70,9 +72,9 @@ HELD_LEADS = ["published under the", "it is provided under", "you may use this c
 # Names of nothing that is a family; the second half is kept for the calibration.
 OTHERS = ["house rules", "terms of service", "end user license agreement", "company license", "commercial license", "license agreement", "general public", "software agreement", "same conditions", "city license", "evaluation license version 2 0", "permission of the mayor", "old software contract", "public school rules", "fishing license", "license of the vendor"]
 # Paragraphs with licence words that state no licence; every fourth is kept for the calibration.
-ORDINARY = ["the driver lost his license after the accident", "she studied at mitlicense for a year", "a professor at mitlicense wrote about it", "the apache tribe lived in the region", "apache helicopters flew over the town", "human rights are discussed in the second chapter", "a permission was needed to enter the building", "the public was invited to the free concert", "copyright law is a difficult subject", "copyright 2020 the authors", "the city council voted to license new taxis", "creative writing is taught at the school", "the commons is a park near the river", "they reserved a table for four", "all rights and duties are listed in the contract", "version 3 of the plan was released in may", "public opinion and the domain of politics", "the license plate was stolen", "your rights as a tenant", "the general public may use the library", "he redistributed the seats among the groups", "under the terms of the agreement both sides withdrew", "free software is popular", "a boost for the economy", "the eclipse was seen by the public", "an attribution of the painting to the master", "the software has no warranty", "permission is granted to enter the park", "wildebeest such as the gnu graze there", "commercial software was sold in boxes", "the domain name was registered", "the car was sold without a license", "send a cc to the director", "the zlib of the machine was broken", "mozilla opened an office in the city"]
+ORDINARY = ["the driver lost his license after the accident", "she studied at mitlicense for a year", "a professor at mitlicense wrote about it", "the apache tribe lived in the region", "apache helicopters flew over the town", "human rights are discussed in the second chapter", "a permission was needed to enter the building", "the public was invited to the free concert", "copyright law is a difficult subject", "copyright 2020 the authors", "the city council voted to license new taxis", "creative writing is taught at the school", "the commons is a park near the river", "they reserved a table for four", "all rights and duties are listed in the contract", "version 3 of the plan was released in may", "public opinion and the domain of politics", "the license plate was stolen", "your rights as a tenant", "the general public may use the library", "he redistributed the seats among the groups", "under the terms of the agreement both sides withdrew", "free software is popular", "a boost for the economy", "the eclipse was seen by the public", "an attribution of the painting to the master", "the software has no warranty", "permission is granted to enter the park", "wildebeest such as the gnu graze there", "commercial software was sold in boxes", "the domain name was registered", "the car was sold without a license", "send a cc to the director", "the zlib of the machine was broken", "mozilla opened an office in the city", "a fishing license in the public domain of the valley", "all rights reserved for the queen in the castle", "in the public domain of the town all may walk", "it was not licensed under the mitlicense license", "the code is not released under the apache license", "this is no longer distributed under the gpl"]
 # The words without which no n-gram is a feature.
-ANCHORS = "license licensed licenses licensing unlicense sublicense copyright gpl lgpl agpl gnu affero lesser apache bsd bsl boost isc mpl epl wtfpl zlib expat mozilla eclipse mitlicense spdx creative creativecommons commons attribution sharealike noncommercial cc cc0 rights reserved redistribute redistribution redistributions permission permitted granted domain software unencumbered reproduced dedicated".split()
+ANCHORS = "license licensed licenses licensing unlicense sublicense copyright gpl lgpl agpl gnu affero lesser apache bsd bsl boost isc mpl epl wtfpl zlib expat mozilla eclipse mitlicense spdx creative creativecommons commons attribution sharealike noncommercial noderivatives cc cc0 rights reserved redistribute redistribution redistributions permission permitted granted domain software unencumbered reproduced dedicated".split()
 FAMILIES = [*NAMES]
 UNKNOWN = "unknown"
 LEAST_CONTAINED, PRECISION = 0.6, 0.99
@@ -85,8 +87,8 @@ MIT = (
 )
 #: Matches wherever words_of can give an anchor: they themselves, other spellings, and names with a version tied to them.
 ANCHOR = (
-    r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(a for a in ANCHORS if a not in ("mitlicense", "sharealike", "noncommercial"))
-    + r"|(?:un|sub)?licen[cs](?:e|ed|es|ing)|" + MIT + r"|share[-\s]?alike|non[-\s]?commercial)(?:v?[0-9][0-9.]*\+?)?(?![\p{L}\p{N}])|©|\(c\)"
+    r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(a for a in ANCHORS if a not in ("mitlicense", "sharealike", "noncommercial", "noderivatives"))
+    + r"|(?:un|sub)?licen[cs](?:e|ed|es|ing)|" + MIT + r"|share[-\s]?alike|non[-\s]?commercial|no[-\s]?deriv(?:ative)?s)(?:v?[0-9][0-9.]*\+?)?(?![\p{L}\p{N}])|©|\(c\)"
 )
 
 
@@ -100,6 +102,7 @@ def words_of(paragraph: Column) -> Column:
         (r"(?i)licenc(?=e|ing)", "licens"),
         (r"(?i)share[-\s]alike", "sharealike"),
         (r"(?i)non[-\s]commercial", "noncommercial"),
+        (r"(?i)(?<![\p{L}\p{N}])no[-\s]?deriv(?:ative)?s(?![\p{L}\p{N}])", "noderivatives"),
     ]:
         paragraph = F.regexp_replace(paragraph, pattern, to)
     return F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -151,26 +154,48 @@ def learn(spark: SparkSession) -> tuple[CountVectorizerModel, LogisticRegression
     return grams, model, (good or 19) / 20
 
 
+def named(words: Column) -> Column:
+    """The families whose names stand among the words, once each in order of the first: of names that overlap the longest counts.
+
+    "Public domain of" and "all rights reserved for" speak of something else.
+    """
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    of = {name: family for family, names in NAMES.items() for name in names}
+    longest = sorted(of, key=lambda n: (-len(n), n))
+    found = F.regexp_extract_all(text, F.lit("(?<= )(" + "|".join(longest) + ")(?= )(?!(?<=public domain) of )(?!(?<=rights reserved) for )"), F.lit(1))
+    families = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+    return F.array_distinct(F.transform(found, lambda n: F.element_at(families, n)))
+
+
+#: A licence that is said not to hold, as words_of gives it.
+DENIED = r" (?:not|never|nor|neither|isn t|aren t|wasn t|no longer)(?: (?:be|been|being|yet|now|currently|itself))*(?: (?:licensed|released|distributed|published|available|covered|governed|provided|offered|dedicated))? (?:under|by|in|to)(?: the| a| an| terms| of)* "
+
+
+def denied(words: Column) -> Column:
+    """Whether the words deny a licence."""
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).rlike(DENIED)
+
+
 def contained(words: Column, family: Column) -> Column:
     """1 if a name of the family stands among the words, else the largest share of a notice's word pairs that do."""
-    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     share = F.lit(0.0)
     for f in FAMILIES:
-        named = F.lit(False)
-        for name in NAMES[f]:
-            named = named | F.contains(text, F.lit(f" {name} "))
         shares = [F.lit(0.0), F.lit(0.0)]
         for notice in NOTICES.get(f, []):
             w = notice.split()
             wanted = sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
             shares.append(F.size(F.array_intersect(pairs, F.array(*[F.lit(p) for p in wanted]))) / len(wanted))
-        share = F.when(family == f, F.when(named, F.lit(1.0)).otherwise(F.greatest(*shares))).otherwise(share)
-    return share
+        share = F.when(family == f, F.greatest(*shares)).otherwise(share)
+    return F.when(F.array_contains(named(words), family), F.lit(1.0)).otherwise(share)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, paragraph, family, probability, contained, confirmed) of each paragraph with a licence word; line is that of the first such word."""
+    """(key, line, paragraph, family, probability, contained, confirmed, families) of each paragraph with a licence word; line is that of the first such word.
+
+    The regression tells whether a paragraph states a licence; names in it tell which, and without a name or against one a whole notice does.
+    A licence that is denied is unknown.  families are all that are named, family first.
+    """
     grams, model, believed = learn(docs.sparkSession)
     found = docs.where(F.col(text).rlike(ANCHOR)).select(F.col(key), F.split(F.col(text), BETWEEN).alias("_parts"))
     newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
@@ -181,8 +206,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = found.select(key, line.alias("line"), F.regexp_replace("s._parts", r"^\s+|\s+$", "").alias("paragraph"))
     scored = model.transform(grams.transform(with_grams(found)))
     names = F.array(*[F.lit(f) for f in [*FAMILIES, UNKNOWN]])
-    top = F.array_max(vector_to_array("probability"))
-    family = F.when(top >= believed, F.get(names, F.col("prediction").cast("int"))).otherwise(F.lit(UNKNOWN))
-    scored = scored.select(key, "line", "paragraph", "words", family.alias("family"), F.round(top, 4).alias("probability"))
-    scored = scored.withColumn("contained", F.round(contained(F.col("words"), F.col("family")), 4))
-    return scored.withColumn("confirmed", F.col("contained") >= LEAST_CONTAINED).drop("words")
+    p = vector_to_array("probability")
+    scored = scored.select(key, "line", "paragraph", "words", F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1).alias("likeliest"), F.array_max(p).alias("top"), (1 - F.get(p, F.lit(len(FAMILIES)))).alias("any"), named(F.col("words")).alias("named"), denied(F.col("words")).alias("denied"))
+    # Families share n-grams, and so their probability: where a name stands the regression tells whether the paragraph states a licence at
+    # all, and the name which; else it tells both.
+    by_name = F.size("named") > 0
+    probability = F.when(by_name, F.col("any")).otherwise(F.col("top"))
+    scored = scored.withColumn("probability", probability).withColumn("share", contained(F.col("words"), F.col("likeliest")))
+    which = F.when(by_name & ~(F.array_contains("named", F.col("likeliest"))) & (F.col("share") < LEAST_CONTAINED), F.col("named")[0]).otherwise(F.col("likeliest"))
+    family = F.when((F.col("probability") >= believed) & ~F.col("denied"), which).otherwise(F.lit(UNKNOWN))
+    scored = scored.withColumn("family", family)
+    held = F.when(F.col("family") == UNKNOWN, 0.0).when(F.array_contains("named", F.col("family")), 1.0).otherwise(F.col("share"))
+    families = F.when(F.col("family") == UNKNOWN, F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array("family"), "named")))
+    scored = scored.withColumn("contained", F.round(held, 4))
+    return scored.select(key, "line", "paragraph", "family", F.round("probability", 4).alias("probability"), "contained", (F.col("contained") >= LEAST_CONTAINED).alias("confirmed"), families.alias("families"))

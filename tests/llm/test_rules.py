@@ -127,3 +127,19 @@ def test_grams_stay_near_licence_words(spark, words):
     df = spark.createDataFrame([(" ".join(far + words + far),)], "paragraph string")
     got = licences.with_grams(df).first().grams
     assert all(len(g.split()) <= 3 for g in got) and (not words or "a license b" in got) and (words or got == [])
+
+
+def test_licences_that_are_others_or_none(spark):
+    """Names within longer names, words that speak of something else, denials, and several families in a paragraph."""
+    cases = [
+        ("Licensed under CC BY-ND 4.0", "cc-by-nd", ["cc-by-nd"]), ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd", ["cc-by-nc-nd"]),
+        ("Text under CC BY-NC-SA 4.0.", "cc-by-nc", ["cc-by-nc"]), ("released under the LGPL version 3", "lgpl", ["lgpl"]),
+        ("He bought a fishing license in the public domain of the lake", "unknown", []), ("All rights reserved for the king in the castle", "unknown", []),
+        ("Not licensed under the MIT license", "unknown", []), ("This code is no longer distributed under the terms of the GNU General Public License.", "unknown", []),
+        ("SPDX-License-Identifier: MIT OR GPL-2.0-only", "mit", ["mit", "gpl"]), ("You may choose the Apache License, Version 2.0 or the BSD 3-Clause License.", None, ["apache", "bsd"]),
+        ("The lake is not far. Released under the ISC license.", "isc", ["isc"]), ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd", ["bsd"]),
+    ]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id int, text string")).collect()}
+    for i, (text, family, families) in enumerate(cases):
+        assert (family is None or got[i].family == family) and sorted(got[i].families) == sorted(families), (text, got[i])
+        assert got[i].confirmed == bool(families), text
