@@ -3,7 +3,8 @@
 Writers hide words by look-alike characters (1d10t), by spacing (i d i o t) and
 by repetition (idiooot).  Each hidden stretch is a lattice of what its characters
 may stand for; a Viterbi search under a character trigram model, counted over
-every document, finds the likeliest restored word.  The search is exact: a step
+every document, finds the likeliest restored word; between letters set apart each gap is
+a word break or nothing, and the search tells which.  It is exact: a step
 has a state for each pair of last letters that the lattice allows (at most
 (letters + 1)^2), and stretches of any length are decoded.  A chunk between white
 space is cut at the characters that stand for no letter, and decoded in parts and
@@ -50,6 +51,10 @@ GAP = re.compile(r"[\s.\-_*,/~]+")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 A = len(LETTERS) + 1
+#: Restored chunks that a task keeps, and the longest of them.
+CACHED, CACHED_LENGTH = 50_000, 64
+#: What a gap costs as a word break, and as none: one of the narrowest of its stretch, and a wider one.
+NARROW, WIDE = (-2.0, 0.0), (0.0, -2.0)
 #: What stands for no letter and so may separate words within a chunk.
 PARTS = re.compile("[^\\w" + re.escape("".join(LOOKALIKES)) + "]+|_+")
 
@@ -93,7 +98,8 @@ class Channel:
         smooth = (single + 1) / (single.sum() + A)
         self.log = np.log((counts + 20 * smooth) / (pairs[:, :, None] + 20)).tolist()
         self.code = {c: i + 1 for i, c in enumerate(LETTERS)}
-        self.restore = lru_cache(maxsize=50_000)(self.decode)
+        cached = lru_cache(maxsize=CACHED)(self.decode)
+        self.restore = lambda chunk: cached(chunk) if len(chunk) <= CACHED_LENGTH else self.decode(chunk)
 
     def lattice(self, chunk: str) -> list[list[tuple[str, float]]]:
         """For each run of one character the strings that it may stand for, with the channel's cost."""
@@ -113,18 +119,36 @@ class Channel:
         return steps
 
     def decode(self, chunk: str) -> str:
-        """The likeliest word of the chunk's lattice."""
+        """The likeliest word of the chunk's lattice; after a space, the likeliest words of letters set apart."""
+        return self.search(self.apart(chunk[1:]) if chunk.startswith(" ") else self.lattice(chunk))
+
+    def apart(self, stretch: str) -> list[list[tuple[str, float]]]:
+        """The lattice of letters set apart: each gap is a word break or nothing, and wider ones rather a break."""
+        pieces, gaps = GAP.split(stretch), GAP.findall(stretch)
+        narrow = min(map(len, gaps), default=0)
+        steps = self.lattice(pieces[0])
+        for gap, piece in zip(gaps, pieces[1:], strict=True):
+            as_break, as_none = NARROW if len(gap) == narrow else WIDE
+            steps += [[("", as_none), (" ", as_break)], *self.lattice(piece)]
+        return steps
+
+    def spaced(self, stretch: str) -> list[str]:
+        """The likeliest words of letters set apart."""
+        return self.restore(f" {stretch}").split()
+
+    def search(self, steps: list[list[tuple[str, float]]]) -> str:
+        """The likeliest text of a lattice; a space ends a word, and the next one begins as any does."""
         # A state holds its probability and the way to it, as a chain that ways with one beginning share.
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for options in self.lattice(chunk):
+        for options in steps:
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (p, way) in best.items():
                 for s, cost in options:
                     x, y, q = a, b, p + cost
                     for ch in s:
-                        z = self.code[ch]
+                        z = self.code.get(ch, 0)
                         q += self.log[x][y][z]
-                        x, y = y, z
+                        x, y = (y, z) if z else (0, 0)
                     if (x, y) not in after or after[x, y][0] < q:
                         after[x, y] = (q, (way, s) if s else way)
             best = after
@@ -140,7 +164,7 @@ class Channel:
         low = text.lower()
         found: set[str] = set()
         for m in SPACED.finditer(low):
-            found.add(self.restore(GAP.sub("", m[0])))
+            found.update(self.spaced(m[0]))
         repeats = REPEATED.search(low) is not None
         for chunk in set(low.split()):
             if chunk.isalpha():

@@ -137,6 +137,44 @@ def test_decoding_is_exact_and_of_any_length():
     assert len(max(channel.words("1d10t" * 20_000), key=len)) >= 100_000 - 1
 
 
+def test_gaps_are_breaks_or_nothing():
+    """Several words set apart in one stretch are told from each other, and the search is as good as trying every reading."""
+    from itertools import product
+
+    text = "you are an idiot you stupid moron what a loser he was so fat and you know it " * 50
+    grams = {}
+    codes = toxicity.letter_codes()
+    c = [0, 0, *[int(codes[ord(x)]) for x in text], 0, 0]
+    for x in zip(c, c[1:], c[2:], strict=False):
+        key = x[0] * toxicity.A**2 + x[1] * toxicity.A + x[2]
+        grams[key] = grams.get(key, 0) + 1
+    channel = toxicity.Channel(grams)
+    assert channel.spaced("y o u m o r o n") == ["you", "moron"]
+    assert channel.spaced("y.o.u  1.d.1.0.t") == ["you", "idiot"]
+    assert channel.spaced("y o u  a r e  s o  f a t") == ["you", "are", "so", "fat"]
+    assert {"you", "loser"} <= channel.words("so y o u l 0 s e r!") and "youloser" not in channel.words("so y o u l 0 s e r!")
+    assert channel.spaced("i d i o t") == ["idiot"]
+    for stretch in ("y o u f a t", "a n  i d", "m 0 r 0 n"):
+        pieces, gaps = toxicity.GAP.split(stretch), toxicity.GAP.findall(stretch)
+        narrow, scores = min(map(len, gaps)), {}
+        for breaks in product((False, True), repeat=len(gaps)):
+            for way in product(*[channel.lattice(x)[0] for x in pieces]):
+                p, x, y, out = 0.0, 0, 0, ""
+                for i, (letter, cost) in enumerate(way):
+                    if i:
+                        p += (toxicity.NARROW if len(gaps[i - 1]) == narrow else toxicity.WIDE)[0 if breaks[i - 1] else 1]
+                        if breaks[i - 1]:
+                            p, x, y, out = p + channel.log[x][y][0], 0, 0, out + " "
+                    p += cost
+                    for ch in letter:
+                        z = channel.code[ch]
+                        p, x, y = p + channel.log[x][y][z], y, z
+                    out += letter
+                scores[out] = max(scores.get(out, -1e9), p + channel.log[x][y][0])
+        assert scores[" ".join(channel.spaced(stretch))] >= max(scores.values()) - 1e-9
+    assert "".join(channel.spaced(" ".join("moron" * 4000))).count("m") == 4000
+
+
 def test_clashing_names_and_repeated_ids(spark):
     """A caller's own columns named like the statistics come back as they were; of texts with one id the least is learned from."""
     rows = [(i, "good words in a row " * 5 if i % 2 else "## $$ " * 20, 99, "t", "w") for i in range(60)]
