@@ -46,8 +46,8 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(transliterate(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug", taken: DataFrame | None = None, reserved: tuple[str, ...] = ()) -> DataFrame:
-    """Add out: base for the first row of each base by order, then base-2, base-3 and so on, without those in use.
+def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug", taken: DataFrame | None = None, reserved: tuple[str, ...] = (), first: int = 2) -> DataFrame:
+    """Add out: base for the first row of each base by order, then base-2, base-3 and so on (from first), without those in use.
 
     In use are the bases themselves, the slugs in taken (a column of base's name) and, as they are, the reserved ones.
     An empty base stays empty.  order should leave no ties in a base.  Numbers are places in range partitions, so that a
@@ -58,16 +58,16 @@ def unique_slugs(df: DataFrame, base: str, order: str, out: str = "slug", taken:
         old = old.union(taken.select(F.col(base), F.lit(True)))
     names = old.groupBy("_s").agg(F.max("_old").alias("_old"))
     ended = names.select(F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("_s", r"^(.*)-([0-9]{1,9})$", 2).alias("_n"))
-    used = ended.where("_n <> '' AND _n NOT LIKE '0%'").select("_base", F.col("_n").cast("bigint").alias("_u")).where("_u > 1").distinct()
-    # The j-th number u in use has u - 1 - j free ones below it, and the k-th free one is k + 1 and the number of those with fewer than k.
-    used = ranked(used, ["_u"], "_base", "_j").select(F.col("_base").alias("_b"), (F.col("_u") - 1 - F.col("_j")).alias("_k"))
+    used = ended.where("_n <> '' AND _n NOT LIKE '0%'").select("_base", F.col("_n").cast("bigint").alias("_u")).where(F.col("_u") >= first).distinct()
+    # The j-th number u in use has u - first + 1 - j free ones below it; the k-th free one is first - 1 + k and the number of those with fewer than k.
+    used = ranked(used, ["_u"], "_base", "_j").select(F.col("_base").alias("_b"), (F.col("_u") - first + 1 - F.col("_j")).alias("_k"))
     lost = names.where("_old").select(F.col("_s").alias("_b0"), F.lit(True).alias("_lost"))
     rows = ranked(df, [order], base, "_place").join(lost, F.col(base) == F.col("_b0"), "left").drop("_b0")
     bare = ~F.coalesce("_lost", F.lit(False)) & (~F.col(base).isin(*reserved) if reserved else F.lit(True))
     rows = rows.withColumn("_k", F.when(bare, F.col("_place") - 1).otherwise(F.col("_place"))).drop("_lost")
     met = rows.select(F.col(base).alias("_b"), "_k", F.lit(0).alias("_kind"), F.struct(*rows.columns).alias("_row")).unionByName(used.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     swept = ranked(met, ["_k", "_kind"], "_b", "_at").where("_kind = 0").select("_row.*", "_at")
-    number = F.col("_k") + 1 + F.col("_at") - F.col("_place")
+    number = F.col("_k") + first - 1 + F.col("_at") - F.col("_place")
     named = F.when((F.col("_k") == 0) | (F.col(base) == ""), F.col(base)).otherwise(F.concat_ws("-", F.col(base), number.cast("string")))
     return swept.withColumn(out, named).drop("_at", "_place", "_k")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,38 @@ def deleted_twins(df: DataFrame, key: str) -> DataFrame:
     return df.where("is_published").join(gone, key, "left_semi")
 
 
+def preview(kinds: Mapping[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
+    """(kind, changed, deleted, total) of each kind of table, and of all as "total": what publishing would write, and what it would delete.
+
+    kinds have a table of both states, its key, and the attributes that are compared.
+    """
+    one = []
+    for name, (df, key, attributes) in kinds.items():
+        new = changed(state(df, False), state(df, True), [key], attributes)
+        counts = [new.agg(F.count("*").alias("changed")), deleted_twins(df, key).agg(F.count("*").alias("deleted"))]
+        one.append(counts[0].join(counts[1]).select(F.lit(name).alias("kind"), "changed", "deleted", (F.col("changed") + F.col("deleted")).alias("total")))
+    each = reduce(DataFrame.union, one)
+    sums = each.agg(*[F.sum(c).alias(c) for c in ("changed", "deleted", "total")])
+    return each.union(sums.select(F.lit("total"), "changed", "deleted", "total"))
+
+
+def upserted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table after publishing all its drafts without a test for changes, as locales and translations are: every draft goes over its twin.
+
+    A deleted draft deletes its twin, and one without a twin publishes nothing.
+    """
+    draft = df.where("not is_published")
+    twins = df.where("is_published").select(*keys)
+    going = draft.where("deleted_at is null").unionByName(draft.where("deleted_at is not null").join(twins, list(keys), "left_semi").select(*df.columns))
+    rest = df.where("is_published").join(draft.select(*keys), list(keys), "left_anti").select(*df.columns)
+    return draft.unionByName(rest).unionByName(going.withColumn("is_published", F.lit(True)))
+
+
+def child_orphans(children: DataFrame, parent: str, parents: DataFrame, key: str) -> DataFrame:
+    """Children whose parent is not among parents; those without a parent are none."""
+    return children.where(F.col(parent).isNotNull()).join(parents.select(F.col(key).alias(parent)), parent, "left_anti")
+
+
 def _marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collonade.operators.sorting import sliced
+
 NEWEST, EVERY = 50, 10
 
 
@@ -24,6 +26,11 @@ def young(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:
     return df.where(F.col(at) >= now - F.make_interval(days=F.lit(days)))
 
 
+def history(df: DataFrame, key: str, entity, at: str, tie: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of one entity's versions, the newest first."""
+    return sliced(df.where(F.col(key) == entity).orderBy(F.desc(at), F.desc(tie)), offset, limit)
+
+
 def deliveries(events: DataFrame, subscriptions: DataFrame, kind: str, resource: str) -> DataFrame:
     """Events with each subscription to their kind whose resource is theirs or is not given.
 

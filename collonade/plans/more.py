@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collonade.functions import casts, text
-from collonade.operators import eav, hierarchy, snapshots, sorting, usage, versions
+from collonade.operators import eav, hierarchy, items, publishing, snapshots, sorting, usage, versions
 from collonade.operators.predicates import Condition, where
 from collonade.plans.adapter import Tables
 from collonade.plans.queries import STATUS, TREE, query
@@ -43,7 +43,7 @@ def sk01_dump_columns(t: Tables) -> DataFrame:
 
 @query("SELECT n_nationkey, CAST(CASE WHEN n_regionkey = 2 THEN n_regionkey + 1 ELSE n_regionkey END AS INTEGER) AS n_regionkey FROM nation")
 def sk07_increment(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", F.when(F.col("n_regionkey") == 2, F.col("n_regionkey") + 1).otherwise(F.col("n_regionkey")).alias("n_regionkey"))
+    return items.incremented(t.nation, "n_regionkey", F.col("n_regionkey") == 2).select("n_nationkey", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
 @query("SELECT concat('<url><loc>', replace(url, '&', '&amp;'), '</loc></url>') AS entry FROM pages")
@@ -120,17 +120,16 @@ def v02_latest_snapshot(t: Tables) -> DataFrame:
     return sorting.latest(t.events.where("event_id % 10 = 0"), "user_id", "event_id", ["event_id"], "event_id").select("user_id", F.col("event_id").alias("last_snapshot"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'read' ELSE 'new' END AS status FROM events WHERE event_id % 3 <> 0")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'read' ELSE 'new' END AS status FROM events")
 def v04_status_filter(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("status", F.when(F.col("event_id") % 3 == 0, "read").otherwise("new"))
-    return rows.where("status = 'new'").select("event_id", "status")
+    log = t.events.withColumn("status", F.lit("new"))
+    return items.marked(log, "event_id", t.events.where("event_id % 3 = 0"), "status", "read").select("event_id", "status")
 
 
 @query("SELECT o_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0 AND o_orderstatus <> 'F'")
 def n10_child_orphans(t: Tables) -> DataFrame:
     kept = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey").where("o_orderkey % 4 = 0")
-    gone = t.orders.where("o_orderstatus = 'F'")
-    return kept.join(gone, "o_orderkey", "left_anti").select("o_orderkey", "l_linenumber")
+    return publishing.child_orphans(kept, "o_orderkey", t.orders.where("o_orderstatus = 'F'"), "o_orderkey").select("o_orderkey", "l_linenumber")
 
 
 @query("SELECT p_partkey, 'updated' AS status FROM part WHERE p_size > 45 AND p_partkey % 9 <> 0 UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_partkey % 9 = 0")
@@ -141,11 +140,13 @@ def n14_by_hash(t: Tables) -> DataFrame:
     return snapshots.compared(draft, old, "p_partkey", ["content_hash"]).where("status <> 'same'")
 
 
-@query("SELECT n_nationkey + 100 AS n_nationkey, concat(n_name, ' (Copy)') AS n_name, concat(lower(n_name), '-copy') AS slug FROM nation WHERE n_nationkey < 3")
+@query("""WITH s AS (SELECT n_nationkey, n_name, CASE n_nationkey WHEN 1 THEN 'a-7' WHEN 2 THEN 'a' WHEN 3 THEN 'a-copy' WHEN 4 THEN 'a-copy-2' ELSE lower(n_name) END AS slug FROM nation),
+r AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM s WHERE n_nationkey IN (1, 2, 5, 6)) SELECT ((SELECT max(n_nationkey) FROM nation) + k)::INTEGER AS n_nationkey, concat(n_name, ' (Copy)') AS n_name,
+CASE n_nationkey WHEN 1 THEN 'a-copy-1' WHEN 2 THEN 'a-copy-3' ELSE concat(regexp_replace(slug, '-[0-9]+$', ''), '-copy') END AS slug FROM r""")
 def n17_duplicate(t: Tables) -> DataFrame:
-    rows = t.nation.where("n_nationkey < 3")
-    slugs = text.copy_slug(F.concat(F.lower("n_name"), F.lit("-2")))
-    return rows.select((F.col("n_nationkey") + 100).alias("n_nationkey"), F.concat("n_name", F.lit(" (Copy)")).alias("n_name"), slugs.alias("slug"))
+    k = F.col("n_nationkey")
+    rows = t.nation.select("n_nationkey", "n_name", F.when(k == 1, "a-7").when(k == 2, "a").when(k == 3, "a-copy").when(k == 4, "a-copy-2").otherwise(F.lower("n_name")).alias("slug"))
+    return items.duplicated(rows, rows.where("n_nationkey IN (1, 2, 5, 6)"), "n_nationkey", "n_name", "slug").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
 
 
 @query("SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50")

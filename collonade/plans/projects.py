@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from collonade.functions import text, variables
-from collonade.operators import catalogue, hierarchy, layers, ordering, pages, partial, sorting, trees
+from collonade.operators import catalogue, hierarchy, items, layers, ordering, pages, partial, publishing, sorting, trees
 from collonade.operators.predicates import Condition
 from collonade.plans.adapter import Tables
 from collonade.plans.queries import query
@@ -407,3 +407,29 @@ def h02_display_paths(t: Tables) -> DataFrame:
 def h04_descends(t: Tables) -> DataFrame:
     pairs = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.concat(F.lit("r"), F.col("s_suppkey") % 5).alias("ancestor"))
     return hierarchy.descends(pairs, t.folders(), "id", "parent")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN concat('new ', n_name) ELSE n_name END AS n_name, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS n_regionkey FROM nation")
+def n20_replaced(t: Tables) -> DataFrame:
+    """A full replace: what the new item doesn't give is gone."""
+    rows = t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    return items.replaced(rows, rows.where("n_nationkey % 3 = 0").select("n_nationkey", F.concat(F.lit("new "), "n_name").alias("n_name")), "n_nationkey")
+
+
+@query("""SELECT c_custkey, c_mktsegment, true AS is_published, c_custkey % 13 = 0 AS deleted FROM customer WHERE c_custkey % 13 <> 0 OR c_custkey % 10 <> 0
+UNION ALL SELECT -s_suppkey - 1, 'NONE', true, false FROM supplier""")
+def n24_upserted(t: Tables) -> DataFrame:
+    """All drafts go over their twins, as of locales and translations; deleted ones delete them."""
+    done = publishing.upserted(t.items(), ["c_custkey"]).where("is_published")
+    return done.select("c_custkey", "c_mktsegment", "is_published", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query("SELECT o_custkey % 7 AS collection, count(*)::BIGINT AS pages FROM orders GROUP BY 1")
+def h09_collection_usage(t: Tables) -> DataFrame:
+    """Pages by the collection that a layer of theirs, however deep, is bound to; the same text as a name is none."""
+    k = (F.col("o_custkey") % 7).cast("string")
+    tree = F.concat(F.lit('[{"children":[{"name":"0","variables":{"collection":{"id":"'), k, F.lit('"}}}]}]'))
+    index = trees.strings(t.orders.select(F.col("o_orderkey").alias("page"), tree.alias("tree")), "page", "tree")
+    ids = t.nation.where("n_nationkey < 7").select(F.col("n_nationkey").alias("collection"))
+    found = trees.bound(index, "page", ids, "collection", ["variables/collection/id"])
+    return items.counted(found, "collection").select(F.col("collection").cast("bigint").alias("collection"), F.col("n").alias("pages"))

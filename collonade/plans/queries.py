@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collonade.functions import casts, text
-from collonade.operators import eav, hierarchy, inference, relations, snapshots, sorting, versions
+from collonade.operators import eav, hierarchy, inference, items, publishing, relations, snapshots, sorting, versions
 from collonade.operators.predicates import Condition, active, where
 from collonade.plans.adapter import Tables
 
@@ -120,14 +120,17 @@ for _name, _groups, _dialect, _test in [
 # Scans and projections.
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey, o_orderdate DESC, o_orderkey LIMIT 25")
+@query("""WITH k AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 13 = 0 AND c_mktsegment ILIKE '%u%' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))
+SELECT c_custkey, (SELECT count(*) FROM k)::BIGINT AS total FROM k ORDER BY c_mktsegment, c_custkey LIMIT 10 OFFSET 2""")
 def sc01_items(t: Tables) -> DataFrame:
-    return sorting.default_order(t.orders.where("o_orderstatus = 'F'"), "o_custkey", "o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "o_orderstatus")
+    """Deleted drafts with a text in a field and an id of a list: one scan, a page of it and the number of all."""
+    found = items.scanned(t.items(), "c_custkey", deleted=True, search=" U ", fields=["c_mktsegment"], ids=t.orders.select(F.col("o_custkey").alias("c_custkey")))
+    return items.paged(found, "c_mktsegment", "deleted_at", "c_custkey", 10, 2).select("c_custkey", "total")
 
 
 @query("SELECT * FROM nation WHERE n_nationkey = 7")
 def sc04_point(t: Tables) -> DataFrame:
-    return t.nation.where("n_nationkey = 7")
+    return items.by_id(t.nation, "n_nationkey", 7)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5, 8, 13)")
@@ -158,7 +161,7 @@ def a10_rows_from_cells(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a_e%'")
 def p14_ilike(t: Tables) -> DataFrame:
-    return t.part.where(F.col("p_name").ilike("%a_e%")).select("p_partkey", "p_name")
+    return items.like(t.part, "p_name", "a_e").select("p_partkey", "p_name")
 
 
 @query("SELECT n_nationkey FROM nation WHERE nullif(n_regionkey, 0) IS NULL OR n_regionkey IN (2, 3)")
@@ -252,14 +255,14 @@ def j06_dotted_path(t: Tables) -> DataFrame:
     return rows.select("c_custkey", F.col("`c_nationkey.n_name`").alias("nation"), F.col("`c_nationkey.n_regionkey`").alias("region"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3")
+@query("SELECT c_custkey, c_nationkey AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
 def j07_inverse_single(t: Tables) -> DataFrame:
-    return t.customer.where("c_nationkey = 3").select("c_custkey")
+    return items.referring(t.customer, "c_nationkey", t.nation.where("n_regionkey = 1"), "n_nationkey").select("c_custkey", F.col("parent").cast("int").alias("parent"))
 
 
-@query("SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_partkey = 11")
+@query("SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey AS parent FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 11")
 def j07_inverse_list(t: Tables) -> DataFrame:
-    return relations.holding(t.order_parts(), "parts", F.lit(11)).select("o_orderkey")
+    return items.referring(t.order_parts(), "parts", t.part.where("p_size = 11"), "p_partkey").select("o_orderkey", "parent")
 
 
 @query("""SELECT n_nationkey, count(s_suppkey) AS n, coalesce(string_agg(s_name, ',' ORDER BY s_suppkey), '') AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
@@ -286,7 +289,7 @@ def j13_anti(t: Tables) -> DataFrame:
 
 @query("SELECT n_regionkey, string_agg(cast(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS ids FROM nation GROUP BY 1")
 def j14_group_ids(t: Tables) -> DataFrame:
-    return t.nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("n_nationkey")), lambda x: x.cast("string")), ",").alias("ids"))
+    return items.grouped(t.nation, "n_regionkey", "n_nationkey").select("n_regionkey", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 # Aggregates.
@@ -297,9 +300,9 @@ def a01_count(t: Tables) -> DataFrame:
     return where(t.orders, [[C("o_orderstatus", "is", "F"), C("o_totalprice", "gt", "100000")]]).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT c_custkey AS o_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def a02_count_per_group(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return items.counted(t.orders, "o_custkey", t.customer.select(F.col("c_custkey").alias("o_custkey")))
 
 
 @query("SELECT event_type AS form_id, count(*) AS submission_count, count(*) FILTER (value > 50) AS new_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest_submission FROM events GROUP BY 1")
@@ -314,7 +317,7 @@ def a04_max_parsed(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT user_id FROM events")
 def a05_distinct(t: Tables) -> DataFrame:
-    return t.events.select("user_id").distinct()
+    return items.in_any(t.events.select("user_id"))
 
 
 STATUS = """SELECT coalesce(d.k, p.k) AS c_custkey, CASE WHEN p.k IS NULL THEN 'new' WHEN d.k IS NULL THEN 'deleted' WHEN d.seg = p.seg THEN 'same' ELSE 'updated' END AS status FROM
@@ -327,11 +330,17 @@ def a06_change_counts(t: Tables) -> DataFrame:
     return snapshots.change_counts(t.draft(), t.published(), "c_custkey", ["c_name", "c_mktsegment", "balance"])
 
 
-@query("""SELECT 'customers' AS entity, count(*) AS n FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'nations', count(*) FROM nation WHERE n_nationkey % 10 = 0 UNION ALL SELECT 'parts', count(*) FROM part WHERE p_partkey % 10 = 0""")
+@query("""WITH c AS (SELECT 'items' AS kind, count(*) FILTER (c_custkey % 13 <> 0 AND (c_custkey % 10 = 0 OR c_custkey % 7 = 0)) AS changed, count(*) FILTER (c_custkey % 13 = 0 AND c_custkey % 10 <> 0) AS deleted FROM customer UNION ALL
+SELECT 'entries', count(*) FILTER (NOT (o_orderkey % 3 = 0 AND o_orderstatus = 'old')), 0 FROM orders UNION ALL SELECT 'fields', count(*) FILTER (n_nationkey % 4 = 0 OR n_nationkey % 6 IN (1, 3)), 0 FROM nation)
+SELECT kind, changed::BIGINT AS changed, deleted::BIGINT AS deleted, (changed + deleted)::BIGINT AS total FROM c UNION ALL SELECT 'total', sum(changed)::BIGINT, sum(deleted)::BIGINT, sum(changed + deleted)::BIGINT FROM c""")
 def a07_publish_preview(t: Tables) -> DataFrame:
-    parts = [(t.customer, "c_custkey", "customers"), (t.nation, "n_nationkey", "nations"), (t.part, "p_partkey", "parts")]
-    counts = [df.where(F.col(k) % 10 == 0).agg(F.lit(name).alias("entity"), F.count("*").alias("n")) for df, k, name in parts]
-    return counts[0].union(counts[1]).union(counts[2])
+    none = F.lit(None).cast("string")
+    kinds = {
+        "items": (t.items(), "c_custkey", ["c_name", "c_mktsegment", "balance"]),
+        "entries": (t.entries().withColumn("deleted_at", none), "o_orderkey", ["o_orderstatus"]),
+        "fields": (t.fields().withColumn("deleted_at", none), "id", ["name", "key", "type", "order", "reference_collection_id", "is_computed", "data"]),
+    }
+    return publishing.preview(kinds)
 
 
 @query("SELECT o_orderkey, string_agg(cast(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem) GROUP BY 1")
@@ -339,9 +348,10 @@ def a11_collect_list(t: Tables) -> DataFrame:
     return t.order_parts().select("o_orderkey", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
 
 
-@query("SELECT max(o_orderkey) + 1 AS next_id FROM orders")
+@query("SELECT n_nationkey % 2 AS g, max(n_nationkey) + 1 AS next_id FROM nation GROUP BY 1")
 def a14_next_id(t: Tables) -> DataFrame:
-    return t.orders.agg((F.max("o_orderkey") + 1).alias("next_id"))
+    rows = t.nation.select((F.col("n_nationkey") % 2).alias("g"), F.concat(F.col("n_nationkey").cast("string"), F.lit(" x")).alias("number"))
+    return items.next_number(rows, "number", "g").select(F.col("g").cast("int").alias("g"), F.col("next").cast("int").alias("next_id"))
 
 
 @query("SELECT l_partkey AS part, count(DISTINCT l_orderkey) AS uses FROM lineitem GROUP BY 1")
@@ -367,30 +377,34 @@ def w04_sequential_ids(t: Tables) -> DataFrame:
     return snapshots.numbered(t.nation.select("n_name"), t.supplier.select(F.col("s_suppkey").alias("id")), "id", "n_name")
 
 
-@query("SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS position FROM nation")
+@query("""WITH s AS (SELECT concat('n', n_nationkey) AS id, n_regionkey AS parent, n_nationkey % 5 AS place, 'page' AS kind FROM nation UNION ALL SELECT concat('s', s_suppkey), s_suppkey % 5, s_suppkey % 3, 'folder' FROM supplier),
+p AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY place, kind, id) - 1 AS want FROM s) SELECT kind, id, want AS place FROM p WHERE place <> want""")
 def w06_resequence(t: Tables) -> DataFrame:
-    return snapshots.resequenced(t.nation, "n_regionkey", ["n_name"]).select("n_nationkey", "position")
+    """Pages and folders of one parent share one order; only those that move are written."""
+    made = lambda df, key, letter, parent, place: df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), F.col(parent).alias("parent") if isinstance(parent, str) else parent.alias("parent"), place.cast("bigint").alias("place"))
+    n = made(t.nation, "n_nationkey", "n", F.col("n_regionkey").cast("bigint"), F.col("n_nationkey") % 5)
+    return items.resequenced({"page": n, "folder": made(t.supplier, "s_suppkey", "s", F.col("s_suppkey") % 5, F.col("s_suppkey") % 3)}, "id", "parent", "place")
 
 
 @query("SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def u01_union(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).union(t.customer.where("c_acctbal < 0").select("c_custkey")).distinct()
+    return items.in_any(t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), t.customer.where("c_acctbal < 0").select("c_custkey"))
 
 
 @query("SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def u02_intersect(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).intersect(t.customer.where("c_acctbal < 0").select("c_custkey"))
+    return items.in_all(t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), t.customer.where("c_acctbal < 0").select("c_custkey"))
 
 
 @query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def u03_difference(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("id")).subtract(t.orders.where("o_orderstatus = 'F'").select("o_custkey"))
+    return items.in_first(t.customer.select(F.col("c_custkey").alias("id")), t.orders.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT n_nationkey AS id, 'nation' AS kind, n_name AS name FROM nation UNION ALL SELECT r_regionkey, 'region', r_name FROM region")
 def u05_tagged_union(t: Tables) -> DataFrame:
-    n = t.nation.select(F.col("n_nationkey").alias("id"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"))
-    return n.unionByName(t.region.select(F.col("r_regionkey").alias("id"), F.lit("region").alias("kind"), F.col("r_name").alias("name")))
+    n = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return items.tagged({"nation": n, "region": t.region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))})
 
 
 # Snapshots.
@@ -554,10 +568,16 @@ def h07_search(t: Tables) -> DataFrame:
     return eav.searched(t.documents, ["text", "source"], "  Licensed under ").select("doc_id")
 
 
-@query("SELECT concat('/', l, '/', lower(r_name), '/', lower(n_name)) AS url FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('en'), ('de')) AS v(l)")
+@query("""WITH l AS (SELECT unnest(['en', 'de']) AS locale, unnest([true, false]) AS is_default), p AS (SELECT r_regionkey AS page, lower(r_name) AS path, r_regionkey AS c FROM region WHERE r_regionkey <> 4)
+SELECT page, n_nationkey AS item, locale, concat('/', CASE WHEN is_default THEN '' ELSE concat(locale, '/') END, path, '/', CASE WHEN NOT is_default AND n_nationkey % 3 = 0 THEN concat('de-', n_nationkey) ELSE lower(n_name) END) AS url FROM p JOIN nation ON n_regionkey = c, l
+UNION ALL SELECT 100 + page, NULL, locale, concat('/', CASE WHEN is_default THEN '' ELSE concat(locale, '/') END, 'about-', path) FROM p, l""")
 def h06_urls(t: Tables) -> DataFrame:
-    rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select(F.explode(F.array(F.lit("en"), F.lit("de"))).alias("l"), "r_name", "n_name").select(F.concat(F.lit("/"), "l", F.lit("/"), F.lower("r_name"), F.lit("/"), F.lower("n_name")).alias("url"))
+    pages = t.region.select(F.col("r_regionkey").alias("page"), F.lower("r_name").alias("path"), F.col("r_regionkey").alias("collection"), (F.col("r_regionkey") == 4).alias("skipped"))
+    plain = pages.select((F.col("page") + 100).alias("page"), F.concat(F.lit("about-"), "path").alias("path"), F.lit(None).cast("int").alias("collection"), "skipped")
+    nations = t.nation.select(F.col("n_nationkey").alias("item"), F.col("n_regionkey").alias("collection"), F.lower("n_name").alias("slug"))
+    locales = t.region.where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "en").otherwise("de").alias("locale"), (F.col("r_regionkey") == 0).alias("is_default"))
+    over = nations.where("item % 3 = 0").select("item", F.lit("de").alias("locale"), F.concat(F.lit("de-"), F.col("item").cast("string")).alias("slug"))
+    return items.urls(pages.unionByName(plain), nations, locales, over)
 
 
 # Versions and events.
@@ -565,7 +585,7 @@ def h06_urls(t: Tables) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE user_id = 5 ORDER BY ts DESC, event_id DESC LIMIT 20")
 def v01_history(t: Tables) -> DataFrame:
-    return t.events.where("user_id = 5").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id")
+    return versions.history(t.events, "user_id", 5, "ts", "event_id").select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
@@ -581,8 +601,9 @@ def v05_subscriptions(t: Tables) -> DataFrame:
     return versions.deliveries(t.events, subs, "event_type", "user_id").select("event_id", "subscription")
 
 
-@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
+@query("""WITH l AS (SELECT user_id, max(event_id) FILTER (event_type = 'purchase') AS last FROM events GROUP BY 1)
+SELECT user_id, count(*) FILTER (event_type <> 'purchase' AND (last IS NULL OR event_id > last))::BIGINT AS failures FROM events JOIN l USING (user_id) GROUP BY 1""")
 def v06_failures(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"))
+    return items.failures(t.events, "user_id", "event_id", F.col("event_type") == "purchase").select("user_id", "failures")
 
 
