@@ -7,8 +7,10 @@ a packet is one frame with its track, timestamp and byte range, so that samples
 can be fetched by range without reading the rest.
 
 Defined results: a null text is stored as one block of 64 zero bytes; a null or
-damaged file has no packets and a ``media_error``; other columns of the input are
-not carried, so their names can't clash.
+damaged file has no packets and a ``media_error``; texts and files of any length are
+read whole; repeated rows are stored and read each for themselves; an empty table gives
+none; ``store`` carries only the key, and the columns that ``parse`` adds replace others of
+their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C
 CODEC_ID, DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 TOP = {INFO, TRACKS, CLUSTER, CUES}
@@ -144,6 +146,7 @@ def parse_bytes(buf: bytes) -> dict:
     packets: list[tuple] = []
     cues: list[dict] = []
     scale, base, cluster, segment = 10**6, 0, -1, 0
+    group, refers = 0, False  # first packet of the last block group, and whether it refers to another block
     ends, at = [(len(buf), 0)], 0
     while at < len(buf):
         while at >= ends[-1][0] and len(ends) > 1:
@@ -162,6 +165,8 @@ def parse_bytes(buf: bytes) -> dict:
                 segment = start
             elif tag == CLUSTER:
                 cluster, base = cluster + 1, 0
+            elif tag == BLOCK_GROUP:
+                group, refers = len(packets), False
             elif tag == TRACK_ENTRY:
                 tracks.append({})
             elif tag == CUE_POINT:
@@ -172,9 +177,12 @@ def parse_bytes(buf: bytes) -> dict:
             lacing = flags >> 1 & 3
             sizes, pos = frame_sizes(buf, pos + 3, end, lacing)
             each = next((t.get(DEFAULT_DURATION, 0) for t in tracks if t.get(TRACK_NUMBER) == track), 0)
+            key = bool(flags & 0x80) if tag == SIMPLE_BLOCK else not refers  # a block in a group is a key frame unless it refers to another
             for k, n in enumerate(sizes):
-                packets.append((track, cluster, (base + relative) * scale + k * each, bool(flags & 0x80), lacing, k, pos, n))
+                packets.append((track, cluster, (base + relative) * scale + k * each, key, lacing, k, pos, n))
                 pos += n
+        elif tag == REFERENCE_BLOCK:
+            refers, packets[group:] = True, [(*p[:3], False, *p[4:]) for p in packets[group:]]
         elif tag in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION, CHANNELS, BIT_DEPTH):
             tracks[-1][tag] = int.from_bytes(buf[start:end], "big")
         elif tag == CODEC_ID:
@@ -206,8 +214,14 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, text).mapInArrow(write, f"`{key}` {kind}, n_bytes bigint, media binary")
 
 
+ADDED = ("tracks", "packets", "cues", "samples", "media_error")
+
+
 def parse(media: DataFrame, column: str = "media") -> DataFrame:
-    """Add tracks, packets, cues, the samples of the first track read back by byte range, and media_error."""
+    """Add tracks, packets, cues, the samples of the first track read back by byte range, and media_error, in place of columns of these names."""
+    media = media.select(*[F.col(f"`{c}`") for c in media.columns if c == column or c not in ADDED])
+    if column in ADDED:
+        media, column = media.withColumnRenamed(column, "media"), "media"
     names = media.columns
 
     def lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
@@ -234,7 +248,7 @@ def parse(media: DataFrame, column: str = "media") -> DataFrame:
                 samples.append(b"".join(raw[p[6] : p[6] + p[7]] for p in got["packets"] if p[0] == first) if not error else None)
                 errors.append(error)
             new = [lists(tracks, TRACK), lists(packets, PACKET), lists(cues, CUE), pa.array(samples, pa.binary()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "tracks", "packets", "cues", "samples", "media_error"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *ADDED])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
     return media.mapInArrow(read, f"{kept}, {PARSED}")

@@ -19,7 +19,8 @@ confirmed on the whole sets.  Of a text whose shingles are mostly frequent ones
 first are as many as two sets so similar must share one of (prefix filter).  Of
 others they are the first SKETCH: as half of the shingles are in random order, two
 such sets have a similarity of 0.63 or more among these, and share none of the first
-16 with a probability under 0.37^16, or one in eight million.
+16 with a probability under 0.37^16, or one in eight million.  With ``sketch=None`` all
+texts are compared by their whole prefixes, and no pair can be missed.
 
 Defined results: a text without words has fingerprint zero and links like any
 other; null and empty texts are alike; null keys count, but a group of null keys
@@ -215,8 +216,8 @@ def heavy(docs: DataFrame, words: int, text: str = "text") -> tuple[np.ndarray,
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def with_prefixes(docs: DataFrame, words: int, similar: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, sid, n, prefix) of each row: its set's name, size and first shingles, of which similar sets share one."""
+def with_prefixes(docs: DataFrame, words: int, similar: float, key: str = "doc_id", text: str = "text", sketch: int | None = SKETCH) -> DataFrame:
+    """(key, fp, sid, n, prefix) of each row: its set's name, size and first shingles, of which similar sets share one, or without a sketch are sure to."""
     known, often = heavy(docs, words, text)
 
     def prefix(own: np.ndarray) -> np.ndarray:
@@ -225,7 +226,7 @@ def with_prefixes(docs: DataFrame, words: int, similar: float, key: str = "doc_i
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             counts = np.where(known[at] == own, often[at], 0)
         needed = len(own) - int(np.ceil(similar * len(own) - 1e-9)) + 1
-        return own[np.lexsort((own, counts))][: min(needed, SKETCH) if 2 * np.count_nonzero(counts) <= len(own) else needed]
+        return own[np.lexsort((own, counts))][: min(needed, sketch) if sketch and 2 * np.count_nonzero(counts) <= len(own) else needed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,10 +288,13 @@ def similar_links(docs: DataFrame, prefixes: DataFrame, words: int, similar: flo
     return roots
 
 
-def group(docs: DataFrame, words: int, radius: int = RADIUS, key: str = "doc_id", text: str = "text", similar: float | None = SIMILAR) -> DataFrame:
-    """(key, fp, component_id): the smallest key within reach of each row over links of similar sets of shingles, or without ``similar`` of fingerprints."""
+def group(docs: DataFrame, words: int, radius: int = RADIUS, key: str = "doc_id", text: str = "text", similar: float | None = SIMILAR, sketch: int | None = SKETCH) -> DataFrame:
+    """(key, fp, component_id): the smallest key within reach of each row over links of similar sets of shingles, or without ``similar`` of fingerprints.
+
+    With sketch None whole prefixes are compared, which finds every pair for certain and takes several times the disk.
+    """
     by = "fp" if similar is None else "sid"
-    own = keep(fingerprints(docs, words, key, text) if similar is None else with_prefixes(docs, words, similar, key, text), "fingerprints")
+    own = keep(fingerprints(docs, words, key, text) if similar is None else with_prefixes(docs, words, similar, key, text, sketch), "fingerprints")
     more = [] if similar is None else [F.first(c).alias(c) for c in ("n", "prefix")]
     first = keep(own.groupBy(by).agg(F.min(key).alias("first_key"), *more), "distinct-fingerprints")
     roots = components(links(first.select("fp"), radius)) if similar is None else similar_links(docs, first, words, similar, text)

@@ -111,3 +111,31 @@ def test_similar_texts_are_linked_whatever_their_bits(spark, monkeypatch, light,
     got = {r.doc_id: r.component_id for r in simhash.group(df, 5).collect()}
     assert groups(range(len(texts)), [got[i] for i in range(len(texts))]) == groups(range(len(texts)), parent)
     assert all(got[i] == min(j for j in got if got[j] == got[i]) for i in got)
+
+
+def test_whole_prefixes_find_every_pair(spark):
+    """Without a sketch the stage's links are those of all pairs, and with it the same here."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 90))] for _ in range(25)]
+    texts = [" ".join(w) for w in base]
+    for w in base * 3:
+        changed = list(w)
+        for _ in range(rng.randrange(1, 3)):
+            changed[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(changed))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for sketch in (None, 16):
+        assert {r.doc_id: r.component_id for r in simhash.group(df, 5, sketch=sketch).collect()} == {i: find(i) for i in range(len(texts))}

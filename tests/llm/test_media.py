@@ -67,3 +67,23 @@ def test_lacing_and_unknown_sizes(lacing, body, sizes, known):
 def test_damaged_files_are_reported(spark, raw):
     r = m.parse(spark.createDataFrame([(1, raw)], "doc_id int, media binary")).first()
     assert r.packets == [] and (r.media_error is not None or raw == b"")
+
+
+def test_clashing_names_repeated_rows_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a text", "x", 5), (1, "a text", "x", 5), (2, "y" * 200_000, None, None)], "doc_id bigint, text string, packets string, samples int")
+    stored = m.store(docs)
+    clashing = stored.withColumn("packets", stored["doc_id"]).withColumn("tracks", stored["doc_id"]).withColumn("media_error", stored["doc_id"])
+    got = sorted(map(tuple, m.digests(m.parse(clashing)).collect()))
+    assert got == sorted(map(tuple, m.digests(m.parse(stored)).collect())) and len(got) == 3 and got[0] == got[1]
+    assert m.parse(stored.withColumnRenamed("media", "samples"), "samples").where("media_error IS NULL").count() == 3
+    assert m.digests(m.parse(m.store(docs.limit(0)))).count() == 0
+
+
+def test_key_frames_of_block_groups():
+    """A block in a group is a key frame unless the group refers to another block, before or after it."""
+    block = m.element(m.BLOCK, b"\x81\x00\x00\x00abc")
+    refers = m.element(m.REFERENCE_BLOCK, b"\xff")
+    groups = [m.element(m.BLOCK_GROUP, x) for x in (block, block + refers, refers + block, block)]
+    cluster = m.element(m.CLUSTER, m.number(m.CLUSTER_TIME, 0) + b"".join(groups))
+    packets = m.parse_bytes(m.element(m.SEGMENT, cluster))["packets"]
+    assert [p[3] for p in packets] == [True, False, False, True]
