@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._collonade_dir
 
 
+#: The scratch that is open, innermost last; each has the folders kept since it was opened.
+_OPEN: list[scratch] = []
+
+
+class scratch:
+    """Kept tables made within are deleted at its end, but for those held; what is held belongs to the scratch around it, if any.
+
+    Whatever is still to be computed then must rest on held or checkpointed tables only.  Shuffle files of what nothing refers to any
+    more are let go of at once, and not when the driver happens to collect its garbage.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.held = spark, [], []
+
+    def hold(self, *tables: DataFrame) -> None:
+        self.held += [df._kept for df in tables if getattr(df, "_kept", None)]
+
+    def __enter__(self) -> scratch:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _OPEN.remove(self)
+        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            if path in self.held:
+                if _OPEN:
+                    _OPEN[-1].paths.append(path)
+            else:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(hadoop).delete(at, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it back.
 
@@ -40,7 +76,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    if _OPEN:
+        _OPEN[-1].paths.append(path)
+    return out
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

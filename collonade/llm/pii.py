@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collonade.llm.common import checkpoint, join_sized, keep, prefix_maxima, prefix_sums
+from collonade.llm.common import checkpoint, join_sized, keep, prefix_maxima, prefix_sums, scratch
 
 # A match can only start where a run of its first characters starts, or where the last match ended: the guards say so,
 # which spares long runs a start at each of their characters.  Looking back for doubled separators, not groups with
@@ -297,9 +297,11 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     carry = docs.columns if carry is None else carry
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc"), F.col(text).alias("_text"))
     found = with_spans(held, "_text").withColumns({"_row": F.monotonically_increasing_id(), "_text": F.coalesce("_text", F.lit(""))})
-    rows = keep(found.withColumn("_m", marked(F.col("_text"), F.col("_spans"))).drop("_text"), "pii-rows")
-    chosen = bootstrap(rows)[0].unionByName(lone(rows)).distinct()
-    extra = keep(identifiers(rows, chosen), "pii-identifiers")
+    with scratch(docs.sparkSession) as made:
+        rows = keep(found.withColumn("_m", marked(F.col("_text"), F.col("_spans"))).drop("_text"), "pii-rows")
+        chosen = bootstrap(rows)[0].unionByName(lone(rows)).distinct()
+        extra = keep(identifiers(rows, chosen), "pii-identifiers")
+        made.hold(rows, extra)
     out = join_sized(rows.drop("_m"), extra, "_row", "left")
     return out.select("_doc", *[f"n_{k}" for k in KINDS], F.col("_spans").alias("base"), F.when(F.col("_more").isNull(), F.col("_spans")).otherwise(F.sort_array(F.concat("_spans", "_more"))).alias("spans"))
 

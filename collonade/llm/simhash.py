@@ -37,10 +37,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collonade.llm.common import checkpoint, join_sized, keep
+from collonade.llm.common import checkpoint, join_sized, keep, scratch
 
 SEED, RADIUS, SHARD = 42, 3, 4096
 #: The similarity from which texts are linked.
@@ -49,6 +49,8 @@ SIMILAR = 0.8
 # texts that aren't linked yet are all compared if that is at most LIGHT pairs for each, or after rounds with CENTRES of them: ROUNDS, or
 # as many as link anything.
 SAMPLED, HEAVY, LIGHT, ROUNDS, CENTRES = 64, 100_000, 128, 6, 4
+#: Counts of a set's members by their last bits, of which two sets have at most the lesser ones in common.
+BINS = 256
 #: First shingles that texts are compared by if at most half of theirs are frequent.
 SKETCH = 16
 
@@ -197,15 +199,22 @@ def as_set(hashes: list[int]) -> tuple[np.ndarray, int]:
     return own.view(np.int64), h - (h >> 63 << 64)
 
 
+def bins(own: np.ndarray) -> np.ndarray | None:
+    """How many members of a set have each of the BINS possible last bits; None if that is more than a short holds."""
+    counts = np.bincount(own & (BINS - 1), minlength=BINS)
+    return counts.astype(np.int16) if counts.max() < 1 << 15 else None
+
+
 def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(sid, shingles): name and members of each row's set of shingles."""
+    """(sid, shingles, bins): name, members and counts by last bits of each row's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [as_set(shingles(raw or b"", words)) for raw in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sid for _, sid in got], pa.int64()), pa.array([own for own, _ in got], pa.list_(pa.int64()))], names=["sid", "shingles"])
+            columns = [pa.array([sid for _, sid in got], pa.int64()), pa.array([own for own, _ in got], pa.list_(pa.int64())), pa.array([bins(own) for own, _ in got], pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "shingles", "bins"])
 
-    return docs.select(text).mapInArrow(run, "sid bigint, shingles array<bigint>")
+    return docs.select(text).mapInArrow(run, "sid bigint, shingles array<bigint>, bins array<smallint>")
 
 
 def heavy(docs: DataFrame, words: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -244,14 +253,20 @@ def similar_links(docs: DataFrame, prefixes: DataFrame, words: int, similar: flo
 
     Of the texts that share a shingle only those are compared that no link joins yet.
     In a large group each is first compared with a few, round by round, which joins
-    most of them; what is left of a shingle's pairs is compared in full.
+    most of them; what is left of a shingle's pairs is compared in full.  Whole sets are only fetched of pairs that
+    may be similar by their counts (bins), which bound what they share.
     """
     spark = docs.sparkSession
+    with scratch(spark):
+        return _similar_links(spark, docs, prefixes, words, similar, text)
+
+
+def _similar_links(spark: SparkSession, docs: DataFrame, prefixes: DataFrame, words: int, similar: float, text: str) -> DataFrame:
     dealt = keep(prefixes.select("sid", "n", F.posexplode("prefix").alias("pos", "s")), "prefixes")
     shared = dealt.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     met = keep(dealt.join(shared, "s"), "shared-shingles")
     wanted = keep(met.select("sid").distinct(), "shared-sets")
-    sets = keep(join_sized(shingle_sets(docs, words, text), wanted, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    sets = keep(join_sized(shingle_sets(docs, words, text), wanted, "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("shingles", "bins")).alias("x")).select("sid", "x.*"), "shingle-sets")
     edges = roots = spark.createDataFrame([], "a bigint, b bigint")
     roots = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # The most that two sets can share, if a shingle at these places is the first of it.
@@ -259,32 +274,40 @@ def similar_links(docs: DataFrame, prefixes: DataFrame, words: int, similar: flo
     possible = (most * (1 + similar) >= (F.col("x.n") + F.col("y.n")) * similar - 1e-6) & (F.col("x.comp") != F.col("y.comp"))
     member = F.struct("sid", "n", "pos", "comp")
     linked, last = 0, False
+    enough = lambda common, p, q: common >= similar * (p + q - common) - 1e-9
+    side = lambda c, name, own: sets.select(F.col("sid").alias(c), F.col(name).alias(own))
     for k in range(ROUNDS + 1):
-        named = met.join(roots, met["sid"] == roots["node"], "left").select("s", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
-        parts = named.groupBy("s", "comp").agg(F.count("*").alias("c"))
-        buckets = parts.groupBy("s").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", F.struct("c", "comp")).alias("top")).where("parts > 1")
-        light = (F.col("c") * F.col("c") - F.col("squares") <= 2 * LIGHT * F.col("c")) | F.lit(last or k == ROUNDS)
-        buckets = keep(buckets.select("s", "top", light.alias("light")), f"open-shingles-{k}")
-        if buckets.isEmpty():
-            break
-        now = keep(named.join(buckets, "s"), f"open-places-{k}")
-        rest = now.where("comp <> top").select("s", member.alias("x"))
-        whole = now.where("light").select("s", "top", member.alias("y"))
-        pairs = rest.join(whole, "s").where(possible & ((F.col("y.comp") == F.col("top")) | (F.col("x.sid") < F.col("y.sid"))))
-        pairs = pairs.select("x", "y")
-        order = lambda i: F.struct(F.col("comp") != F.col("top"), F.xxhash64("sid", F.lit(k), F.lit(i)), "sid", "n", "pos", "comp")
-        centres = now.where("not light").groupBy("s").agg(*[F.min(order(i)).alias(f"c{i}") for i in range(CENTRES)])
-        centres = centres.select("s", F.explode(F.array(*[F.struct(*[F.col(f"c{i}")[f].alias(f) for f in ("sid", "n", "pos", "comp")]) for i in range(CENTRES)])).alias("y"))
-        pairs = pairs.union(rest.join(centres, "s").where(possible).select("x", "y"))
-        pairs = keep(pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), f"pairs-{k}")
-        held = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("q")), "b")
-        common = F.size(F.array_intersect("p", "q"))
-        edges = keep(edges.union(held.where(common >= similar * (F.size("p") + F.size("q") - common) - 1e-9).select("a", "b")), f"links-{k}")
-        before, linked = linked, edges.count()
-        last = linked == before
-        roots = roots if last else components(edges)
-        # The pairs of light buckets are all settled.
-        met = keep(now.where("not light").select("sid", "n", "pos", "s"), f"left-shingles-{k}")
+        with scratch(spark) as round_:
+            named = met.join(roots, met["sid"] == roots["node"], "left").select("s", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
+            parts = named.groupBy("s", "comp").agg(F.count("*").alias("c"))
+            buckets = parts.groupBy("s").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", F.struct("c", "comp")).alias("top")).where("parts > 1")
+            light = (F.col("c") * F.col("c") - F.col("squares") <= 2 * LIGHT * F.col("c")) | F.lit(last or k == ROUNDS)
+            buckets = keep(buckets.select("s", "top", light.alias("light")), f"open-shingles-{k}")
+            if buckets.isEmpty():
+                break
+            now = keep(named.join(buckets, "s"), f"open-places-{k}")
+            rest = now.where("comp <> top").select("s", member.alias("x"))
+            whole = now.where("light").select("s", "top", member.alias("y"))
+            pairs = rest.join(whole, "s").where(possible & ((F.col("y.comp") == F.col("top")) | (F.col("x.sid") < F.col("y.sid"))))
+            pairs = pairs.select("x", "y")
+            order = lambda i, k=k: F.struct(F.col("comp") != F.col("top"), F.xxhash64("sid", F.lit(k), F.lit(i)), "sid", "n", "pos", "comp")
+            centres = now.where("not light").groupBy("s").agg(*[F.min(order(i)).alias(f"c{i}") for i in range(CENTRES)])
+            centres = centres.select("s", F.explode(F.array(*[F.struct(*[F.col(f"c{i}")[f].alias(f) for f in ("sid", "n", "pos", "comp")]) for i in range(CENTRES)])).alias("y"))
+            pairs = pairs.union(rest.join(centres, "s").where(possible).select("x", "y"))
+            pairs = keep(pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), f"pairs-{k}")
+            bounded = pairs.join(side("a", "bins", "p"), "a").join(side("b", "bins", "q"), "b")
+            total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x.cast("int"))
+            shared = total(F.zip_with("p", "q", lambda x, y: F.least(x, y)))
+            near = keep(bounded.where(F.coalesce(enough(shared, total(F.col("p")), total(F.col("q"))), F.lit(True))).select("a", "b"), f"near-pairs-{k}")
+            held = near.join(side("a", "shingles", "p"), "a").join(side("b", "shingles", "q"), "b")
+            similar_ones = held.where(enough(F.size(F.array_intersect("p", "q")), F.size("p"), F.size("q"))).select("a", "b")
+            edges = keep(edges.union(similar_ones), f"links-{k}")
+            before, linked = linked, edges.count()
+            last = linked == before
+            roots = roots if last else components(edges)
+            # The pairs of light buckets are all settled.
+            met = keep(now.where("not light").select("sid", "n", "pos", "s"), f"left-shingles-{k}")
+            round_.hold(edges, met)
     return roots
 
 
@@ -294,15 +317,17 @@ def group(docs: DataFrame, words: int, radius: int = RADIUS, key: str = "doc_id"
     With sketch None whole prefixes are compared, which finds every pair for certain and takes several times the disk.
     """
     by = "fp" if similar is None else "sid"
-    own = keep(fingerprints(docs, words, key, text) if similar is None else with_prefixes(docs, words, similar, key, text, sketch), "fingerprints")
-    more = [] if similar is None else [F.first(c).alias(c) for c in ("n", "prefix")]
-    first = keep(own.groupBy(by).agg(F.min(key).alias("first_key"), *more), "distinct-fingerprints")
-    roots = components(links(first.select("fp"), radius)) if similar is None else similar_links(docs, first, words, similar, text)
-    reached = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root")).distinct()
-    linked = reached.join(first, reached["node"] == first[by]).select("node", "root", "first_key")
-    least = linked.groupBy("root").agg(F.min("first_key").alias("component_id"))
-    of = linked.join(least, "root").select(F.col("node").alias(by), "component_id")
-    classes = keep(first.join(of, by, "left").select(by, F.coalesce("component_id", "first_key").alias("component_id")), "classes")
+    with scratch(docs.sparkSession) as made:
+        own = keep(fingerprints(docs, words, key, text) if similar is None else with_prefixes(docs, words, similar, key, text, sketch), "fingerprints")
+        more = [] if similar is None else [F.first(c).alias(c) for c in ("n", "prefix")]
+        first = keep(own.groupBy(by).agg(F.min(key).alias("first_key"), *more), "distinct-fingerprints")
+        roots = components(links(first.select("fp"), radius)) if similar is None else similar_links(docs, first, words, similar, text)
+        reached = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root")).distinct()
+        linked = reached.join(first, reached["node"] == first[by]).select("node", "root", "first_key")
+        least = linked.groupBy("root").agg(F.min("first_key").alias("component_id"))
+        of = linked.join(least, "root").select(F.col("node").alias(by), "component_id")
+        classes = keep(first.join(of, by, "left").select(by, F.coalesce("component_id", "first_key").alias("component_id")), "classes")
+        made.hold(own, classes)
     # Of thousands of copies all rows have one fingerprint: a kept table leaves the join plain, so that it can be broadcast or split.
     return join_sized(own.select(*dict.fromkeys([key, "fp", by])), classes, by).select(key, "fp", "component_id")
 
