@@ -56,6 +56,8 @@ FEWEST, LOW = 12, 0.65
 SEVERAL = 0.2
 #: What every presentation entropy has added, in nats, so that a host whose pages all have one shape is judged by content.
 FLOOR = 0.1
+#: Pages that a task holds as Python objects at once.
+SLICE = 256
 #: Levels of a tree; what lies deeper counts as part of its ancestor on the last level.
 DEPTH = 256
 #: Parts that the pages of a host are dealt to, where the verdicts are too many to be broadcast.
@@ -270,11 +272,18 @@ OUTLINE = "host string, page bigint, node bigint, kind int, feature bigint, n bi
 PAGE = 3
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE rows."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def outlines(pages: DataFrame) -> DataFrame:
-    """What one walk of each page (host, page, html) tells: rows (host, node, kind, feature, n, chain), summed up in each batch, and rows (host, page, nodes) of kind PAGE."""
+    """What one walk of each page (host, page, html) tells: rows (host, node, kind, feature, n, chain), summed up in each slice, and rows (host, page, nodes) of kind PAGE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             total: Counter = Counter()
             chains: dict[tuple[str, int], tuple[int, ...]] = {}
             own: list[tuple] = []
@@ -347,7 +356,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     joined = join_sized(rows, verdicts, ["host", "page"], "left").select("key", "url", "html", "low", "judged", "several", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [text_of(page or "", *(set(x or ()) for x in nodes)) for page, *nodes in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
