@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from collonade.functions.casts import parse_tokens
 from collonade.operators.ordering import ranked
+from collonade.sources.files import OPTIONS, last_of_each
 
 COLLECTION, ITEM = "Collection ID", "Item ID"
 COVERAGE = 0.7
@@ -29,23 +29,17 @@ def title(file: str) -> str:
     return parts[1] if len(parts) > 1 else re.sub(r"\.csv$", "", parts[0], flags=re.I)
 
 
-def last_of_each(header: Sequence[str]) -> dict[str, int]:
-    """Column of each name; of columns with one name the last counts, and columns without a name don't."""
-    return {h.strip(): i for i, h in enumerate(header) if h and h.strip()}
-
-
 def read_file(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
     """(cells of a file, the collection's id in its first row): rows are numbered from 0 as they stand in the file.
 
     Cells are trimmed; a field without a value has no cell.
     """
-    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
-    header = spark.read.options(**options).csv(path).first()
+    header = spark.read.options(**OPTIONS).csv(path).first()
     at = last_of_each([] if header is None else list(header))
     if not at:
         return spark.createDataFrame([], CELL).drop("collection"), None
     width = max(at.values()) + 1
-    rows = spark.read.options(**options, header=True, enforceSchema=True).schema(", ".join(f"c{i} string" for i in range(width))).csv(path)
+    rows = spark.read.options(**OPTIONS, header=True, enforceSchema=True).schema(", ".join(f"c{i} string" for i in range(width))).csv(path)
     rows = rows.select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     numbered = ranked(rows, ["_block", "_line"], out="row")
     first = numbered.where("row = 1").first()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from collonade.functions.casts import coerced
 from collonade.functions.text import escape_xml
@@ -11,10 +14,23 @@ from collonade.functions.text import escape_xml
 VOLATILE = ["created_at", "updated_at", "deleted_at"]
 
 
+OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": False}
+
+
+def last_of_each(header: Sequence[str | None]) -> dict[str, int]:
+    """Column of each name; of columns with one name the last counts, and columns without a name don't."""
+    return {h.strip(): i for i, h in enumerate(header) if h and h.strip()}
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Text columns by header; cells trimmed, missing ones ''."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False)
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    """Text columns by header, of columns with one name the last; cells trimmed, missing ones ''."""
+    header = spark.read.options(**OPTIONS).csv(path).first()
+    at = last_of_each([] if header is None else list(header))
+    if not at:
+        return spark.createDataFrame([], T.StructType([]))
+    places = ", ".join(f"c{i} string" for i in range(max(at.values()) + 1))
+    df = spark.read.options(**OPTIONS, header=True, enforceSchema=True).schema(places).csv(path)
+    return df.select(*[F.coalesce(F.trim(F.col(f"c{i}")), F.lit("")).alias(name) for name, i in at.items()])
 
 
 def coerced_rows(df: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -331,3 +331,13 @@ def test_foreign_exports(spark, tmp_path):
     assert told["t3", "Price"] == "7" and ("t3", "Maker") not in told and told["t3", "Makers"] == "[]"
     assert {(r.collection, r.field, r.value) for r in warnings.collect()} >= {("Things", "Maker", "m9"), ("Things", "Makers", "m9")}
     assert export.title("/a/b/shop%20-%20Makers%20-%201.csv") == "Makers" and export.last_of_each(["a", "b", "a", " ", None]) == {"a": 2, "b": 1}
+
+
+def test_sheets_with_clashing_headers(spark, tmp_path):
+    from collonade.sources.files import read_csv
+
+    (tmp_path / "a.csv").write_text('id, name,name,\n1,old, "new ""x""" ,z\n\n2,b\n')
+    got = read_csv(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["id", "name"] and sorted(map(tuple, got.collect())) == [("1", 'new "x"'), ("2", "")]
+    (tmp_path / "b.csv").write_text("")
+    assert read_csv(spark, str(tmp_path / "b.csv")).columns == []
