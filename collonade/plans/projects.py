@@ -433,3 +433,12 @@ def h09_collection_usage(t: Tables) -> DataFrame:
     ids = t.nation.where("n_nationkey < 7").select(F.col("n_nationkey").alias("collection"))
     found = trees.bound(index, "page", ids, "collection", ["variables/collection/id"])
     return items.counted(found, "collection").select(F.col("collection").cast("bigint").alias("collection"), F.col("n").alias("pages"))
+
+
+@query("""SELECT p_partkey, array_to_string([CASE c WHEN 'c' THEN 'ts' WHEN 'j' THEN 'zh' WHEN 'q' THEN 'shch' WHEN 'w' THEN 'sh' WHEN 'x' THEN 'yu' ELSE c END for c in string_split(lower(p_name), '')], '') AS cyrillic,
+array_to_string([CASE c WHEN 'c' THEN 'th' WHEN 'j' THEN 'ch' WHEN 'q' THEN 'ps' ELSE c END for c in string_split(lower(p_name), '')], '') AS greek FROM part""")
+def s07_transliterated(t: Tables) -> DataFrame:
+    """Names written in Cyrillic and in Greek letters, some of which stand for several plain ones."""
+    cyrillic = F.translate(F.upper("p_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБЦДЕФГХИЖКЛМНОПЩРСТУВШЮЙЗ")
+    greek = F.translate(F.upper("p_name"), "ABCDEGIJKLMNOPQRSTXZF", "ΑΒΘΔΕΓΙΧΚΛΜΝΟΠΨΡΣΤΞΖΦ")
+    return t.part.select("p_partkey", text.transliterate(cyrillic).alias("cyrillic"), text.transliterate(greek).alias("greek"))
