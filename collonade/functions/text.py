@@ -107,10 +107,27 @@ def escape_xml(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """The six common named references; the ampersand last, so that nothing is decoded twice."""
-    for name, letter in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(letter))
-    return c
+    """Numeric references, then the six common named ones, the ampersand last; what a numeric one gives may be part of a named one.
+
+    Numbers that are no character (surrogates, zero, beyond U+10FFFF) stay as they are written.
+    """
+    digits = lambda x: F.regexp_extract(x, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
+    code = lambda x: F.conv(digits(x), F.when(x.rlike("^&#[xX]"), 16).otherwise(10), 10).cast("bigint")
+def decode_entities(c: Column) -> Column:
+    """Common named references, whatever their case, and numeric ones as their characters, each once: what one gives is not decoded again.
+
+    Numbers that are no character (zero, surrogates, beyond U+10FFFF) stay as they are written.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def one(x: Column) -> Column:
+        tens, hexes = (F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in (r"^&#0*([0-9]{1,7});$", r"^&#[xX]0*([0-9A-Fa-f]{1,6});$"))
+        n = F.coalesce(tens.cast("int"), F.conv(hexes, 16, 10).cast("int"))
+        letter = F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        return F.coalesce(F.try_element_at(names, F.lower(x)), letter, x)
+
+    parts = F.regexp_extract_all(c, F.lit(r"&#?[0-9A-Za-z]{1,12};|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def plain_text(html: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from collonade.functions.text import escape_like, file_size
+from collonade.operators.hierarchy import reachable
 
 
 def fields(df: DataFrame, collection=None, published: bool | None = None, computed: bool = True, search: str = "") -> DataFrame:
@@ -88,3 +89,14 @@ def merged_ids(*lists: Column) -> Column:
     """Id lists in one, each id once, in order of first appearance; a null list is empty."""
     none = F.array().cast("array<string>")
     return F.array_distinct(F.concat(*[F.coalesce(c.cast("array<string>"), none) for c in lists]))
+
+
+def leading_to(fields: DataFrame, kinds: Iterable[str]) -> DataFrame:
+    """(id) of the references whose collection has a field of one of the kinds, itself or through further references, in any cycle.
+
+    fields have (id, collection_id, type, reference_collection_id); references to many are neither followed nor found.
+    """
+    refs = fields.where("type = 'reference'").select("id", "collection_id", "reference_collection_id")
+    has = fields.where(F.col("type").isin(*kinds) & (F.col("type") != "multi_reference")).select("collection_id")
+    found = reachable(refs.select(F.col("reference_collection_id").alias("a"), F.col("collection_id").alias("b")), has)
+    return refs.join(found.select(F.col("node").alias("reference_collection_id")), "reference_collection_id", "left_semi").select("id")

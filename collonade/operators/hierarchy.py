@@ -1,32 +1,35 @@
 """Trees by parent reference.
 
 Paths and closures of a whole tree are made by joins that double their reach: n levels
-take about log2(n) rounds, and a cycle is an error.  What is above or below some ids is walked from these, a level a
+take about log2(n) rounds, and a cycle is an error.  A round that reaches r levels leaves the nodes at depth r or more,
+and these grow fewer each round unless they lead into a cycle; so a cycle is seen as soon as all other lines are
+done, and nothing grows along it.  What is above or below some ids is walked from these, a level a
 round.  Each round is checkpointed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collonade.operators.ordering import ranked
 from collonade.sources.folders import cut
 
 
 def paths(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:
     """(key, path, depth): names from the root down, joined by slashes; nodes whose line doesn't end at a root are left out."""
     nodes = cut(df.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), F.lit(0).alias("depth")))
-    size, reach = nodes.count(), 1
-    while not nodes.where("up is not null").isEmpty():
-        if reach > 2 * size:
+    last = None
+    while left := nodes.where("up is not null").count():
+        if left == last:
             raise ValueError("the parents form a cycle")
+        last = left
         above = nodes.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("depth").alias("depth2"))
         joined = nodes.join(above, "up", "left").where("up is null or path2 is not null")
         open_ = F.col("up").isNotNull()
         path = F.when(open_, F.concat_ws("/", "path2", "path")).otherwise(F.col("path"))
         depth = F.when(open_, F.col("depth") + F.col("depth2") + 1).otherwise(F.col("depth"))
         nodes = cut(joined.select("id", F.when(open_, F.col("up2")).alias("up"), path.alias("path"), depth.alias("depth")))
-        reach *= 2
     return nodes.select(F.col("id").alias(key), "path", "depth")
 
 
@@ -35,10 +38,11 @@ def closure(df: DataFrame, key: str, parent: str) -> DataFrame:
     near = cut(df.select(F.col(key).alias("ancestor"), F.col(key).alias("descendant"), F.lit(0).alias("distance")))
     step = df.where(F.col(parent).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(key).alias("descendant"))
     step = cut(step.join(df.select(F.col(key).alias("ancestor")), "ancestor", "left_semi"))
-    size, reach = near.count(), 1
-    while not step.isEmpty():  # near: distances below reach; step: pairs at that distance
-        if reach > size:
+    last, reach = None, 1
+    while left := step.count():  # near: distances below reach; step: pairs at that distance
+        if left == last:
             raise ValueError("the parents form a cycle")
+        last = left
         to = step.select("ancestor", F.col("descendant").alias("middle"))
         far = to.join(near.select(F.col("ancestor").alias("middle"), "descendant", "distance"), "middle")
         near = cut(near.union(far.select("ancestor", "descendant", F.col("distance") + reach)))
@@ -90,8 +94,7 @@ def flattened(df: DataFrame, key: str, parent: str, order: str, collapsed: DataF
 
     What lies below collapsed nodes (a column of key's name) is left out.
     """
-    place = F.row_number().over(Window.partitionBy(parent).orderBy(order, key)) - 1
-    placed = df.select(F.col(key), F.col(parent), place.cast("bigint").alias("index"))
+    placed = ranked(df.select(key, parent, order), [order, key], parent, "_place").select(key, parent, (F.col("_place") - 1).alias("index"))
     placed = placed.withColumn("_name", F.lpad(F.col("index").cast("string"), 19, "0"))
     flat = paths(placed, key, parent, "_name").join(placed.select(key, "index"), key)
     if collapsed is not None:
@@ -116,14 +119,15 @@ def descends(pairs: DataFrame, df: DataFrame, key: str, parent: str) -> DataFram
     return pairs.join(known, ["node", "ancestor"], "left").select(*pairs.columns, F.coalesce("_is", F.lit(False)).alias("descends"))
 
 
-def reaches(references: dict[str, list[str]], start: str, goal: str) -> bool:
-    """Whether a collection refers to another, directly or through others; cycles end the walk."""
-    todo, seen = [start], set()
-    while todo:
-        at = todo.pop()
-        if at == goal and seen:
-            return True
-        if at not in seen:
-            seen.add(at)
-            todo += references.get(at, [])
-    return False
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): the starts (one column) and all that edges (a, b) lead to from them; cycles end the walk.
+
+    A round joins only what the last one found, so hubs and cycles are entered once; nulls on either side are no nodes.
+    """
+    front = found = cut(starts.select(F.col(starts.columns[0]).alias("node")).where("node is not null").distinct())
+    while True:
+        step = edges.join(front.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
+        front = cut(step.where("node is not null").distinct().join(found, "node", "left_anti"))
+        if front.isEmpty():
+            return found
+        found = cut(found.union(front))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collonade.functions.casts import FALSE_WORDS, TRUE_WORDS, parse_date, parse_tokens
+from collonade.operators.ordering import ranked
 
 COVERAGE = 0.7
 
@@ -60,5 +61,5 @@ def remapped(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def next_ids(df: DataFrame, order: Sequence[str], start: int, group: str) -> DataFrame:
-    """Add id: start + 1, 2, ... within each group."""
-    return df.withColumn("id", (F.lit(start) + F.row_number().over(Window.partitionBy(group).orderBy(*order))).cast("bigint"))
+    """Add id: start + 1, 2, ... within each group; places in range partitions, so that a large group is many tasks."""
+    return ranked(df, list(order), group, "id").withColumn("id", F.lit(start) + F.col("id"))

@@ -54,6 +54,15 @@ def page(df: DataFrame, number: int, per_page: int = PER_PAGE) -> DataFrame:
     return sliced(df, (max(1, number) - 1) * per_page, per_page)
 
 
+def late_page(df: DataFrame, key: str, order: Sequence[Column], number: int, per_page: int = PER_PAGE) -> DataFrame:
+    """A page whose other columns are read for its rows alone: only key and order are sorted, then the page's keys find their rows.
+
+    order should leave no ties.  The keys are at most MOST_PER_PAGE, which is what is broadcast.
+    """
+    keys = page(df.orderBy(*order).select(key), number, per_page)
+    return df.join(F.broadcast(keys), key, "left_semi").orderBy(*order)
+
+
 def page_counts(df: DataFrame, per_page: int) -> DataFrame:
     """One row: total, total_pages."""
     total = F.count("*")

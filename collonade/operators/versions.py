@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collonade.operators.ordering import ranked
 from collonade.operators.sorting import sliced
 
 NEWEST, EVERY = 50, 10
@@ -17,9 +18,8 @@ def newest(df: DataFrame, key: str, at: str, tie: str, n: int = NEWEST) -> DataF
 
 
 def with_snapshots(df: DataFrame, key: str, at: str, tie: str, every: int = EVERY) -> DataFrame:
-    """Add is_snapshot: true for each every-th version of a key."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(at, tie))
-    return df.withColumn("is_snapshot", n % every == 0)
+    """Add is_snapshot: true for each every-th version of a key; places in range partitions, so that a busy key is many tasks."""
+    return ranked(df, [at, tie], key, "_n").withColumn("is_snapshot", F.col("_n") % every == 0).drop("_n")
 
 
 def young(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:

@@ -72,7 +72,39 @@ def test_publish_is_idempotent(spark):
 def test_hierarchy(spark):
     tree = spark.createDataFrame([("a", None, "a"), ("b", "a", "b"), ("c", "b", "c"), ("x", "gone", "x"), ("r", None, "r")], "id string, parent string, name string")
     assert {(r.id, r.path) for r in hierarchy.paths(tree, "id", "parent", "name").collect()} == {("a", "a"), ("b", "a/b"), ("c", "a/b/c"), ("r", "r")}
-    assert hierarchy.reaches({"a": ["b"], "b": ["c"], "c": ["a"]}, "a", "c") and not hierarchy.reaches({"a": ["b"]}, "b", "a")
+
+
+def test_reachable_ends_in_cycles_and_hubs(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6), (6, 6), (7, None), (None, 8), (1, 2)] + [(4, i) for i in range(100, 150)], "a int, b int")
+    from_ = lambda *ids: {r.node for r in hierarchy.reachable(edges, spark.createDataFrame([(i,) for i in ids], "x int")).collect()}
+    assert from_(1) == {1, 2, 3, 4, *range(100, 150)} and from_(6) == {6} and from_(5, 7, None) == {5, 6, 7} and from_() == set()
+    assert from_(999) == {999}
+
+
+def test_small_cycle_beside_a_deep_line(spark):
+    line = [(i, i - 1 if i else None, f"n{i}") for i in range(40)] + [(-1, -7, "dangling"), (-2, -1, "below")]
+    cycle = [(1000, 1001, "x"), (1001, 1000, "y"), (1002, 1001, "z")]
+    kinds = "id int, parent int, name string"
+    clean = spark.createDataFrame(line, kinds)
+    assert {r.id: r.depth for r in hierarchy.paths(clean, "id", "parent", "name").collect()} == {i: i for i in range(40)}
+    assert hierarchy.closure(clean, "id", "parent").count() == 40 * 41 // 2 + 3
+    odd = spark.createDataFrame(line + cycle + [(i, None, "root") for i in range(2000, 4000)], kinds)
+    for f in (lambda: hierarchy.closure(odd, "id", "parent"), lambda: hierarchy.paths(odd, "id", "parent", "name")):
+        with pytest.raises(ValueError, match="cycle"):
+            f()
+
+
+def test_decoded_references(spark):
+    df = spark.createDataFrame([("a &AMP;lt; &#65;&#x1F600;&#xd800;&#0;&#1114112;&bogus; & &#0065;",), ("",), (None,), ("plain",), ("&" * 3 + "gt;",)], "v string")
+    assert column(df.select(text.decode_entities(F.col("v")).alias("x")), "x") == ["a &lt; A\U0001f600&#xd800;&#0;&#1114112;&bogus; & A", "", None, "plain", "&&>"]
+
+
+def test_late_page_reads_few_columns_for_its_sort(spark, data):
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    late = sorting.late_page(orders, "o_orderkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 2, 5)
+    want = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(5).collect()
+    assert late.select(orders.columns).collect() == want
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in late._jdf.queryExecution().toString() + late._jdf.queryExecution().executedPlan().treeString()
 
 
 def test_mapping():

@@ -1,6 +1,6 @@
 import pytest
 
-from collonade.plans import more, projects, publishing  # noqa: F401
+from collonade.plans import cells, more, projects, publishing  # noqa: F401
 from collonade.plans.queries import ORACLES, QUERIES
 from oracle import connection, differences
 
