@@ -187,7 +187,8 @@ def hmac_sha256(message: Column, key: str) -> Column:
 
 def rich_text(html: Column) -> Column:
     """Blocks of HTML (headings, paragraphs, quotes, list items) as a JSON document; marks within blocks are dropped."""
-    block = F.lit(r"(?is)<(h[1-6]|p|div|blockquote|li)\b[^>]*>((?:(?!</?(?:h[1-6]|p|div|blockquote|li)\b).)*)")
+    # Possessive runs between tags: the matcher keeps no state for each character, so that a block may be of any length.
+    block = F.lit(r"(?is)<(h[1-6]|p|div|blockquote|li)\b[^>]*>([^<]*+(?:<(?!/?(?:h[1-6]|p|div|blockquote|li)\b)[^<]*+)*+)")
     tags, bodies = F.regexp_extract_all(html, block, F.lit(1)), F.regexp_extract_all(html, block, F.lit(2))
     kind = lambda t: F.when(F.lower(t).rlike("^h[1-6]$"), "heading").when(F.lower(t) == "blockquote", "blockquote").when(F.lower(t) == "li", "listItem").otherwise("paragraph")
     level = lambda t: F.when(F.lower(t).rlike("^h[1-6]$"), F.substr(t, F.lit(2)).cast("int"))
@@ -199,7 +200,7 @@ def rich_text(html: Column) -> Column:
 
 def rich_text_plain(doc: Column) -> Column:
     """The texts of a JSON document in order, joined by single spaces."""
-    found = F.regexp_extract_all(doc, F.lit(r'"text":("(?:[^"\\]|\\.)*")'), F.lit(1))
+    found = F.regexp_extract_all(doc, F.lit(r'"text":("(?:[^"\\]++|\\.)*+")'), F.lit(1))
     texts = F.transform(found, lambda t: F.from_json(F.concat(F.lit('{"t":'), t, F.lit("}")), "t string")["t"])
     return F.trim(F.regexp_replace(F.array_join(texts, " "), r"\s+", " "))
 

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A quoted string of a JSON text.
-QUOTED = r'"((?:[^"\\]|\\.)+)"'
+#: A quoted string of a JSON text, of any length: possessive, so that the matcher keeps no state for each character.
+QUOTED = r'"((?:[^"\\]++|\\.)++)"'
 
 
 def strings_of(tree: Column) -> Column:

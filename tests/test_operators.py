@@ -1,12 +1,13 @@
 """Round trips and fixtures that no SQL query covers."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from collonade.functions import casts, text
-from collonade.operators import eav, hierarchy, inference, relations, snapshots, sorting
+from collonade.operators import eav, hierarchy, inference, relations, snapshots, sorting, usage
 from collonade.sources import files
 from collonade.streaming import forms
 
@@ -155,6 +156,13 @@ def test_rich_text(spark):
     assert plain == ['A & "b" one two x y', "bare"]
 
 
+def test_blocks_and_strings_of_any_length(spark):
+    words = 'a "b" \\ <i>c</i> ' * 20_000
+    df = spark.createDataFrame([(f"<p>{words}</p><li>end", json.dumps({"k": words}))], "v string, j string")
+    assert column(df.select(text.rich_text_plain(text.rich_text(F.col("v"))).alias("x")), "x") == ['a "b" \\ c ' * 20_000 + "end"]
+    assert column(df.select(usage.strings_of(F.col("j")).alias("x")), "x") == [["k", json.dumps(words)[1:-1]]]
+
+
 def test_slugs_are_unique_against_all_in_use(spark):
     df = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a-2"), (3, "a"), (4, "atrium"), (5, "b"), (6, ""), (7, "")], "i int, base string")
     got = {r.i: r.slug for r in text.unique_slugs(df, "base", "i", reserved=("atrium",)).collect()}
