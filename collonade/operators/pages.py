@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collonade.operators import hierarchy, trees
@@ -23,27 +23,23 @@ def with_layers(pages: DataFrame, layers: DataFrame, published: bool) -> DataFra
     return state(pages, published).join(own, "id")
 
 
-def content_hashes(rows: DataFrame, key: str, tree: str, plain: Sequence[str], ignore: Sequence[str] = EDITOR_ONLY) -> DataFrame:
-    """(key, hash): of a nested document and plain columns beside it, for whatever is published by comparing content."""
-    told = trees.hashes(rows, key, tree, ignore)
-    beside = rows.select(key, F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("_plain")) if plain else rows.select(key, F.lit("").alias("_plain"))
+def content_hashes(rows: DataFrame, key: str, tree: str, plain: Sequence[str], ignore: Sequence[str] = EDITOR_ONLY, kept: Sequence[str | Column] = ()) -> DataFrame:
+    """(kept columns, key, hash): of a nested document and plain columns beside it, for whatever is published by comparing content."""
+    told = trees.hashed(rows, tree, ignore, out="_told")
+    beside = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}) if plain else F.lit("")
     # A document that can't be read is told apart by its text.
-    raw = rows.select(key, F.coalesce(tree, F.lit("")).alias("_raw"))
-    both = told.join(beside, key).join(raw, key)
-    return both.select(key, F.sha2(F.concat(F.coalesce("hash", F.sha2("_raw", 256)), "_plain"), 256).alias("hash"))
+    raw = F.sha2(F.coalesce(tree, F.lit("")), 256)
+    return told.select(*kept, key, F.sha2(F.concat(F.coalesce("_told", raw), beside), 256).alias("hash"))
 
 
 def unpublished(pages: DataFrame, layers: DataFrame, metadata: Sequence[str] = METADATA) -> DataFrame:
     """(id, status, metadata_changed, layers_changed, moved) of every draft page with layers: new, changed or same against its published twin.
 
     pages have id, folder_id and is_published, layers page_id, layers (JSON) and styles; both are of both states, and hashes are made anew from
-    the content, so they can't be stale.  Both states' trees are hashed in one pass.
+    the content, so they can't be stale.
     """
-    both = with_layers(pages, layers, False).unionByName(with_layers(pages, layers, True))
-    named = cut(both.withColumn("_key", F.struct("id", "is_published")))
-    hashed = content_hashes(named, "_key", "layers", ["styles"]).select(F.col("_key.id").alias("id"), F.col("_key.is_published").alias("is_published"), "hash")
-    known = named.select("id", "is_published", "folder_id", F.struct(*metadata).alias("m")).join(hashed, ["id", "is_published"])
-    draft, twin = known.where("not is_published"), known.where("is_published").select("id", F.col("folder_id").alias("_folder"), F.col("m").alias("_m"), F.col("hash").alias("_hash"), F.lit(True).alias("_there"))
+    of = lambda published: content_hashes(with_layers(pages, layers, published), "id", "layers", ["styles"], kept=["folder_id", F.struct(*metadata).alias("m")])
+    draft, twin = of(False), of(True).select("id", F.col("folder_id").alias("_folder"), F.col("m").alias("_m"), F.col("hash").alias("_hash"), F.lit(True).alias("_there"))
     joined = draft.join(twin, "id", "left")
     there = F.col("_there").isNotNull()
     differs = lambda a, b: there & ~F.col(a).eqNullSafe(F.col(b))

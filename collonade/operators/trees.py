@@ -1,9 +1,8 @@
-"""Nested JSON of any depth as rows, and canonical hashes of it.
+"""Nested JSON of any depth as leaves, and canonical hashes of it.
 
-A tree is opened level by level: each round takes the values below the last one's out of their
-variants, without a shuffle, until nothing is nested any more.  Hashes are then made from the
-deepest level up, where each node is a grouped aggregate over its children, so that one huge document is
-many small groups.
+A tree is opened inside its row: each round puts what is below the last one's nodes in their place, until only
+scalars and empty ones are left, each with its path.  Nothing is shuffled, and a tree takes no more than its own
+text and paths in memory.  How many rounds there are is told by the deepest text.
 """
 
 from __future__ import annotations
@@ -18,71 +17,86 @@ from collonade.sources.folders import cut
 
 #: Between the steps of a path; escaped where a name holds it.
 STEP = "/"
+#: Rounds in one expression; deeper trees go on from a checkpoint.
+ROUNDS = 12
 
 
-def levels(df: DataFrame, key: str, tree: str, ignore: Sequence[str] = ()) -> list[DataFrame]:
-    """For each depth (key, path, parent, step, at, text): a node's path, its parent's, its own step as text, its place, and its JSON if it has no children.
+def depth(tree: Column) -> Column:
+    """How deep the brackets of a JSON text are nested, those in its strings left out."""
+    brackets = F.regexp_replace(F.regexp_replace(tree, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    The step of an attribute is its name, that of an element its place in brackets.  Attributes named in ignore are left out with all
-    below them.  Text that is no JSON has no rows; the root's path is ''.
-    """
-    none, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-    now = df.select(F.col(key).alias("key"), F.lit("").alias("path"), none.alias("parent"), none.alias("step"), F.lit(0).alias("at"), F.try_parse_json(F.col(tree)).alias("v")).where("v IS NOT NULL")
-    spark, out = df.sparkSession, []
-    while True:
-        opened = cut(spark.sql("SELECT n.key, n.path, n.parent, n.step, n.at, n.v, c.pos, c.key AS name, c.value FROM {now} n, LATERAL variant_explode_outer(n.v) c", now=now))
-        # Scalars and empty ones give one row without a place.
-        leaf = F.col("pos").isNull()
-        text = F.when(leaf, F.to_json("v"))
-        first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-        out.append(opened.where(first).select("key", "path", "parent", "step", "at", text.alias("text")))
-        name = F.col("name")
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step, lambda a: a["most"])
+
+
+def _node(path: Column, v: Column | None = None, text: Column | None = None) -> Column:
+    v, text = F.lit(None).cast("variant") if v is None else v, F.lit(None).cast("string") if text is None else text
+    return F.struct(path.alias("path"), v.alias("v"), text.alias("text"))
+
+
+def _opened(nodes: Column, ignore: Sequence[str]) -> Column:
+    """The nodes with what is below each in its place; scalars and empty ones become their text."""
+    kinds = F.transform(nodes, lambda n: F.struct(n.alias("n"), F.try_variant_get(n["v"], "$", "map<string,variant>").alias("m"), F.try_variant_get(n["v"], "$", "array<variant>").alias("a")))
+
+    def named(path: Column, e: Column) -> Column:
+        name = e["key"]
         for mark, safe in (("~", "~0"), (STEP, "~1"), ("[", "~2")):
             name = F.replace(name, F.lit(mark), F.lit(safe))
-        step = F.coalesce(name, F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        below = opened.where(~leaf)
+        return _node(F.concat(path, F.lit(STEP), name), e["value"])
+
+    def below(x: Column) -> Column:
+        path = x["n"]["path"]
+        entries = F.map_entries(x["m"])
         if ignore:
-            below = below.where(F.col("name").isNull() | ~F.col("name").isin(*ignore))
-        now = below.select("key", F.concat("path", F.lit(STEP), step).alias("path"), F.col("path").alias("parent"), step.alias("step"), F.col("pos").alias("at"), F.col("value").alias("v"))
-        if now.isEmpty():
-            return out
+            entries = F.filter(entries, lambda e: ~e["key"].isin(*ignore))
+        # An object without attributes left, as all are ignored, is like an empty one.
+        of_object = F.transform(entries, lambda e: named(path, e))
+        of_array = F.transform(x["a"], lambda v, i: _node(F.concat(path, F.lit(STEP + "["), i.cast("string"), F.lit("]")), v))
+        some = lambda c, empty: F.transform(F.array(c), lambda y: F.when(F.size(y) > 0, y).otherwise(F.array(_node(path, text=F.lit(empty)))))[0]
+        return F.when(x["n"]["text"].isNotNull(), F.array(x["n"])).when(x["m"].isNotNull(), some(of_object, "{}")).when(x["a"].isNotNull(), some(of_array, "[]")).otherwise(F.array(_node(path, text=F.to_json(x["n"]["v"]))))
 
+    return F.flatten(F.transform(kinds, below))
 
-def nodes(df: DataFrame, key: str, tree: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """All levels in one: (key, path, parent, step, at, text)."""
-    return reduce(DataFrame.union, levels(df, key, tree, ignore)).withColumnRenamed("key", key)
 
+def leaves(df: DataFrame, tree: str, ignore: Sequence[str] = (), out: str = "_leaves") -> DataFrame:
+    """Add out: an array of (path, text), the path and JSON of each scalar and of each empty object and array of the tree.
 
-def hashes(df: DataFrame, key: str, tree: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """(key, hash): SHA-256 over each tree; the order of attributes and white space don't matter, the order of elements does.
+    The step of an attribute is its name, that of an element its place in brackets; the root's path is ''.  Attributes named in ignore
+    are left out with all below them.  Null where the text is null or no JSON.
+    """
+    parsed, deep = F.try_parse_json(F.col(tree)), depth(F.col(tree))
+    # Only what can be read counts, so that no text asks for more rounds than a parser opens.
+    most = df.agg(F.max(F.when((deep <= ROUNDS) | parsed.isNotNull(), deep))).first()[0] or 0
+    df = df.withColumn(out, F.when(parsed.isNotNull(), F.array(_node(F.lit(""), parsed))))
+    for i in range(1, most + 2):
+        df = df.withColumn(out, _opened(F.col(out), ignore))
+        if i % ROUNDS == 0:
+            df = cut(df)
+    return df.withColumn(out, F.transform(out, lambda n: F.struct(n["path"], n["text"])))
+
+
+def hashed(df: DataFrame, tree: str, ignore: Sequence[str] = (), out: str = "hash") -> DataFrame:
+    """Add out: SHA-256 over each tree; the order of attributes and white space don't matter, the order of elements does.
 
-    Attributes named in ignore (what only an editor needs) don't matter either.  A key must have one row; a null or unreadable tree
-    has a null hash.
+    Attributes named in ignore (what only an editor needs) don't matter either.  A null or unreadable tree has a null hash.
     """
-    found = levels(df, key, tree, ignore)
-    # A node without children left, as all are ignored, is like an empty one.
-    own = lambda level: level.select("key", "path", "parent", "step", "at", "text")
-    above = None
-    for level in reversed(found):
-        hashed = own(level)
-        if above is None:
-            hashed = hashed.withColumn("hash", F.sha2(F.coalesce("text", F.lit("{}")), 256))
-        else:
-            # Attributes by name, elements by place: a place of many digits comes after one of few.
-            order = F.struct(F.when(F.col("step").startswith("["), F.col("at")).otherwise(0).alias("at"), F.col("step").alias("step"), F.col("hash").alias("hash"))
-            kinds = above.groupBy("key", F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(order)).alias("c"))
-            part = lambda c: F.concat(F.regexp_replace(c["step"], r"^\[[0-9]+\]$", "[]"), F.lit("="), c["hash"])
-            inner = kinds.select("key", "path", F.sha2(F.array_join(F.transform("c", part), ","), 256).alias("inner"))
-            hashed = hashed.join(inner, ["key", "path"], "left").withColumn("hash", F.coalesce("inner", F.sha2(F.coalesce("text", F.lit("{}")), 256))).drop("inner")
-        above = cut(hashed)
-    return df.select(key).join(above.select(F.col("key").alias(key), "hash"), key, "left")
+    return leaves(df, tree, ignore).withColumn(out, F.sha2(F.to_json(F.sort_array("_leaves")), 256)).drop("_leaves")
+
+
+def hashes(df: DataFrame, key: str, tree: str, ignore: Sequence[str] = ()) -> DataFrame:
+    """(key, hash) of each row, as hashed() has it."""
+    return hashed(df.select(key, tree), tree, ignore).select(key, "hash")
 
 
 def strings(df: DataFrame, key: str, tree: str) -> DataFrame:
     """An inverted index (key, path, value) of all strings of the trees; places in lists are written [] in the path."""
-    leaves = nodes(df, key, tree).where(F.col("text").startswith('"'))
-    plain: Column = F.from_json(F.concat(F.lit('{"t":'), F.col("text"), F.lit("}")), "t string")["t"]
-    return leaves.select(key, F.regexp_replace("path", r"/\[[0-9]+\](?=/|$)", "[]").alias("path"), plain.alias("value"), F.col("path").alias("exact"))
+    found = leaves(df.select(key, tree), tree).select(key, F.explode(F.filter("_leaves", lambda n: F.startswith(n["text"], F.lit('"')))).alias("n"))
+    plain: Column = F.from_json(F.concat(F.lit('{"t":'), F.col("n.text"), F.lit("}")), "t string")["t"]
+    return found.select(key, F.regexp_replace("n.path", r"/\[[0-9]+\](?=/|$)", "[]").alias("path"), plain.alias("value"), F.col("n.path").alias("exact"))
 
 
 def bound(index: DataFrame, key: str, ids: DataFrame, id: str, places: Sequence[str], typed: Sequence[tuple[str, str, str]] = ()) -> DataFrame:

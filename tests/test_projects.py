@@ -139,6 +139,14 @@ def test_hashes_of_trees(spark):
     assert trees.hashes(spark.createDataFrame([], "id int, tree string"), "id", "tree").count() == 0
 
 
+def test_hashes_of_deep_trees(spark):
+    """Deeper than one expression opens; a text that only looks deep asks for no rounds."""
+    deep = lambda x, n=30: '{"a":[' * n + x + "]}" * n
+    rows = [(1, deep("1")), (2, deep(" 1 ")), (3, deep("2")), (4, deep('{"open":[[1]]}')), (5, deep("{}")), (6, "[" * 5000), (7, '"' + "[" * 5000 + '"')]
+    h = {r.id: r.hash for r in trees.hashes(spark.createDataFrame(rows, "id int, tree string"), "id", "tree", ["open"]).collect()}
+    assert h[1] == h[2] != h[3] and h[4] == h[5] != h[1] and h[6] is None and h[7] is not None
+
+
 def test_pages_of_orders_without_lines(spark, data):
     """Each has one section, which counts as changed where the deep value does."""
     t = Tables(spark, data)
@@ -149,6 +157,12 @@ def test_pages_of_orders_without_lines(spark, data):
     assert len(got) == 30 and all(v == (("changed", True) if k % 10 == 5 else ("same", False)) for k, v in got.items())
 
 
+def test_changed_components_are_not_broadcast(spark, data):
+    """Their hashes are larger than the table's size tells."""
+    plan = projects.n25_changed_components(Tables(spark, data))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_ids_and_labels_are_told_apart(spark):
     docs = [(1, '{"sort_by":"f1","name":"f2"}'), (2, '[{"x":[{"fieldId":"f2"}]}]'), (3, '{"t":{"type":"field","data":{"field_id":"f1"}}}'), (4, '{"t":{"type":"asset","data":{"field_id":"f1"}}}'), (5, '{"data":{"field_id":"f1"},"other":{"type":"field"}}'), (6, '{"sort_by":"f\\u0031"}')]
     index = trees.strings(spark.createDataFrame(docs, "id int, tree string"), "id", "tree")
