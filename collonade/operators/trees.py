@@ -17,6 +17,7 @@ from collonade.sources.folders import cut
 
 #: Between the steps of a path; escaped where a name holds it.
 STEP = "/"
+MARKS = (("~", "~0"), (STEP, "~1"), ("[", "~2"))
 #: Rounds in one expression; deeper trees go on from a checkpoint.
 ROUNDS = 12
 
@@ -33,6 +34,12 @@ def depth(tree: Column) -> Column:
     return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step, lambda a: a["most"])
 
 
+def deepest(df: DataFrame, tree: str) -> int:
+    """The depth of the deepest tree that can be read: a parser opens only so many levels, so no text asks for more rounds than that."""
+    deep = depth(F.col(tree))
+    return df.agg(F.max(F.when((deep <= ROUNDS) | F.try_parse_json(F.col(tree)).isNotNull(), deep))).first()[0] or 0
+
+
 def _node(path: Column, v: Column | None = None, text: Column | None = None) -> Column:
     v, text = F.lit(None).cast("variant") if v is None else v, F.lit(None).cast("string") if text is None else text
     return F.struct(path.alias("path"), v.alias("v"), text.alias("text"))
@@ -44,7 +51,7 @@ def _opened(nodes: Column, ignore: Sequence[str]) -> Column:
 
     def named(path: Column, e: Column) -> Column:
         name = e["key"]
-        for mark, safe in (("~", "~0"), (STEP, "~1"), ("[", "~2")):
+        for mark, safe in MARKS:
             name = F.replace(name, F.lit(mark), F.lit(safe))
         return _node(F.concat(path, F.lit(STEP), name), e["value"])
 
@@ -68,9 +75,8 @@ def leaves(df: DataFrame, tree: str, ignore: Sequence[str] = (), out: str = "_le
     The step of an attribute is its name, that of an element its place in brackets; the root's path is ''.  Attributes named in ignore
     are left out with all below them.  Null where the text is null or no JSON.
     """
-    parsed, deep = F.try_parse_json(F.col(tree)), depth(F.col(tree))
-    # Only what can be read counts, so that no text asks for more rounds than a parser opens.
-    most = df.agg(F.max(F.when((deep <= ROUNDS) | parsed.isNotNull(), deep))).first()[0] or 0
+    parsed = F.try_parse_json(F.col(tree))
+    most = deepest(df, tree)
     df = df.withColumn(out, F.when(parsed.isNotNull(), F.array(_node(F.lit(""), parsed))))
     for i in range(1, most + 2):
         df = df.withColumn(out, _opened(F.col(out), ignore))
@@ -93,10 +99,23 @@ def hashes(df: DataFrame, key: str, tree: str, ignore: Sequence[str] = ()) -> Da
 
 
 def strings(df: DataFrame, key: str, tree: str) -> DataFrame:
-    """An inverted index (key, path, value) of all strings of the trees; places in lists are written [] in the path."""
-    found = leaves(df.select(key, tree), tree).select(key, F.explode(F.filter("_leaves", lambda n: F.startswith(n["text"], F.lit('"')))).alias("n"))
-    plain: Column = F.from_json(F.concat(F.lit('{"t":'), F.col("n.text"), F.lit("}")), "t string")["t"]
-    return found.select(key, F.regexp_replace("n.path", r"/\[[0-9]+\](?=/|$)", "[]").alias("path"), plain.alias("value"), F.col("n.path").alias("exact"))
+    """An inverted index (key, path, value) of all strings of the trees; places in lists are written [] in the path.
+
+    Strings are rows of their own, so the rounds are explodes of one plan: what is a leaf stays as it is in the later ones.
+    """
+    spark, name = df.sparkSession, F.col("name")
+    for mark, safe in MARKS:
+        name = F.replace(name, F.lit(mark), F.lit(safe))
+    step = F.coalesce(name, F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+    now = df.select(F.col(key).alias("key"), F.lit("").alias("path"), F.try_parse_json(F.col(tree)).alias("v")).where("v IS NOT NULL")
+    for i in range(1, deepest(df, tree) + 1):
+        opened = spark.sql("SELECT n.key, n.path, n.v, c.pos, c.key AS name, c.value FROM {now} n, LATERAL variant_explode_outer(n.v) c", now=now)
+        below = F.col("pos").isNotNull()
+        now = opened.select("key", F.when(below, F.concat("path", F.lit(STEP), step)).otherwise(F.col("path")).alias("path"), F.when(below, F.col("value")).otherwise(F.col("v")).alias("v"))
+        if i % ROUNDS == 0:
+            now = cut(now)
+    found = now.where(F.schema_of_variant("v") == "STRING")
+    return found.select(F.col("key").alias(key), F.regexp_replace("path", r"/\[[0-9]+\](?=/|$)", "[]").alias("path"), F.variant_get("v", "$", "string").alias("value"), F.col("path").alias("exact"))
 
 
 def bound(index: DataFrame, key: str, ids: DataFrame, id: str, places: Sequence[str], typed: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
@@ -105,14 +124,18 @@ def bound(index: DataFrame, key: str, ids: DataFrame, id: str, places: Sequence[
     typed has (place, mark, value): the place counts if the string at mark, which is beside the object that holds the place's last step, is value.  A label with the
     same text as an id stands at none of them.
     """
-    wanted = ids.select(F.col(id).cast("string").alias("value"))
-    held = index.join(wanted, "value", "left_semi")
     ends = lambda place: F.col("path").endswith(STEP + place)
-    found = [held.where(reduce(lambda a, b: a | b, [ends(p) for p in places], F.lit(False))).select(key, "value", "path")]
-    for place, mark, value in typed:
-        depth = place.count(STEP) + 1
-        stem = F.regexp_replace("exact", rf"(/[^/]*){{{depth}}}$", "")
-        marks = index.where(ends(mark) & (F.col("value") == value)).select(key, F.regexp_replace("exact", r"/[^/]*$", "").alias("_stem")).distinct()
-        near = held.where(ends(place)).withColumn("_stem", stem).join(marks, [key, "_stem"], "left_semi")
-        found.append(near.select(key, "value", "path"))
-    return reduce(DataFrame.union, found).withColumnRenamed("value", id).distinct()
+    hit = lambda rule, stem, mark: F.struct(F.lit(rule).alias("rule"), stem.alias("stem"), F.lit(mark).alias("mark"))
+    # Rule 0 needs no mark: each place stands for itself.  All rules are looked for in one pass.
+    hits = [F.when(reduce(lambda a, b: a | b, [ends(p) for p in places], F.lit(False)), hit(0, F.col("exact"), True))]
+    for rule, (place, mark, value) in enumerate(typed, 1):
+        steps = place.count(STEP) + 1
+        hits.append(F.when(ends(place), hit(rule, F.regexp_replace("exact", rf"(/[^/]*){{{steps}}}$", ""), False)))
+        hits.append(F.when(ends(mark) & (F.col("value") == value), hit(rule, F.regexp_replace("exact", r"/[^/]*$", ""), True)))
+    found = index.select(key, "value", "path", F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "value", "path", "h.*")
+    # A mark has no place of its own but with rule 0.
+    stands = F.when(~F.col("mark") | (F.col("rule") == 0), F.struct("value", "path"))
+    grouped = found.groupBy(key, "rule", "stem").agg(F.max("mark").alias("marked"), F.collect_list(stands).alias("at")).where("marked")
+    told = grouped.select(key, F.inline("at")).select(key, "value", "path")
+    wanted = ids.select(F.col(id).cast("string").alias("value"))
+    return told.join(wanted, "value", "left_semi").select(key, F.col("value").alias(id), "path").distinct()

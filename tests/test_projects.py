@@ -171,6 +171,16 @@ def test_ids_and_labels_are_told_apart(spark):
     assert sorted((r.id, r.field) for r in found.collect()) == [(1, "f1"), (2, "f2"), (3, "f1"), (6, "f1")]
 
 
+def test_strings_take_one_plan(spark):
+    """Levels that fit one expression are opened without a checkpoint between them, deeper ones are found too."""
+    below = lambda n: '{"a":[' * n + '{"sss":"f1","e":[],"n":1}' + "]}" * n
+    index = trees.strings(spark.createDataFrame([(1, below(4)), (2, '"f1"'), (3, "[")], "id int, tree string"), "id", "tree")
+    assert "Scan ExistingRDD[key" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, index.select("id", "path", "value").collect())) == [(1, "/a[]" * 4 + "/sss", "f1"), (2, "", "f1")]
+    deep = trees.strings(spark.createDataFrame([(1, below(20))], "id int, tree string"), "id", "tree")
+    assert [r.path for r in deep.collect()] == ["/a[]" * 20 + "/sss"]
+
+
 def test_variables(spark):
     tag = lambda s: f"<v>{s}</v>"
     field = lambda **d: tag(json.dumps({"type": "field", "data": d}))
