@@ -38,18 +38,28 @@ def resolved(text: Column, own: Column, page: Column | None = None, layers: Colu
     tags = F.regexp_extract_all(whole, F.lit(f"({pattern})"), F.lit(1))
     between = F.split(whole, pattern, -1)
 
-    def value(t: Column) -> Column:
+    # Each step is an array of its own, so that what a later one names twice is made once.
+    def parsed(t: Column) -> Column:
         body = F.trim(F.substr(t, F.lit(len(tag) + 3), F.length(t) - (2 * len(tag) + 5)))
-        v = F.try_parse_json(body)
-        get = lambda p: F.try_variant_get(v, p, "string")
-        more = F.filter(F.coalesce(F.try_variant_get(v, "$.data.relationships", "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
+        return F.struct(t.alias("tag"), F.try_parse_json(body).alias("v"))
+
+    def read(x: Column) -> Column:
+        get = lambda p: F.try_variant_get(x["v"], p, "string")
+        more = F.filter(F.coalesce(F.try_variant_get(x["v"], "$.data.relationships", "array<string>"), F.array().cast("array<string>")), lambda y: y.isNotNull())
         field = get("$.data.field_id")
-        found = looked_up(F.array_join(F.concat(F.array(field), more), "."), get("$.data.source"), get("$.data.collection_layer_id"), own, page, layers)
-        kind = get("$.data.field_type")
-        shown = F.when(kind == "rich_text", displayed(found, "rich_text")).when(kind == "date", displayed(found, "date", zone)).otherwise(F.coalesce(found, F.lit("")))
-        return F.when((get("$.type") == "field") & (field != ""), shown).otherwise(t)
+        path = F.when((get("$.type") == "field") & (field != ""), F.array_join(F.concat(F.array(field), more), "."))
+        return F.struct(x["tag"].alias("tag"), path.alias("path"), get("$.data.source").alias("source"), get("$.data.collection_layer_id").alias("layer"), get("$.data.field_type").alias("kind"))
+
+    def filled(x: Column) -> Column:
+        found = F.when(x["path"].isNotNull(), looked_up(x["path"], x["source"], x["layer"], own, page, layers))
+        return F.struct(x["tag"].alias("tag"), x["path"].alias("path"), x["kind"].alias("kind"), found.alias("found"))
+
+    def value(x: Column) -> Column:
+        shown = F.when(x["kind"] == "rich_text", displayed(x["found"], "rich_text")).when(x["kind"] == "date", displayed(x["found"], "date", zone)).otherwise(F.coalesce(x["found"], F.lit("")))
+        return F.when(x["path"].isNotNull(), shown).otherwise(x["tag"])
 
-    values = F.when(own.isNull() & page.isNull(), F.transform(tags, lambda t: F.lit(""))).otherwise(F.transform(tags, value))
+    filled_tags = F.transform(F.transform(F.transform(tags, parsed), read), filled)
+    values = F.when(own.isNull() & page.isNull(), F.transform(tags, lambda t: F.lit(""))).otherwise(F.transform(filled_tags, value))
     return F.concat_ws("", F.flatten(F.zip_with(between, values, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))))
 
 

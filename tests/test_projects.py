@@ -181,6 +181,13 @@ def test_strings_take_one_plan(spark):
     assert [r.path for r in deep.collect()] == ["/a[]" * 20 + "/sss"]
 
 
+def test_a_tag_is_parsed_once(spark):
+    """Whatever is asked of it: the JSON of a tag, and the found value that may be rich text, are each parsed in one place."""
+    none = F.lit(None).cast("map<string,string>")
+    df = spark.range(1).select(variables.resolved(F.lit("x"), none, none).alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("try_parse_json") == 2
+
+
 def test_variables(spark):
     tag = lambda s: f"<v>{s}</v>"
     field = lambda **d: tag(json.dumps({"type": "field", "data": d}))
