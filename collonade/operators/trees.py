@@ -1,12 +1,14 @@
-"""Nested JSON of any depth as leaves, and canonical hashes of it.
+"""Nested JSON of any depth as rows of strings, and canonical hashes of it.
 
-A tree is opened inside its row: each round puts what is below the last one's nodes in their place, until only
-scalars and empty ones are left, each with its path.  Nothing is shuffled, and a tree takes no more than its own
-text and paths in memory.  How many rounds there are is told by the deepest text.
+A tree is opened in rounds, each an explode: what is below the last one's nodes takes their place, until only
+scalars and empty ones are left, each with its path.  How many rounds there are is told by the deepest text.  A hash
+is that of the canonical text, made in the tree's row.  Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,13 +20,15 @@ from collonade.sources.folders import cut
 #: Between the steps of a path; escaped where a name holds it.
 STEP = "/"
 MARKS = (("~", "~0"), (STEP, "~1"), ("[", "~2"))
-#: Rounds in one expression; deeper trees go on from a checkpoint.
+#: Rounds in one plan; deeper trees go on from a checkpoint.
 ROUNDS = 12
+#: A string of a JSON text.
+TEXT = r'"(?:[^"\\]++|\\.)*+"'
 
 
 def depth(tree: Column) -> Column:
     """How deep the brackets of a JSON text are nested, those in its strings left out."""
-    brackets = F.regexp_replace(F.regexp_replace(tree, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    brackets = F.regexp_replace(F.regexp_replace(tree, TEXT, ""), r"[^\[\]{}]+", "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(a: Column, c: Column) -> Column:
@@ -40,49 +44,24 @@ def deepest(df: DataFrame, tree: str) -> int:
     return df.agg(F.max(F.when((deep <= ROUNDS) | F.try_parse_json(F.col(tree)).isNotNull(), deep))).first()[0] or 0
 
 
-def _node(path: Column, v: Column | None = None, text: Column | None = None) -> Column:
-    v, text = F.lit(None).cast("variant") if v is None else v, F.lit(None).cast("string") if text is None else text
-    return F.struct(path.alias("path"), v.alias("v"), text.alias("text"))
+def canonical(df: DataFrame, tree: str, ignore: Sequence[str] = (), out: str = "_canonical") -> DataFrame:
+    """Add out: each tree as JSON without white space, its attributes in order of their names, those named in ignore left out with all below them.
 
-
-def _opened(nodes: Column, ignore: Sequence[str]) -> Column:
-    """The nodes with what is below each in its place; scalars and empty ones become their text."""
-    kinds = F.transform(nodes, lambda n: F.struct(n.alias("n"), F.try_variant_get(n["v"], "$", "map<string,variant>").alias("m"), F.try_variant_get(n["v"], "$", "array<variant>").alias("a")))
-
-    def named(path: Column, e: Column) -> Column:
-        name = e["key"]
-        for mark, safe in MARKS:
-            name = F.replace(name, F.lit(mark), F.lit(safe))
-        return _node(F.concat(path, F.lit(STEP), name), e["value"])
-
-    def below(x: Column) -> Column:
-        path = x["n"]["path"]
-        entries = F.map_entries(x["m"])
-        if ignore:
-            entries = F.filter(entries, lambda e: ~e["key"].isin(*ignore))
-        # An object without attributes left, as all are ignored, is like an empty one.
-        of_object = F.transform(entries, lambda e: named(path, e))
-        of_array = F.transform(x["a"], lambda v, i: _node(F.concat(path, F.lit(STEP + "["), i.cast("string"), F.lit("]")), v))
-        some = lambda c, empty: F.transform(F.array(c), lambda y: F.when(F.size(y) > 0, y).otherwise(F.array(_node(path, text=F.lit(empty)))))[0]
-        return F.when(x["n"]["text"].isNotNull(), F.array(x["n"])).when(x["m"].isNotNull(), some(of_object, "{}")).when(x["a"].isNotNull(), some(of_array, "[]")).otherwise(F.array(_node(path, text=F.to_json(x["n"]["v"]))))
-
-    return F.flatten(F.transform(kinds, below))
-
-
-def leaves(df: DataFrame, tree: str, ignore: Sequence[str] = (), out: str = "_leaves") -> DataFrame:
-    """Add out: an array of (path, text), the path and JSON of each scalar and of each empty object and array of the tree.
-
-    The step of an attribute is its name, that of an element its place in brackets; the root's path is ''.  Attributes named in ignore
-    are left out with all below them.  Null where the text is null or no JSON.
+    An object of which nothing is left is an empty one.  Null where the text is null or no JSON.
     """
-    parsed = F.try_parse_json(F.col(tree))
-    most = deepest(df, tree)
-    df = df.withColumn(out, F.when(parsed.isNotNull(), F.array(_node(F.lit(""), parsed))))
-    for i in range(1, most + 2):
-        df = df.withColumn(out, _opened(F.col(out), ignore))
-        if i % ROUNDS == 0:
-            df = cut(df)
-    return df.withColumn(out, F.transform(out, lambda n: F.struct(n["path"], n["text"])))
+    whole = F.to_json(F.try_parse_json(F.col(tree)))
+    if not ignore:
+        return df.withColumn(out, whole)
+    # How deep an ignored value may be, which is as deep as the pattern must go: by the texts that may hold one, be it written with escapes.
+    may = F.col(tree).rlike("|".join([r"\\", *(re.escape(json.dumps(n, ensure_ascii=False)) for n in ignore)]))
+    inner = ""
+    for _ in range(deepest(df.where(may), tree)):
+        inner = rf'[\[{{](?:{TEXT}|[^\[\]{{}}"]++{"|" + inner if inner else ""})*+[\]}}]'
+    value = "|".join(x for x in (TEXT, inner, r"[^\[\]{},\"]++") if x)
+    names = "|".join(re.escape(json.dumps(n, ensure_ascii=False)) for n in ignore)
+    # A quote next to a brace or comma is the start of a name or the end of a text, and no colon follows a text.
+    first = F.regexp_replace(whole, rf"(?<=\{{)(?:(?:{names}):(?:{value})(?:,|(?=\}})))++", "")
+    return df.withColumn(out, F.regexp_replace(first, rf",(?:{names}):(?:{value})", ""))
 
 
 def hashed(df: DataFrame, tree: str, ignore: Sequence[str] = (), out: str = "hash") -> DataFrame:
@@ -90,7 +69,7 @@ def hashed(df: DataFrame, tree: str, ignore: Sequence[str] = (), out: str = "has
 
     Attributes named in ignore (what only an editor needs) don't matter either.  A null or unreadable tree has a null hash.
     """
-    return leaves(df, tree, ignore).withColumn(out, F.sha2(F.to_json(F.sort_array("_leaves")), 256)).drop("_leaves")
+    return canonical(df, tree, ignore).withColumn(out, F.sha2("_canonical", 256)).drop("_canonical")
 
 
 def hashes(df: DataFrame, key: str, tree: str, ignore: Sequence[str] = ()) -> DataFrame:

@@ -163,6 +163,28 @@ def test_changed_components_are_not_broadcast(spark, data):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def without(tree, names):
+    if isinstance(tree, dict):
+        return {k: without(v, names) for k, v in tree.items() if k not in names}
+    return [without(x, names) for x in tree] if isinstance(tree, list) else tree
+
+
+def test_ignored_attributes_of_any_value(spark):
+    """Wherever they stand, one after another, below each other, and where a text only looks like one."""
+    rng, names = random.Random(5), ["open", 'o"p']
+
+    def made(depth):
+        kind = rng.randrange(4) if depth else 3
+        if kind < 2:
+            return {k: made(depth - 1) for k in rng.sample(["a", "open", 'o"p', "z", '{"open', ',"open":1'], rng.randrange(6))}
+        return [made(depth - 1) for _ in range(rng.randrange(4))] if kind == 2 else rng.choice([None, 7, "{", ',"open":', '"open"', "a,", "\\", 'x\\"', True])
+
+    cases = [made(6) for _ in range(300)]
+    df = spark.createDataFrame([(i, json.dumps(c), json.dumps(without(c, names))) for i, c in enumerate(cases)], "id int, whole string, bare string")
+    got, want = ({r.id: r.hash for r in trees.hashes(df, "id", c, ig).collect()} for c, ig in (("whole", names), ("bare", [])))
+    assert got == want and len(set(want.values())) > 50
+
+
 def test_ids_and_labels_are_told_apart(spark):
     docs = [(1, '{"sort_by":"f1","name":"f2"}'), (2, '[{"x":[{"fieldId":"f2"}]}]'), (3, '{"t":{"type":"field","data":{"field_id":"f1"}}}'), (4, '{"t":{"type":"asset","data":{"field_id":"f1"}}}'), (5, '{"data":{"field_id":"f1"},"other":{"type":"field"}}'), (6, '{"sort_by":"f\\u0031"}')]
     index = trees.strings(spark.createDataFrame(docs, "id int, tree string"), "id", "tree")
