@@ -47,8 +47,8 @@ SEED, RADIUS, SHARD = 42, 3, 4096
 SIMILAR = 0.8
 # These only set the cost. One text in SAMPLED is counted for the order of shingles, of which HEAVY are told apart. A shingle's
 # texts that aren't linked yet are all compared if that is at most LIGHT pairs for each, or after rounds with CENTRES of them: ROUNDS, or
-# as many as link anything.
-SAMPLED, HEAVY, LIGHT, ROUNDS, CENTRES = 64, 100_000, 128, 6, 4
+# as many as link one in YIELD of the places still open.
+SAMPLED, HEAVY, LIGHT, ROUNDS, CENTRES, YIELD = 64, 100_000, 128, 6, 4, 1000
 #: Counts of a set's members by their last bits, of which two sets have at most the lesser ones in common.
 BINS = 256
 #: First shingles that texts are compared by if at most half of theirs are frequent.
@@ -248,13 +248,21 @@ def with_prefixes(docs: DataFrame, words: int, similar: float, key: str = "doc_i
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint, sid bigint, n bigint, prefix array<bigint>")
 
 
+def with_sides(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The kept pairs (a, b) with a column of their sets as p and q; only the sets that are in a pair are shuffled."""
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sets-in-pairs")
+    own = join_sized(sets.select("sid", name), wanted, "sid", "left_semi")
+    side = lambda c, to: own.select(F.col("sid").alias(c), F.col(name).alias(to))
+    return pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
+
+
 def similar_links(docs: DataFrame, prefixes: DataFrame, words: int, similar: float = SIMILAR, text: str = "text") -> DataFrame:
     """(node, root) over the links between sets (sid, n, prefix) whose Jaccard similarity is at least ``similar``.
 
     Of the texts that share a shingle only those are compared that no link joins yet.
     In a large group each is first compared with a few, round by round, which joins
     most of them; what is left of a shingle's pairs is compared in full.  Whole sets are only fetched of pairs that
-    may be similar by their counts (bins), which bound what they share.
+    may be similar by their counts (bins), which bound what they share; of all other sets nothing is shuffled.
     """
     spark = docs.sparkSession
     with scratch(spark):
@@ -267,15 +275,13 @@ def _similar_links(spark: SparkSession, docs: DataFrame, prefixes: DataFrame, wo
     met = keep(dealt.join(shared, "s"), "shared-shingles")
     wanted = keep(met.select("sid").distinct(), "shared-sets")
     sets = keep(join_sized(shingle_sets(docs, words, text), wanted, "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("shingles", "bins")).alias("x")).select("sid", "x.*"), "shingle-sets")
-    edges = roots = spark.createDataFrame([], "a bigint, b bigint")
-    roots = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = spark.createDataFrame([], "node bigint, root bigint")
     # The most that two sets can share, if a shingle at these places is the first of it.
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     possible = (most * (1 + similar) >= (F.col("x.n") + F.col("y.n")) * similar - 1e-6) & (F.col("x.comp") != F.col("y.comp"))
     member = F.struct("sid", "n", "pos", "comp")
-    linked, last = 0, False
+    last = False
     enough = lambda common, p, q: common >= similar * (p + q - common) - 1e-9
-    side = lambda c, name, own: sets.select(F.col("sid").alias(c), F.col(name).alias(own))
     for k in range(ROUNDS + 1):
         with scratch(spark) as round_:
             named = met.join(roots, met["sid"] == roots["node"], "left").select("s", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
@@ -295,19 +301,20 @@ def _similar_links(spark: SparkSession, docs: DataFrame, prefixes: DataFrame, wo
             centres = centres.select("s", F.explode(F.array(*[F.struct(*[F.col(f"c{i}")[f].alias(f) for f in ("sid", "n", "pos", "comp")]) for i in range(CENTRES)])).alias("y"))
             pairs = pairs.union(rest.join(centres, "s").where(possible).select("x", "y"))
             pairs = keep(pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), f"pairs-{k}")
-            bounded = pairs.join(side("a", "bins", "p"), "a").join(side("b", "bins", "q"), "b")
+            bounded = with_sides(pairs, sets, "bins")
             total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x.cast("int"))
             shared = total(F.zip_with("p", "q", lambda x, y: F.least(x, y)))
             near = keep(bounded.where(F.coalesce(enough(shared, total(F.col("p")), total(F.col("q"))), F.lit(True))).select("a", "b"), f"near-pairs-{k}")
-            held = near.join(side("a", "shingles", "p"), "a").join(side("b", "shingles", "q"), "b")
+            held = with_sides(near, sets, "shingles")
             similar_ones = held.where(enough(F.size(F.array_intersect("p", "q")), F.size("p"), F.size("q"))).select("a", "b")
-            edges = keep(edges.union(similar_ones), f"links-{k}")
-            before, linked = linked, edges.count()
-            last = linked == before
-            roots = roots if last else components(edges)
+            new = keep(similar_ones, f"links-{k}")
+            linked = new.count()
+            last = linked * YIELD <= now.count()
+            # What is linked already goes on as stars, which need no further rounds.
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)) if linked else roots
             # The pairs of light buckets are all settled.
             met = keep(now.where("not light").select("sid", "n", "pos", "s"), f"left-shingles-{k}")
-            round_.hold(edges, met)
+            round_.hold(met)
     return roots
 
 

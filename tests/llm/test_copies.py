@@ -139,3 +139,25 @@ def test_whole_prefixes_find_every_pair(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for sketch in (None, 16):
         assert {r.doc_id: r.component_id for r in simhash.group(df, 5, sketch=sketch).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_only_sets_of_possible_pairs_are_shuffled(spark):
+    """Texts that share a shingle but are far from similar have their sets moved once, when they are named, and no more."""
+    rng, sc, before = random.Random(6), spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    texts = [" ".join([*(f"pair{i // 2}of{k}" for k in range(200)), *(f"{rng.getrandbits(40):x}" for _ in range(600))]) for i in range(600)]
+    texts += [texts[0] + " more", texts[7] + " more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    sc.setJobGroup("sets-moved", "")
+    try:
+        first = simhash.with_prefixes(df, 5, 0.8)
+        roots = {r.node: r.root for r in simhash.similar_links(df, first, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(roots) == 2
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, stages = sc._jsc.sc().statusStore(), {s for j in sc.statusTracker().getJobIdsForGroup("sets-moved") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    moved = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if sc.statusTracker().getStageInfo(s))  # those skipped have none
+    whole = 8 * 796 * len(texts)
+    assert moved < 1.5 * whole, (moved, whole)
