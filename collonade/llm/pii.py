@@ -17,7 +17,8 @@ numbers, tokens and the like wherever they stand.  Fixed spans always stay.
 All of it is SQL functions.  Each pass over the texts is a scan that joins the
 words' contexts with the patterns looked for; slots are written only for patterns
 whose instances in one row of PART can still make them confident, so the graph
-stays in proportion to the seeds.
+stays in proportion to the seeds.  Where given instances are looked for, a bit map
+of their hashes drops the other words inside their text, before words become rows.
 
 Offsets are code points, ends exclusive.  Defined results: a null text has no
 spans; empty tables give empty results; repeated rows are judged each for
@@ -62,6 +63,8 @@ GROUPS = r"^(?=\S*[0-9])[0-9A-Za-z]{1,8}(?: (?=[A-Z]*[0-9])[0-9A-Z]{1,8}(?![0-9A
 SPAN = "array<struct<start:bigint,k:int,end:bigint>>"
 #: One row in PART is counted before the patterns of all rows.
 PART = 16
+#: Bits of the map of instances looked for: 32 KB, whatever their number. It only saves rows, as a join follows.
+SIEVE = 1 << 18
 #: Confidence and belief in different instances that a pattern needs, belief from the shape alone, and belief that an instance needs.
 CONFIDENT, SUPPORT, SHAPE_BELIEF, BELIEVED = 0.8, 3, 0.95, 0.5
 
@@ -146,13 +149,36 @@ def folded(text: Column) -> Column:
     return F.translate(text, "\u212a\u0130", "ki")
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """(_row, i, word, left, before, right) of each word of the marked texts _m, in lower case; before is the left word's left."""
-    words = rows.select("_row", F.regexp_extract_all(F.lower(folded(F.col("_m"))), F.lit(TOKEN), F.lit(0)).alias("w"))
+def sieve(sought: DataFrame) -> DataFrame:
+    """One row (_bits): SIEVE bits in longs, of which those of the kept instances' hashes are set."""
+    at = F.col("instance").bitwiseAND(SIEVE - 1)
+    own = sought.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(instance & 63 as int))")).alias("b"))
+    longs = sought.sparkSession.range(SIEVE // 64).join(own, "id", "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")).alias("x"))
+    return checkpoint(longs.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["b"]).alias("_bits")))
+
+
+def sifted(instance: Column) -> Column:
+    """True if the bit of an instance's hash is set in _bits."""
+    return F.getbit(F.get("_bits", F.shiftright(instance.bitwiseAND(SIEVE - 1), 6).cast("int")), instance.bitwiseAND(63).cast("int")) == 1
+
+
+def contexts(rows: DataFrame, sought: DataFrame | None = None) -> DataFrame:
+    """(_row, i, word, left, before, right) of each word of the marked texts _m, in lower case; before is the left word's left.
+
+    With ``sought``, kept instances, words whose bit none of them has are left out.
+    """
+    bits = [] if sought is None else ["_bits"]
+    rows = rows if sought is None else rows.crossJoin(F.broadcast(sieve(sought)))
+    words = rows.select("_row", *bits, F.regexp_extract_all(F.lower(folded(F.col("_m"))), F.lit(TOKEN), F.lit(0)).alias("w"))
     none, n = F.array(F.lit(None).cast("string")), F.size("w")
     shifted = {"word": F.col("w"), "left": F.slice(F.concat(none, "w"), F.lit(1), n), "before": F.slice(F.concat(none, none, "w"), F.lit(1), n), "right": F.slice(F.concat("w", none), F.lit(2), n)}
     zipped = words.withColumns({k: v for k, v in shifted.items() if k != "word"})
-    return zipped.select("_row", F.posexplode(F.arrays_zip(F.col("w").alias("word"), "left", "before", "right")).alias("i", "c")).select("_row", "i", *[F.col("c")[k].alias(k) for k in shifted])
+    each = F.arrays_zip(F.col("w").alias("word"), "left", "before", "right")
+    if sought is None:
+        return zipped.select("_row", F.posexplode(each).alias("i", "c")).select("_row", "i", *[F.col("c")[k].alias(k) for k in shifted])
+    placed = F.transform(each, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    met = zipped.select("_row", F.explode(F.filter(placed, lambda x: sifted(F.xxhash64(core(x["c"]["word"]))))).alias("x"))
+    return met.select("_row", "x.i", *[F.col("x.c")[k].alias(k) for k in shifted])
 
 
 def patterns() -> Column:
@@ -163,9 +189,10 @@ def patterns() -> Column:
     return F.array(one, both, two)
 
 
-def core() -> Column:
+def core(word: Column | None = None) -> Column:
     """A word without its edges."""
-    return F.when(F.col("word").rlike(rf"^{EDGES}|{EDGES}$"), F.regexp_extract("word", CORE, 1)).otherwise(F.col("word"))
+    word = F.col("word") if word is None else word
+    return F.when(word.rlike(rf"^{EDGES}|{EDGES}$"), F.regexp_extract(word, CORE, 1)).otherwise(word)
 
 
 def belief(word: Column) -> Column:
@@ -258,7 +285,7 @@ def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         if known:
             totals = edges.sparkSession.createDataFrame([], "instance bigint, total bigint")
         else:
-            found = keep(join_sized(contexts(rows).select(F.xxhash64(core()).alias("instance"), patterns().alias("patterns")), fillers, "instance").groupBy("instance", "patterns").agg(F.count("*").alias("n")), "pii-fillers")
+            found = keep(join_sized(contexts(rows, fillers).select(F.xxhash64(core()).alias("instance"), patterns().alias("patterns")), fillers, "instance").groupBy("instance", "patterns").agg(F.count("*").alias("n")), "pii-fillers")
             totals = found.groupBy("instance").agg(F.sum("n").alias("total"))
         high, scores = settle(edges, totals)
         believed = checkpoint(scores.where(F.col("score") >= BELIEVED))

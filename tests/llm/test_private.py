@@ -127,3 +127,14 @@ def test_keys_that_stand_alone(spark):
     found = pii.find(spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string")).select("_doc.doc_id", "_doc.text", "spans").collect()
     got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.k == len(pii.KINDS)] for r in found}
     assert got == {i: words for i, _, words in rows}
+
+
+def test_words_not_sought_become_no_rows(spark):
+    """Given instances are found wherever they stand, and the other words are dropped inside their text."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(500)) + f' "Name{i % 5}", said w{i}x3.') for i in range(40)], "_row bigint, _m string")
+    sought = spark.createDataFrame([("name1",), ("name4",), ("w7x3",), ("absent",)], "word string").select(F.xxhash64("word").alias("instance"))
+    by = lambda df: sorted(tuple(r) for r in df.withColumn("instance", F.xxhash64(pii.core())).join(sought, "instance").select("_row", "i", "word", "left", "before", "right", "instance").collect())
+    few = pii.contexts(rows, sought)
+    assert by(few) == by(pii.contexts(rows)) and len(by(few)) == 18
+    assert few.count() < 60 and pii.contexts(rows).count() == 40 * 503
+    assert pii.contexts(rows, sought.limit(0)).count() == 0
