@@ -51,6 +51,8 @@ SIMILAR = 0.8
 SAMPLED, HEAVY, LIGHT, ROUNDS, CENTRES, YIELD = 64, 100_000, 128, 6, 4, 1000
 #: Counts of a set's members by their last bits, of which two sets have at most the lesser ones in common.
 BINS = 256
+#: Bits of a set's signature, each telling whether an odd number of its members end in that number: two sets differ in as many members at least as bits.
+BITS = 512
 #: First shingles that texts are compared by if at most half of theirs are frequent.
 SKETCH = 16
 
@@ -205,16 +207,22 @@ def bins(own: np.ndarray) -> np.ndarray | None:
     return counts.astype(np.int16) if counts.max() < 1 << 15 else None
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """The BITS bits of a set's signature, in longs."""
+    odd = np.bincount(own & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(sid, shingles, bins): name, members and counts by last bits of each row's set of shingles."""
+    """(sid, shingles, bins, bits): name, members, counts by last bits and signature of each row's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [as_set(shingles(raw or b"", words)) for raw in batch.column(0).cast(pa.binary()).to_pylist()]
-            columns = [pa.array([sid for _, sid in got], pa.int64()), pa.array([own for own, _ in got], pa.list_(pa.int64())), pa.array([bins(own) for own, _ in got], pa.list_(pa.int16()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["sid", "shingles", "bins"])
+            columns = [pa.array([sid for _, sid in got], pa.int64()), pa.array([own for own, _ in got], pa.list_(pa.int64())), pa.array([bins(own) for own, _ in got], pa.list_(pa.int16())), pa.array([signature(own) for own, _ in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "shingles", "bins", "bits"])
 
-    return docs.select(text).mapInArrow(run, "sid bigint, shingles array<bigint>, bins array<smallint>")
+    return docs.select(text).mapInArrow(run, "sid bigint, shingles array<bigint>, bins array<smallint>, bits array<bigint>")
 
 
 def heavy(docs: DataFrame, words: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -274,17 +282,19 @@ def _similar_links(spark: SparkSession, docs: DataFrame, prefixes: DataFrame, wo
     shared = dealt.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
     met = keep(dealt.join(shared, "s"), "shared-shingles")
     wanted = keep(met.select("sid").distinct(), "shared-sets")
-    sets = keep(join_sized(shingle_sets(docs, words, text), wanted, "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("shingles", "bins")).alias("x")).select("sid", "x.*"), "shingle-sets")
+    sets = keep(join_sized(shingle_sets(docs, words, text), wanted, "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("shingles", "bins", "bits")).alias("x")).select("sid", "x.*"), "shingle-sets")
     roots = spark.createDataFrame([], "node bigint, root bigint")
     # The most that two sets can share, if a shingle at these places is the first of it.
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     possible = (most * (1 + similar) >= (F.col("x.n") + F.col("y.n")) * similar - 1e-6) & (F.col("x.comp") != F.col("y.comp"))
-    member = F.struct("sid", "n", "pos", "comp")
+    # Sets so similar differ in few members, and so in few bits of their signatures.
+    unlike = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    alike = unlike * (1 + similar) <= (F.col("x.n") + F.col("y.n")) * (1 - similar) + 1e-6
     last = False
     enough = lambda common, p, q: common >= similar * (p + q - common) - 1e-9
     for k in range(ROUNDS + 1):
         with scratch(spark) as round_:
-            named = met.join(roots, met["sid"] == roots["node"], "left").select("s", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
+            named = met.join(roots, met["sid"] == roots["node"], "left").select(*met.columns, F.coalesce("root", "sid").alias("comp"))
             parts = named.groupBy("s", "comp").agg(F.count("*").alias("c"))
             buckets = parts.groupBy("s").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("comp", F.struct("c", "comp")).alias("top")).where("parts > 1")
             light = (F.col("c") * F.col("c") - F.col("squares") <= 2 * LIGHT * F.col("c")) | F.lit(last or k == ROUNDS)
@@ -292,14 +302,19 @@ def _similar_links(spark: SparkSession, docs: DataFrame, prefixes: DataFrame, wo
             if buckets.isEmpty():
                 break
             now = keep(named.join(buckets, "s"), f"open-places-{k}")
+            # From the first round on what is left has its signatures, so that a large group's pairs become rows only if they may be similar.
+            fits, fields = (possible & alike, ["sid", "n", "pos", "comp", "bits"]) if k else (possible, ["sid", "n", "pos", "comp"])
+            member = F.struct(*fields)
             rest = now.where("comp <> top").select("s", member.alias("x"))
             whole = now.where("light").select("s", "top", member.alias("y"))
-            pairs = rest.join(whole, "s").where(possible & ((F.col("y.comp") == F.col("top")) | (F.col("x.sid") < F.col("y.sid"))))
+            pairs = rest.join(whole, "s").where(fits & ((F.col("y.comp") == F.col("top")) | (F.col("x.sid") < F.col("y.sid"))))
             pairs = pairs.select("x", "y")
-            order = lambda i, k=k: F.struct(F.col("comp") != F.col("top"), F.xxhash64("sid", F.lit(k), F.lit(i)), "sid", "n", "pos", "comp")
+            # At first no set is linked, and half of the centres are those with the fewest rarer shingles: what others are edits of.
+            first = lambda i, k=k: F.col("comp") != F.col("top") if k else F.when(F.lit(2 * i < CENTRES), F.col("pos")).otherwise(0)
+            order = lambda i, k=k: F.struct(first(i).alias("first"), F.xxhash64("sid", F.lit(k), F.lit(i)), *fields)
             centres = now.where("not light").groupBy("s").agg(*[F.min(order(i)).alias(f"c{i}") for i in range(CENTRES)])
-            centres = centres.select("s", F.explode(F.array(*[F.struct(*[F.col(f"c{i}")[f].alias(f) for f in ("sid", "n", "pos", "comp")]) for i in range(CENTRES)])).alias("y"))
-            pairs = pairs.union(rest.join(centres, "s").where(possible).select("x", "y"))
+            centres = centres.select("s", F.explode(F.array(*[F.struct(*[F.col(f"c{i}")[f].alias(f) for f in fields]) for i in range(CENTRES)])).alias("y"))
+            pairs = pairs.union(rest.join(centres, "s").where(fits).select("x", "y"))
             pairs = keep(pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), f"pairs-{k}")
             bounded = with_sides(pairs, sets, "bins")
             total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x.cast("int"))
@@ -313,7 +328,8 @@ def _similar_links(spark: SparkSession, docs: DataFrame, prefixes: DataFrame, wo
             # What is linked already goes on as stars, which need no further rounds.
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)) if linked else roots
             # The pairs of light buckets are all settled.
-            met = keep(now.where("not light").select("sid", "n", "pos", "s"), f"left-shingles-{k}")
+            left = now.where("not light").select(*met.columns)
+            met = keep(left if k else left.join(sets.select("sid", "bits"), "sid"), f"left-shingles-{k}")
             round_.hold(met)
     return roots
 

@@ -161,3 +161,42 @@ def test_only_sets_of_possible_pairs_are_shuffled(spark):
     moved = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if sc.statusTracker().getStageInfo(s))  # those skipped have none
     whole = 8 * 796 * len(texts)
     assert moved < 1.5 * whole, (moved, whole)
+
+
+def test_pairs_of_a_large_group_become_rows_only_if_they_may_be_similar(spark, monkeypatch):
+    """Of many edited copies of one text, most too far apart, only pairs near the similarity are compared, and no link is lost."""
+    rng, pairs, keep = random.Random(3), [], simhash.keep
+    monkeypatch.setattr(simhash, "LIGHT", 8)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(200):
+        own = list(base)
+        for k in rng.sample(range(5, 145), rng.choice([1, 2, 3, 3, 3, 3])):
+            own[k] = f"x{i}of{k}"
+        texts.append(" ".join(own))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    alike = {(i, j) for i in range(200) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    root = list(range(200))
+    for i, j in alike:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name.startswith("pairs"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "keep", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.group(df, 5).collect()} == dict(enumerate(root))
+    assert len(set(root)) > 1 and sum(pairs) < 10 * len(texts), pairs
+
+
+def test_signatures_bound_the_difference():
+    rng = random.Random(8)
+    for n in (0, 1, 40, 3000):
+        a = {rng.getrandbits(63) for _ in range(n)}
+        b = {x for x in a if rng.random() < 0.9} | {rng.getrandbits(63) for _ in range(n // 9 + 1)}
+        bits = [simhash.signature(simhash.as_set(list(s))[0]).tobytes() for s in (a, b)]
+        assert len(bits[0]) * 8 == simhash.BITS and sum((x ^ y).bit_count() for x, y in zip(*bits, strict=True)) <= len(a ^ b)
