@@ -29,6 +29,8 @@ columns are carried in a struct, so names can't clash.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ KINDS = [*EXPRESSIONS]
 TOKEN = r"[A-Za-z_][A-Za-z_-]*+[=:](?=\S)|\S+"
 #: What is trimmed off what stands in a slot, as a character class, and what is left of a word.
 EDGES = r"""[\].,;:!?(){}<>"'`*#%&$|~…«»“”„‘’\[]"""
+TRIMMED = re.sub(r"\\(.)", r"\1", EDGES[1:-1])
 CORE = rf"^{EDGES}*+(\S*(?!{EDGES})\S)"
 #: Stands for the start of a fixed span where contexts are read.
 MARK = "\ue000"
@@ -146,7 +149,7 @@ def marked(text: Column, spans: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """The text with the two characters replaced that have an ASCII letter in lower case, so that a text and its lower case have the same words."""
-    return F.translate(text, "\u212a\u0130", "ki")
+    return F.when(F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130")), F.translate(text, "\u212a\u0130", "ki")).otherwise(text)
 
 
 def sieve(sought: DataFrame) -> DataFrame:
@@ -170,15 +173,18 @@ def contexts(rows: DataFrame, sought: DataFrame | None = None) -> DataFrame:
     bits = [] if sought is None else ["_bits"]
     rows = rows if sought is None else rows.crossJoin(F.broadcast(sieve(sought)))
     words = rows.select("_row", *bits, F.regexp_extract_all(F.lower(folded(F.col("_m"))), F.lit(TOKEN), F.lit(0)).alias("w"))
+    if sought is not None:
+        # One hash for each word and one look at the bits for each hash; only texts and words that pass get contexts.
+        hashes = F.transform("w", lambda x: F.xxhash64(core(x)))
+        words = words.where(F.exists(hashes, sifted))
+        at = F.filter(F.transform(hashes, lambda h, i: F.when(sifted(h), i)), lambda i: i.isNotNull())
+        place = lambda i: F.struct(i.alias("i"), F.get("w", i).alias("word"), F.get("w", i - 1).alias("left"), F.get("w", i - 2).alias("before"), F.get("w", i + 1).alias("right"))
+        return words.select("_row", F.explode(F.transform(at, place)).alias("x")).select("_row", "x.*")
     none, n = F.array(F.lit(None).cast("string")), F.size("w")
     shifted = {"word": F.col("w"), "left": F.slice(F.concat(none, "w"), F.lit(1), n), "before": F.slice(F.concat(none, none, "w"), F.lit(1), n), "right": F.slice(F.concat("w", none), F.lit(2), n)}
     zipped = words.withColumns({k: v for k, v in shifted.items() if k != "word"})
     each = F.arrays_zip(F.col("w").alias("word"), "left", "before", "right")
-    if sought is None:
-        return zipped.select("_row", F.posexplode(each).alias("i", "c")).select("_row", "i", *[F.col("c")[k].alias(k) for k in shifted])
-    placed = F.transform(each, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
-    met = zipped.select("_row", F.explode(F.filter(placed, lambda x: sifted(F.xxhash64(core(x["c"]["word"]))))).alias("x"))
-    return met.select("_row", "x.i", *[F.col("x.c")[k].alias(k) for k in shifted])
+    return zipped.select("_row", F.posexplode(each).alias("i", "c")).select("_row", "i", *[F.col("c")[k].alias(k) for k in shifted])
 
 
 def patterns() -> Column:
@@ -191,8 +197,7 @@ def patterns() -> Column:
 
 def core(word: Column | None = None) -> Column:
     """A word without its edges."""
-    word = F.col("word") if word is None else word
-    return F.when(word.rlike(rf"^{EDGES}|{EDGES}$"), F.regexp_extract(word, CORE, 1)).otherwise(word)
+    return F.btrim(F.col("word") if word is None else word, F.lit(TRIMMED))
 
 
 def belief(word: Column) -> Column:

@@ -138,3 +138,17 @@ def test_words_not_sought_become_no_rows(spark):
     assert by(few) == by(pii.contexts(rows)) and len(by(few)) == 18
     assert few.count() < 60 and pii.contexts(rows).count() == 40 * 503
     assert pii.contexts(rows, sought.limit(0)).count() == 0
+
+
+def test_looking_for_words_costs_one_hash_each(spark):
+    """Words are trimmed without an expression, only texts that hold a sought word get contexts, and trimming is what the expression says."""
+    words = ["", "...", "a", ".a.", "abc. ", "x\u0085", "“é”", "[a]=b]", "\\a\\", "a.b.", "😀.", ".😀", None, "-a-", "name=", "name:", "a. ", "«…»", "$x$", "~~y"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    by_expression = F.when(F.col("word").rlike(rf"^{pii.EDGES}|{pii.EDGES}$"), F.regexp_extract("word", pii.CORE, 1)).otherwise(F.col("word"))
+    assert df.where(F.col("word").isNull() | ~F.col("word").contains(" ")).where(~by_expression.eqNullSafe(pii.core())).count() == 0
+    rows = spark.createDataFrame([(1, "(Alpha) beta"), (2, "gamma Kelvin, İx")], "_row bigint, _m string")
+    sought = pii.checkpoint(spark.createDataFrame([("kelvin",), ("beta",)], "word string").select(F.xxhash64("word").alias("instance")))
+    found = pii.contexts(rows, sought)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "beta", "(alpha)", None, None), (2, 1, "kelvin,", "gamma", None, "ix")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan and "RLIKE" not in plan and "exists(" in plan
