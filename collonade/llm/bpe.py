@@ -23,12 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collonade.llm.common import portions
+
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Control characters that Python's split() takes for white space and the vocabulary's rules do not.
 ODD = regex.compile(r"[\x1c-\x1f]")
-#: Bytes of a worker's cached words, about; and the rows worked on at a time, whatever a batch holds.
-CACHE, ROWS = 128 << 20, 256
+#: Bytes of a worker's cached words, about.
+CACHE = 128 << 20
 #: Bytes of an entry of a dictionary besides its key and value.
 SLOT = 100
 
@@ -146,13 +148,6 @@ def token_strings(path: str) -> list[str]:
     return names
 
 
-def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ROWS rows, so that no more than those are held as Python objects."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
-
-
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 

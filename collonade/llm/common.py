@@ -5,11 +5,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a task in Python works on at a time, whatever a batch holds: workers outlive their tasks, and keep what they once took.
+ROWS = 256
 #: White space that ends a word: space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -111,6 +115,13 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", salt:
     return left.withColumn("_salt", salt).join(spread, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ROWS rows, so that no more than those are held as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows whose labels must not be learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from collonade.llm.bpe import encoder
-from collonade.llm.common import checkpoint, join_sized, keep
+from collonade.llm.common import checkpoint, join_sized, keep, portions
 
 WINDOW, END = 4096, 2
 
@@ -31,7 +31,7 @@ def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(vocabulary, library=True), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in portions(batches):
             packed = [enc.encode(t or "") + close for t in batch.column(1).to_pylist()]
             sizes = [len(p) // 4 for p in packed]
             starts = []

@@ -288,7 +288,7 @@ def bootstrap(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         fillers = checkpoint(edges.where("prior = 0").select("instance").distinct())
         known = fillers.isEmpty()
         if known:
-            totals = edges.sparkSession.createDataFrame([], "instance bigint, total bigint")
+            totals = edges.sparkSession.range(0).select(F.col("id").alias("instance"), F.col("id").alias("total"))
         else:
             found = keep(join_sized(contexts(rows, fillers).select(F.xxhash64(core()).alias("instance"), patterns().alias("patterns")), fillers, "instance").groupBy("instance", "patterns").agg(F.count("*").alias("n")), "pii-fillers")
             totals = found.groupBy("instance").agg(F.sum("n").alias("total"))

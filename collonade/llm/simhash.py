@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collonade.llm.common import checkpoint, join_sized, keep, scratch
+from collonade.llm.common import checkpoint, join_sized, keep, portions, scratch
 
 SEED, RADIUS, SHARD = 42, 3, 4096
 #: The similarity from which texts are linked.
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
     """(key, fp) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             fps = [fingerprint(raw or b"", words) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[key, "fp"])
 
@@ -217,7 +217,7 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     """(sid, shingles, bins, bits): name, members, counts by last bits and signature of each row's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             got = [as_set(shingles(raw or b"", words)) for raw in batch.column(0).cast(pa.binary()).to_pylist()]
             columns = [pa.array([sid for _, sid in got], pa.int64()), pa.array([own for own, _ in got], pa.list_(pa.int64())), pa.array([bins(own) for own, _ in got], pa.list_(pa.int16())), pa.array([signature(own) for own, _ in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["sid", "shingles", "bins", "bits"])
@@ -246,7 +246,7 @@ def with_prefixes(docs: DataFrame, words: int, similar: float, key: str = "doc_i
         return own[np.lexsort((own, counts))][: min(needed, sketch) if sketch and 2 * np.count_nonzero(counts) <= len(own) else needed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             hashes = [shingles(raw or b"", words) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
             fps, sets = [folded(h) for h in hashes], [as_set(h) for h in hashes]
             columns = [pa.array(fps, pa.int64()), pa.array([sid for _, sid in sets], pa.int64()), pa.array([len(own) for own, _ in sets], pa.int64()), pa.array([prefix(own) for own, _ in sets], pa.list_(pa.int64()))]
@@ -283,7 +283,7 @@ def _similar_links(spark: SparkSession, docs: DataFrame, prefixes: DataFrame, wo
     met = keep(dealt.join(shared, "s"), "shared-shingles")
     wanted = keep(met.select("sid").distinct(), "shared-sets")
     sets = keep(join_sized(shingle_sets(docs, words, text), wanted, "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("shingles", "bins", "bits")).alias("x")).select("sid", "x.*"), "shingle-sets")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
+    roots = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))  # of no Python rows, which would take workers of their own
     # The most that two sets can share, if a shingle at these places is the first of it.
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     possible = (most * (1 + similar) >= (F.col("x.n") + F.col("y.n")) * similar - 1e-6) & (F.col("x.comp") != F.col("y.comp"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collonade.llm.common import WHITE, held_out, keep
+from collonade.llm.common import WHITE, held_out, keep, portions
 
 #: Most labelled documents that a fit uses, and most features that it keeps.
 LIMIT, KEPT = 20_000, 4_096
@@ -74,7 +74,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, total = letter_codes(), np.zeros(A**3, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             for raw in batch.column(0).to_pylist():
                 points = np.frombuffer((raw or "").encode("utf-32-le"), "<u4")
                 c = np.concatenate([[0, 0], codes[np.where(points < 0x180, points, 0)], [0, 0]])
@@ -234,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(channel_of.value)
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(channel.words(t or "")) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["_y", "words"])
 
     sample = keep(sample.mapInArrow(restored, "_y int, words array<string>"), "restored")
@@ -244,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: Counter = Counter()
-            for batch in batches:
+            for batch in portions(batches):
                 for words in batch.column(0).to_pylist():
                     own = features(set(words), known)
                     counts.update(own if only is None else own & only)
@@ -274,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     starts = beginnings(names)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             own = [sorted(index[f] for f in features(set(words), starts) & index.keys()) for words in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["_y", "own"])
 
@@ -310,7 +310,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, weights, bias = Channel(sent.value["trigrams"]), sent.value["weights"], sent.value["bias"]
         known, starts = weights.keys(), beginnings(weights)
-        for batch in batches:
+        for batch in portions(batches):
             z = np.array([bias + sum(weights[f] for f in features(channel.words(t or ""), starts) & known) for t in batch.column(0).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, name])
 
